@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
+from .fingerprints import op9_document_fingerprints
+from .language import op2_language_identification
 from .packing import op1_best_fit_packing
+from .token_files import op6_token_files
 
-QUERIES = {"op1_best_fit_packing": op1_best_fit_packing}
+QUERIES = {
+    "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_language_identification": op2_language_identification,
+    "op6_token_files": op6_token_files,
+    "op9_document_fingerprints": op9_document_fingerprints,
+}
 ORACLE_SQL: dict[str, str] = {}
