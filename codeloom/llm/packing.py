@@ -47,9 +47,9 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int
         encode = encoder(path).encode
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
-            for lo, hi in slices(text_sizes(texts), 4_000_000):
+            for lo, hi in slices(text_sizes(texts), 8_000_000):
                 rows: tuple[list, list, list, list, list] = ([], [], [], [], [])
-                for k, got in enumerate(encode(texts.slice(lo, hi - lo).to_pylist())):
+                for k, got in enumerate(encode(texts.slice(lo, hi - lo))):
                     got += end
                     n = len(got) // 4
                     at, size, piece = 0, (n - 1) % capacity + 1, 0

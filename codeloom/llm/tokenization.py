@@ -10,13 +10,15 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Memory of a worker: so many pieces, each of at most so many characters.
-CACHE_PIECES = 500_000
+CACHE_PIECES = 700_000
 LONGEST_PIECE = 48
 
 _run_then_space = re.compile(r"\s ")
@@ -36,39 +38,53 @@ class PieceEncoder:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.cache_pieces = cache_pieces
-        self.cache: dict[str, bytes] = {"": b""}
-
-    def pieces(self, text: str) -> list[str]:
-        if not _run_then_space.search(text):
-            first, *rest = text.split(" ")
-            return [first, *[" " + x for x in rest]]
-        if not _separators.search(text):
-            return _careful.findall(text)
-        return [text]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        get, out, late = self.cache.get, [], []
-        new: dict[str, None] = {}
-        for text in texts:
-            parts = self.pieces(text) if text else []
-            found = list(map(get, parts))
-            if None in found:
-                new.update((p, None) for p, f in zip(parts, found) if f is None)
-                late.append((len(out), parts, found))
-                out.append(b"")
-            else:
-                out.append(b"".join(found))
-        if new:
-            words = list(new)
-            encoded = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-            fresh = {w: np.array(e.ids, dtype="<u4").tobytes() for w, e in zip(words, encoded)}
-            for i, parts, found in late:
-                out[i] = b"".join([fresh[p] if f is None else f for p, f in zip(parts, found)])
-            for w, ids in fresh.items():
-                if len(self.cache) >= self.cache_pieces:
-                    break
-                if len(w) <= LONGEST_PIECE:
-                    self.cache[w] = ids
+        #: parts that follow a space (or, marked, the start of a text); whole pieces of doubtful texts
+        self.known: tuple[dict[str, bytes], dict[str, bytes]] = ({"\0": b""}, {})
+
+    def _ids_of(self, words: list[str], doubtful: bool) -> list[bytes]:
+        """The ids of different parts; unknown ones go through the library together."""
+        known = self.known[doubtful]
+        found = list(map(known.get, words))
+        missing = [i for i, x in enumerate(found) if x is None]
+        if missing:
+            new = [words[i] for i in missing]
+            whole = new if doubtful else [w[1:] if w[:1] == "\0" else " " + w for w in new]
+            for i, w, e in zip(missing, new, self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)):
+                found[i] = ids = array("I", e.ids).tobytes()
+                if len(w) <= LONGEST_PIECE and len(known) < self.cache_pieces:
+                    known[w] = ids
+        return found
+
+    def _spaced(self, texts: pa.Array) -> list[bytes]:
+        """Texts whose only white space before a space is none: cut at spaces, looked up once per different part."""
+        marked = pc.binary_join_element_wise("\0", texts, "")  # a mark: no space before the first part
+        lists = pc.split_pattern(marked, " ")
+        coded = lists.flatten().dictionary_encode()
+        ids = self._ids_of(coded.dictionary.to_pylist(), False)
+        codes = coded.indices.to_numpy()
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
+        starts = np.cumsum(sizes) - sizes
+        each = sizes[codes]
+        ends = np.cumsum(each)
+        at = np.repeat(starts[codes] - (ends - each), each)
+        at += np.arange(len(at))
+        bounds = np.concatenate(([0], ends))[lists.offsets.to_numpy() - lists.offsets[0].as_py()] * 4
+        data = flat[at].tobytes()
+        return [data[a:b] for a, b in pairwise(bounds.tolist())]
+
+    def encode(self, texts: pa.Array | list[str | None]) -> list[bytes]:
+        column = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        out: list[bytes] = [b""] * len(column)
+        values = column.to_pylist()
+        doubtful = np.array(["\0" in t or _run_then_space.search(t) is not None for t in values], bool)
+        if not doubtful.all():
+            plain = np.flatnonzero(~doubtful)
+            for i, ids in zip(plain.tolist(), self._spaced(column if len(plain) == len(column) else column.take(pa.array(plain)))):
+                out[i] = ids
+        for i in np.flatnonzero(doubtful).tolist():
+            parts = [values[i]] if _separators.search(values[i]) else _careful.findall(values[i])
+            out[i] = b"".join(self._ids_of(parts, True))
         return out
 
 
