@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .fingerprints import op9_document_fingerprints
 from .language import op2_language_identification
+from .ngram_join import OP10_SQL, op10_ngram_jaccard_join
 from .packing import op1_best_fit_packing
 from .token_files import op6_token_files
 
@@ -12,5 +13,6 @@ QUERIES = {
     "op2_language_identification": op2_language_identification,
     "op6_token_files": op6_token_files,
     "op9_document_fingerprints": op9_document_fingerprints,
+    "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op10_ngram_jaccard_join": OP10_SQL}
