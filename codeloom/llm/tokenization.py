@@ -8,6 +8,7 @@ Texts whose white space leaves that in doubt are cut more carefully or not at al
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -38,6 +39,8 @@ class PieceEncoder:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.cache_pieces = cache_pieces
+        #: whether the tokenizer lower-cases, so that texts may be lower-cased before they are looked up
+        self.lowers = '"Lowercase"' in json.dumps(json.loads(self.tokenizer.to_str())["normalizer"])
         #: parts that follow a space (or, marked, the start of a text); whole pieces of doubtful texts
         self.known: tuple[dict[str, bytes], dict[str, bytes]] = ({"\0": b""}, {})
 
@@ -57,6 +60,8 @@ class PieceEncoder:
 
     def _spaced(self, texts: pa.Array) -> list[bytes]:
         """Texts whose only white space before a space is none: cut at spaces, looked up once per different part."""
+        if self.lowers:
+            texts = pc.ascii_lower(texts)
         marked = pc.binary_join_element_wise("\0", texts, "")  # a mark: no space before the first part
         lists = pc.split_pattern(marked, " ")
         coded = lists.flatten().dictionary_encode()
