@@ -26,7 +26,7 @@ CENTROIDS = 4
 ROUNDS = 12
 #: A text is rejected below this share of its centroid's low quantile of cosines.
 LOW_QUANTILE = 0.01
-MARGIN = 0.6
+MARGIN = 0.4
 UNKNOWN = "und"
 _CHUNK = 1_000_000
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)

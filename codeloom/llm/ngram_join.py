@@ -33,9 +33,10 @@ from .tokenization import slices, text_sizes
 
 WORDS = 5
 THRESHOLD = (75, 100)
-#: Entries of a block of the probe; bytes of text hashed at a time.
+#: Entries of a block of the probe, and blocks at least; bytes of text hashed at a time.
 BLOCK = 1_000_000
-SLICE = 8_000_000
+LEAST_BLOCKS = 64
+SLICE = 2_000_000
 #: Nodes whose ids may be broadcast to fetch their texts, 16 bytes each; beyond, a shuffled join.
 BROADCAST_ROWS = 500_000
 #: Pivots of a node compared in a round, and rounds; the rest is compared afterwards.
@@ -256,7 +257,7 @@ def jaccard_join(docs: DataFrame, k: int = WORDS, threshold: tuple[int, int] = T
     nodes = known.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("probe").alias("probe"))
     nodes = cut(nodes, "nodes")
     total = nodes.agg(F.sum("probe")).first()[0] or 0
-    shared = shared_counts(texts.where("doc_id is not null"), k, max(8, math.ceil(total / BLOCK)))
+    shared = shared_counts(texts.where("doc_id is not null"), k, max(LEAST_BLOCKS, math.ceil(total / BLOCK)))
     # a linked node may lack n - ceil(t n) n-grams of its partner's, so no more are its own alone
     linkable = nodes.join(shared, "node", "left").where(F.expr(f"probe - coalesce(shared, 0) <= n - ({num} * n + {den - 1}) div {den}"))
     linkable = cut(linkable.select("least", "node"), "linkable")
@@ -277,6 +278,14 @@ def jaccard_join(docs: DataFrame, k: int = WORDS, threshold: tuple[int, int] = T
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
+def drop_near_duplicates(docs: DataFrame, k: int = WORDS, threshold: tuple[int, int] = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` but those whose component holds a lesser id; rows with null ids stay."""
+    found = jaccard_join(docs, k, threshold, id_col, text_col)
+    gone = cut(found.where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "near-duplicates")
+    few = gone.count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(gone) if few else gone, docs[id_col] == F.col("_gone"), "left_anti")
+
+
 def op10_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     """Links all documents of similarity 0.75 or more on five-word shingles."""
     return jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"))

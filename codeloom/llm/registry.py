@@ -8,6 +8,7 @@ from .nearest import op8_nearest_neighbours
 from .ngram_join import OP10_SQL, op10_ngram_jaccard_join
 from .packing import op1_best_fit_packing
 from .passages import op4_repeated_passages
+from .sentencepieces import op5_sentencepiece
 from .sharding import op3_balanced_sharding
 from .token_files import op6_token_files
 from .warc import OP7_SQL, op7_warc_transactions
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_language_identification": op2_language_identification,
     "op3_balanced_sharding": op3_balanced_sharding,
     "op4_repeated_passages": op4_repeated_passages,
+    "op5_sentencepiece": op5_sentencepiece,
     "op6_token_files": op6_token_files,
     "op7_warc_transactions": op7_warc_transactions,
     "op8_nearest_neighbours": op8_nearest_neighbours,

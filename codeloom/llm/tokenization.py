@@ -12,6 +12,7 @@ import json
 import os
 import re
 from array import array
+from collections.abc import Iterable
 from itertools import pairwise
 
 import numpy as np
@@ -44,6 +45,22 @@ class PieceEncoder:
         #: parts that follow a space (or, marked, the start of a text); whole pieces of doubtful texts
         self.known: tuple[dict[str, bytes], dict[str, bytes]] = ({"\0": b""}, {})
 
+    #: what marks the first part of a text, which no space precedes
+    mark = "\0"
+
+    def doubtful(self, text: str) -> bool:
+        """Whether the white space is such that cutting at each space might be wrong."""
+        return "\0" in text or _run_then_space.search(text) is not None
+
+    def careful(self, text: str) -> list[str]:
+        """The pieces of a doubtful text."""
+        return [text] if _separators.search(text) else _careful.findall(text)
+
+    def fresh(self, pieces: list[str]) -> Iterable[bytes]:
+        """The ids of pieces not seen before."""
+        for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False):
+            yield array("I", e.ids).tobytes()
+
     def _ids_of(self, words: list[str], doubtful: bool) -> list[bytes]:
         """The ids of different parts; unknown ones go through the library together."""
         known = self.known[doubtful]
@@ -51,9 +68,9 @@ class PieceEncoder:
         missing = [i for i, x in enumerate(found) if x is None]
         if missing:
             new = [words[i] for i in missing]
-            whole = new if doubtful else [w[1:] if w[:1] == "\0" else " " + w for w in new]
-            for i, w, e in zip(missing, new, self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)):
-                found[i] = ids = array("I", e.ids).tobytes()
+            whole = new if doubtful else [w[1:] if self.mark and w[:1] == self.mark else " " + w for w in new]
+            for i, w, ids in zip(missing, new, self.fresh(whole)):
+                found[i] = ids
                 if len(w) <= LONGEST_PIECE and len(known) < self.cache_pieces:
                     known[w] = ids
         return found
@@ -62,7 +79,7 @@ class PieceEncoder:
         """Texts whose only white space before a space is none: cut at spaces, looked up once per different part."""
         if self.lowers:
             texts = pc.ascii_lower(texts)
-        marked = pc.binary_join_element_wise("\0", texts, "")  # a mark: no space before the first part
+        marked = pc.binary_join_element_wise(self.mark, texts, "")
         lists = pc.split_pattern(marked, " ")
         coded = lists.flatten().dictionary_encode()
         ids = self._ids_of(coded.dictionary.to_pylist(), False)
@@ -82,14 +99,13 @@ class PieceEncoder:
         column = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
         out: list[bytes] = [b""] * len(column)
         values = column.to_pylist()
-        doubtful = np.array(["\0" in t or _run_then_space.search(t) is not None for t in values], bool)
+        doubtful = np.array([self.doubtful(t) for t in values], bool)
         if not doubtful.all():
             plain = np.flatnonzero(~doubtful)
             for i, ids in zip(plain.tolist(), self._spaced(column if len(plain) == len(column) else column.take(pa.array(plain)))):
                 out[i] = ids
         for i in np.flatnonzero(doubtful).tolist():
-            parts = [values[i]] if _separators.search(values[i]) else _careful.findall(values[i])
-            out[i] = b"".join(self._ids_of(parts, True))
+            out[i] = b"".join(self._ids_of(self.careful(values[i]), True))
         return out
 
 
