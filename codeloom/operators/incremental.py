@@ -54,9 +54,9 @@ def refresh(graph: Graph, files: DataFrame, force: bool = False) -> tuple[Graph,
     known = stored_modules(graph.nodes.unionByName(symbols, allowMissingColumns=True))
     resolved = resolve_targets(relationships_of(parsed), known, own.union(addresses.join(own, "key", "left_anti").select("key", "id")))
     repos = changed.groupBy(F.col("repo").alias("name"), "branch").agg(F.max("commit").alias("commit"), F.max("root_path").alias("root_path")).withColumn("indexed_at", F.current_timestamp())
-    gone = status.where("status = 'refreshed'").select("file_id")
-    mine = graph.nodes.where("id <> concat_ws(':', repo, branch, file_path)").join(gone, F.concat_ws(":", "repo", "branch", "file_path") == F.col("file_id"), "left_semi").where("category = 'symbol'").select("id")
-    sources = mine.union(gone.select(F.col("file_id").alias("id")))
+    gone = status.where("status = 'refreshed'").select(F.col("file_id").alias("_file"))
+    mine = graph.nodes.where("id <> concat_ws(':', repo, branch, file_path)").join(gone, F.concat_ws(":", "repo", "branch", "file_path") == F.col("_file"), "left_semi").where("category = 'symbol'").select("id")
+    sources = mine.union(gone.select(F.col("_file").alias("id")))
     edges = graph.edges.join(sources.select(F.col("id").alias("source_id")), "source_id", "left_anti").select(*graph.edges.columns)
     kept = Graph(graph.nodes.join(mine, "id", "left_anti").select(*graph.nodes.columns), edges, graph.repositories)
     return merge_graphs(kept, build(symbols, resolved, repos)), status

@@ -103,7 +103,7 @@ def remove_file_symbols(graph: Graph, file_id: str, keep_incoming: bool = False)
     below = graph.nodes.where(F.col("id").startswith(file_id + ":")).select("id")
     nodes = delete_by_prefix(graph.nodes, "id", file_id + ":")
     if keep_incoming:
-        inside = graph.edges.where(F.col("source_id").startswith(file_id + ":") | (F.col("rel_type") == "CONTAINS") & F.col("target_id").startswith(file_id + ":"))
+        inside = graph.edges.where(F.col("source_id").startswith(file_id + ":") | (F.col("source_id") == file_id) & F.col("target_id").startswith(file_id + ":"))
         edges = graph.edges.join(inside.select("source_id", "rel_type", "target_id"), ["source_id", "rel_type", "target_id"], "left_anti").select(*graph.edges.columns)
     else:
         edges = drop_dangling(graph.edges, below).select(*graph.edges.columns)

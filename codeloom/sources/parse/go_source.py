@@ -127,7 +127,8 @@ class _Go:
         else:
             self.defined[name] = id_ = self.s.symbol(self.s.id(name), name, "function", span)
             self.s.relate(self.s.file, id_, "DEFINES", span, evidence_type="AST")
-        for x in range(k + 1, end + 1):
+        first = self.close(k + 1) + 1 if self.text(k + 1) == "[" else k + 1  # type parameters, then parameters
+        for x in range(self.close(first) + 1, end + 1):
             self.call(x, id_)
         return end + 1
 

@@ -122,12 +122,12 @@ def _closing(tokens: list[Token], at: int) -> int:
     return len(tokens) - 1
 
 
-def _define(source: Source, key: str, name: str, type_: str, relation: str, address: str | None, span: tuple, body: list[Token], **metadata: object) -> None:
+def _define(file: Source, key: str, name: str, type_: str, relation: str, address: str | None, span: tuple, body: list[Token], **metadata: object) -> None:
     known = {**metadata, **({"tf_address": address} if address else {})}
-    id_ = source.symbol(source.id(key), name, type_, span, **known)
-    source.relate(source.file, id_, relation, span, columns=False)
+    id_ = file.symbol(file.id(key), name, type_, span, **known)
+    file.relate(file.file, id_, relation, span, columns=False)
     for target in sorted(references(body) - {address}):
-        source.relate(id_, f"tfaddr:{target}", "DEPENDS_ON", span, 0.9, columns=False, reference=target)
+        file.relate(id_, f"tfaddr:{target}", "DEPENDS_ON", span, 0.9, columns=False, reference=target)
 
 
 def _blocks(source: Source, tokens: list[Token]) -> None:
