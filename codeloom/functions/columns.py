@@ -52,6 +52,11 @@ def content_hash(content: Column) -> Column:
     return F.sha2(content, 256)
 
 
+def within_size(content: Column, limit: int = 5 * 1024 * 1024) -> Column:
+    """Whether a file is small enough to be indexed alone."""
+    return F.octet_length(content) <= limit
+
+
 def module_path(path: Column) -> Column:
     """The dotted module of a file: without .py, slashes as dots; other extensions stay."""
     return F.replace(F.regexp_replace(path, r"\.py$", ""), F.lit("/"), F.lit("."))

@@ -37,6 +37,8 @@ THRESHOLD = (75, 100)
 BLOCK = 1_000_000
 LEAST_BLOCKS = 64
 SLICE = 2_000_000
+#: Pairs of sets that are unpacked at a time.
+ROWS = 256
 #: Nodes whose ids may be broadcast to fetch their texts, 16 bytes each; beyond, a shuffled join.
 BROADCAST_ROWS = 500_000
 #: Pivots of a node compared in a round, and rounds; the rest is compared afterwards.
@@ -159,7 +161,7 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> D
     num, den = threshold
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(lo, ROWS) for b in batches for lo in range(0, b.num_rows, ROWS)):
             good = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")

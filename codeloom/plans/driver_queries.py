@@ -13,11 +13,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import content_hash, in_ignored_dir, is_ignored, language_of, tokenize
+from ..functions.columns import content_hash, in_ignored_dir, is_ignored, language_of, tokenize, within_size
 from ..operators import memory, queries, retrieval, traverse
 from ..operators.incremental import classify
-from ..operators.merge import last_wins
-from ..operators.resolve import resolve_targets
+from ..operators.merge import last_wins, upsert
+from ..operators.resolve import module_map, resolve_targets
 from ..schemas import EDGES, NODES
 from ..sources.parse.dispatch import parse
 from .build import Graph, _fit, clear_repository, endpoint_stubs, remove_file_symbols
@@ -357,6 +357,28 @@ def resolve_references(spark, d):
     return resolve_targets(_references(spark, d), known, known).select("source_id", "target_id", "confidence", "resolution_status")
 
 
+@query("SELECT lower(n_name) || '.' || c_mktsegment AS key, max(c_custkey) || ':' || c_mktsegment AS id FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name, c_mktsegment")
+def module_map_last_wins(spark, d):
+    """Definitions with one qualified name in one module: the last of them stands for the name."""
+    nation = table(spark, d, "nation")
+    path = F.concat(F.lower("n_name"), F.lit(".py"))
+    rows = table(spark, d, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    symbols = rows.select(F.concat_ws(":", F.col("c_custkey").cast("string"), "c_mktsegment").alias("id"), F.lit("class").alias("type"), path.alias("file_path"), F.struct(path.alias("path"), F.col("c_custkey").alias("seq")).alias("ord"))
+    return module_map(symbols)
+
+
+@query("SELECT 'part:' || p_partkey AS id, CASE WHEN p_partkey % 10 = 0 THEN 'new' ELSE p_name END AS name FROM part UNION ALL SELECT 'part:-1', 'new'")
+def upsert_nodes(spark, d):
+    old = table(spark, d, "part").select(_id("part", "p_partkey").alias("id"), F.col("p_name").alias("name"), "p_partkey")
+    new = old.where("p_partkey % 10 = 0").select("id", F.lit("new").alias("name")).union(spark.createDataFrame([("part:-1", "new")], "id string, name string"))
+    return upsert(old.select("id", "name"), new, ["id"])
+
+
+@query("SELECT doc_id, strlen(text) <= 2048 AS small FROM documents")
+def size_guard(spark, d):
+    return table(spark, d, "documents").select("doc_id", within_size(F.encode("text", "UTF-8"), 2048).alias("small"))
+
+
 @query("SELECT doc_id, sha256(text) AS hash FROM documents")
 def content_hashes(spark, d):
     return table(spark, d, "documents").select("doc_id", content_hash(F.encode("text", "UTF-8")).alias("hash"))
