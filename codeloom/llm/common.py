@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+
+import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,9 +26,24 @@ def shared_dir(spark: SparkSession) -> str:
     return set_to.rstrip("/")
 
 
+_made: list[str] = []
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def discard_intermediates(spark: SparkSession) -> None:
+    """Delete all tables and files that operators of this session wrote to the shared folder.
+
+    Results are read from them lazily, so this comes after the last result is written.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -41,6 +60,23 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def lean(run: Callable) -> Callable:
+    """A function for mapInArrow that gives its worker's free memory back when it ends, as workers are used again."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):
+                pass  # another C library
+
+    return wrapped
+
+
 def require(df: DataFrame, *columns: str) -> None:
     """A clear error for a table that lacks a column."""
     missing = [c for c in columns if c not in df.columns]

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, partitions, require
+from .common import cut, lean, partitions, require
 from .tokenization import slices, text_sizes
 
 
@@ -53,7 +53,7 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([len(t or "") for t in texts], pa.int64()), pa.array([digest(t) for t in texts])], names=["doc_id", "n_chars", "fingerprint"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"doc_id {kind}, n_chars bigint, fingerprint string")
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(lean(run), f"doc_id {kind}, n_chars bigint, fingerprint string")
 
 
 def split_collisions(rows: DataFrame, compared: DataFrame) -> DataFrame:
@@ -140,7 +140,7 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     both = one.union(flagged)
     dealt = both.repartitionByRange(partitions(spark), F.desc("doc_id"))
     ordered = dealt.sortWithinPartitions(F.desc("doc_id"), F.expr("text is null").desc(), F.xxhash64("text"))
-    found = cut(ordered.mapInArrow(run, _FIELDS), "edited")
+    found = cut(ordered.mapInArrow(lean(run), _FIELDS), "edited")
 
     heads = found.where("kind = 'head'").select("part", F.col("text").alias("following"))
     order = Window.orderBy("part")  # one row for each partition
@@ -158,7 +158,7 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             if rows:
                 yield batch_of(rows)
 
-    rows = found.where("kind = 'doc'").union(met.mapInArrow(close, _FIELDS))
+    rows = found.where("kind = 'doc'").union(met.mapInArrow(lean(close), _FIELDS))
     compared = rows.where("canonical is not null").select("doc_id", "fingerprint", "canonical")
     same = lambda a, b: (F.col(a) == F.col(b)).cast("double")
     likeness = rows.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", same("fingerprint", "edited_fingerprint").alias("near_edited"), same("fingerprint", "next_fingerprint").alias("near_next"))

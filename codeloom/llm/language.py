@@ -16,12 +16,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import require
+from .common import lean, require
 from .tokenization import slices, text_sizes
 
 #: Vector size; labelled texts of each language used at most (about); centroids of each; k-means rounds.
 DIMENSIONS = 4096
-SAMPLE_PER_LANGUAGE = 2000
+SAMPLE_PER_LANGUAGE = 1000
 CENTROIDS = 4
 ROUNDS = 12
 #: A text is rejected below this share of its centroid's low quantile of cosines.
@@ -126,7 +126,7 @@ def learn_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(at, pa.binary()), pa.array(n, pa.binary())], names=["i", "l", "at", "n"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = sorted(chosen.select("i", "t", "l").mapInArrow(sparse, f"i {kind}, l string, at binary, n binary").collect(), key=lambda r: (r["l"], r["i"], bytes(r["at"]), bytes(r["n"])))
+    rows = sorted(chosen.select("i", "t", "l").mapInArrow(lean(sparse), f"i {kind}, l string, at binary, n binary").collect(), key=lambda r: (r["l"], r["i"], bytes(r["at"]), bytes(r["n"])))
     if not rows:
         return LanguageModel([], np.zeros((0, dimensions), np.float32), np.ones(dimensions, np.float32), np.zeros(0))
     tf = np.zeros((len(rows), dimensions), np.float32)
@@ -179,7 +179,7 @@ def identify_languages(docs: DataFrame, model: LanguageModel, text_col: str = "t
                 yield pa.RecordBatch.from_arrays([*part.columns[2:], pa.array(langs), pa.array(scores), pa.array(rejected)], names=[*keep, *added])
 
     out = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
-    return docs.select(F.col(text_col).alias("_text"), has_letter(text_col).alias("_letter"), *keep).mapInArrow(run, f"{out}lang_pred string, score double, rejected boolean")
+    return docs.select(F.col(text_col).alias("_text"), has_letter(text_col).alias("_letter"), *keep).mapInArrow(lean(run), f"{out}lang_pred string, score double, rejected boolean")
 
 
 def op2_language_identification(spark, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, require
+from .common import cut, lean, require
 
 #: Vectors the codebooks are fitted on, at most (about).
 SAMPLE = 10_000
@@ -167,7 +167,7 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 20, id_col
             out = [(int(b), ids[at].tobytes(), codes[at].tobytes(), x[at].tobytes()) for b in np.unique(block) for at in [block == b]]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["block", "ids", "codes", "vectors"])
 
-    index = rows.select("vec_id", "vector", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block")).mapInArrow(build, "block bigint, ids binary, codes binary, vectors binary")
+    index = rows.select("vec_id", "vector", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block")).mapInArrow(lean(build), "block bigint, ids binary, codes binary, vectors binary")
     index = cut(index.groupBy("block").agg(F.collect_list(F.struct("ids", "codes", "vectors")).alias("parts")), "codes")
     asked = rows.where("query").select(F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(query_blocks)).alias("q"), F.struct("vec_id", "vector").alias("v"))
     asked = asked.groupBy("q").agg(F.collect_list("v").alias("queries"))
@@ -193,13 +193,14 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 20, id_col
                     at = top_rows(scores, rerank + 1)
                     at = at[ids[at] != q["vec_id"]]
                     exact = (x[at] * vector).sum(1)  # row by row, so that equal vectors have equal scores
-                    best = np.lexsort((ids[at], -exact))[:k]
+                    best = np.lexsort((ids[at], -exact))
+                    best = best[np.sort(np.unique(ids[at][best], return_index=True)[1])[:k]]  # repeated rows once
                     out.append((np.full(len(best), q["vec_id"]), ids[at][best], exact[best]))
                 a, b, c = (np.concatenate(z) for z in zip(*out))
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.float64())], names=["query_id", "vec_id", "score"])
 
     met = index.join(asked, "block").select("parts", "queries").repartition(max(1, min(blocks * query_blocks, 10_000)))
-    found = met.mapInArrow(scan, "query_id bigint, vec_id bigint, score double")
+    found = met.mapInArrow(lean(scan), "query_id bigint, vec_id bigint, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.distinct().withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

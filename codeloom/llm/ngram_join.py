@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut, partitions, require
+from .common import components, cut, lean, partitions, require
 from .shingles import shingle_sets
 from .tokenization import slices, text_sizes
 
@@ -36,7 +36,7 @@ THRESHOLD = (75, 100)
 #: Entries of a block of the probe, and blocks at least; bytes of text hashed at a time.
 BLOCK = 1_000_000
 LEAST_BLOCKS = 64
-SLICE = 2_000_000
+SLICE = 1_000_000
 #: Pairs of sets that are unpacked at a time.
 ROWS = 256
 #: Nodes whose ids may be broadcast to fetch their texts, 16 bytes each; beyond, a shuffled join.
@@ -70,7 +70,7 @@ def describe_sets(docs: DataFrame, k: int) -> DataFrame:
                 names=["doc_id", "node", "n", "probe"],
             )
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema[0].dataType.simpleString()}, node bigint, n bigint, probe bigint")
+    return docs.mapInArrow(lean(run), f"doc_id {docs.schema[0].dataType.simpleString()}, node bigint, n bigint, probe bigint")
 
 
 def shared_counts(docs: DataFrame, k: int, blocks: int) -> DataFrame:
@@ -151,9 +151,9 @@ def shared_counts(docs: DataFrame, k: int, blocks: int) -> DataFrame:
         if held:
             yield out(*product(held))
 
-    spread_out = docs.mapInArrow(spread, "block bigint, nodes binary, sizes binary, grams binary")
+    spread_out = docs.mapInArrow(lean(spread), "block bigint, nodes binary, sizes binary, grams binary")
     dealt = spread_out.repartition(min(blocks, 4 * partitions(docs.sparkSession)), "block").sortWithinPartitions("block")
-    return dealt.mapInArrow(gather, "node bigint, shared bigint").groupBy("node").agg(F.sum("shared").alias("shared"))
+    return dealt.mapInArrow(lean(gather), "node bigint, shared bigint").groupBy("node").agg(F.sum("shared").alias("shared"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
@@ -174,7 +174,7 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> D
 
     one = sets.select(F.col("node").alias("a"), F.col("grams").alias("x"))
     two = sets.select(F.col("node").alias("b"), F.col("grams").alias("y"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(lean(run), "a bigint, b bigint")
 
 
 def _fits(n1: str, n2: str, threshold: tuple[int, int]) -> Column:
@@ -196,7 +196,7 @@ def rare_prefixes(sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
                 at = np.repeat(np.arange(lo, hi), [len(g) for g in grams])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams)), batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at))], names=["gram", "node", "n"])
 
-    entries = sets.select("node", "n", "grams").mapInArrow(explode, "gram bigint, node bigint, n bigint")
+    entries = sets.select("node", "n", "grams").mapInArrow(lean(explode), "gram bigint, node bigint, n bigint")
     frequent = entries.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
     own = Window.partitionBy("node")
     live = entries.join(frequent, "gram").withColumn("alone", F.col("n") - F.count("*").over(own))
@@ -271,7 +271,7 @@ def jaccard_join(docs: DataFrame, k: int = WORDS, threshold: tuple[int, int] = T
             keep = [(n, s) for n, s in zip(part.column(0).to_pylist(), sets) if len(s) and node_of(s) == n]
             yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in keep], pa.int64()), pa.array([len(s) for _, s in keep], pa.int64()), pa.array([s.tobytes() for _, s in keep], pa.binary())], names=["node", "n", "grams"])
 
-    sets = cut(chosen.mapInArrow(build, "node bigint, n bigint, grams binary").dropDuplicates(["node"]), "linkable-sets")
+    sets = cut(chosen.mapInArrow(lean(build), "node bigint, n bigint, grams binary").dropDuplicates(["node"]), "linkable-sets")
     found = linked_components(sets, threshold)
     least = found.join(nodes.select("node", "least"), "node").groupBy("component").agg(F.min("least").alias("group_least"))
     named = nodes.select("node", "least").join(found, "node", "left").join(least, "component", "left").select("node", F.coalesce("group_least", "least").alias("component_id"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, rank_in_groups, require
+from .common import cut, lean, rank_in_groups, require
 from .tokenization import encoder, slices, text_sizes, tokenizer_path
 
 CAPACITY = 2048
@@ -47,7 +47,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int
         encode = encoder(path).encode
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
-            for lo, hi in slices(text_sizes(texts), 8_000_000):
+            for lo, hi in slices(text_sizes(texts), 4_000_000):
                 rows: tuple[list, list, list, list, list] = ([], [], [], [], [])
                 for k, got in enumerate(encode(texts.slice(lo, hi - lo))):
                     got += end
@@ -59,7 +59,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int
                         at, size, piece = at + size, capacity, piece + 1
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows[0], pa.int64())), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.int64()), pa.array(rows[3], pa.int64()), pa.array(rows[4], pa.binary())], names=list(arrow_out))
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(pieces, f"doc_id {kind}, piece int, start bigint, length bigint, token_ids binary")
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(lean(pieces), f"doc_id {kind}, piece int, start bigint, length bigint, token_ids binary")
 
 
 def knapsack(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -219,7 +219,7 @@ def best_fit_pack(pieces: DataFrame, capacity: int = CAPACITY, length_col: str =
     names = pieces.columns
     ranked = rank_in_groups(pieces.where(takes), [length_col], [F.col(c) for c in order], "_rank")
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    placed = ranked.mapInArrow(place, f"{out}, sequence_id bigint, offset bigint")
+    placed = ranked.mapInArrow(lean(place), f"{out}, sequence_id bigint, offset bigint")
     if pieces.schema[length_col].nullable:
         none = F.lit(None).cast("bigint")
         placed = placed.union(pieces.where(~takes).select("*", none.alias("sequence_id"), none.alias("offset")))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import require
+from .common import lean, require
 from .tokenization import CACHE_PIECES, PieceEncoder, slices, text_sizes, tokenizer_path
 
 MARKER = "▁"
@@ -283,7 +283,7 @@ def encode_documents(docs: DataFrame, model: str | None = None, id_col: str = "d
 
     kind = docs.schema[id_col].dataType.simpleString()
     out = f"doc_id {kind}, token_ids binary, n_tokens bigint, n_bytes bigint" + ", decoded string" * decode
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, out)
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(lean(run), out)
 
 
 def op5_sentencepiece(spark, sf_dir: str) -> DataFrame:

@@ -19,17 +19,19 @@ from .common import cut, partitions, rank_in_groups, require
 SHARDS = 40
 STEPS = 12
 #: Room over its quota that a shard has while labels move.
-SLACK = 0.2
+SLACK = 1.0
 ROW_BYTES = 16
 
 
 def _before(df: DataFrame, shard: str, amount: str, order: list, name: str) -> DataFrame:
     """The sum of ``amount`` over the rows of the same shard that come before, over many tasks.
 
-    Rows are dealt over buckets by their order's hash; a bucket's sum is one small row.
+    Larger amounts come first, by powers of two; rows of one power are dealt over buckets by
+    their order's hash. A bucket's sum is one small row.
     """
     buckets = max(16, 2 * partitions(df.sparkSession))
-    dealt = df.withColumn("_b", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    power = F.lit(63) - F.floor(F.log2(F.greatest(F.col(amount), F.lit(1)))).cast("int")
+    dealt = df.withColumn("_b", power * buckets + F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
     sums = dealt.groupBy(shard, "_b").agg(F.sum(amount).alias("_s"))
     start = F.coalesce(F.sum("_s").over(Window.partitionBy(shard).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sums = sums.select(F.col(shard).alias("_t"), F.col("_b").alias("_c"), start.alias("_start"))

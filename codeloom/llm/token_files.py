@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, require, shared_path
+from .common import lean, partitions, require, shared_path
 from .tokenization import encoder, slices, text_sizes, tokenizer_path
 
 MAGIC = b"CLTOK01\n"
@@ -208,7 +208,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
 
     dealt = docs.select(F.col(id_col).cast("bigint"), F.col(text_col)).repartitionByRange(files or partitions(spark), id_col)
     ordered = dealt.sortWithinPartitions(F.col(id_col), F.xxhash64(text_col))
-    written = ordered.mapInArrow(write, "file string, part int, documents bigint, tokens bigint").collect()
+    written = ordered.mapInArrow(lean(write), "file string, part int, documents bigint, tokens bigint").collect()
     rows, start = [], 0
     for r in sorted(written, key=lambda r: r["part"]):
         rows.append((r["file"], r["part"], r["documents"], r["tokens"], start))
@@ -246,7 +246,7 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
 
     spark: SparkSession = manifest.sparkSession
     files = manifest.select("file", "start")
-    return files.repartition(max(1, partitions(spark)), "file").mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, token_ids binary")
+    return files.repartition(max(1, partitions(spark)), "file").mapInArrow(lean(read), "doc_id bigint, start bigint, n_tokens bigint, token_ids binary")
 
 
 def op6_token_files(spark, sf_dir: str) -> DataFrame:

@@ -20,8 +20,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Memory of a worker: so many pieces, each of at most so many characters.
-CACHE_PIECES = 700_000
+CACHE_PIECES = 150_000
 LONGEST_PIECE = 48
+#: Pieces that go through the library together.
+AT_ONCE = 4096
 
 _run_then_space = re.compile(r"\s ")
 _separators = re.compile(r"[\x1c-\x1f]")
@@ -58,8 +60,9 @@ class PieceEncoder:
 
     def fresh(self, pieces: list[str]) -> Iterable[bytes]:
         """The ids of pieces not seen before."""
-        for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False):
-            yield array("I", e.ids).tobytes()
+        for at in range(0, len(pieces), AT_ONCE):  # the library's results are large
+            for e in self.tokenizer.encode_batch_fast(pieces[at : at + AT_ONCE], add_special_tokens=False):
+                yield array("I", e.ids).tobytes()
 
     def _ids_of(self, words: list[str], doubtful: bool) -> list[bytes]:
         """The ids of different parts; unknown ones go through the library together."""

@@ -21,7 +21,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, partitions, rank_in_groups, require, shared_path
+from .common import cut, lean, partitions, rank_in_groups, require, shared_path
 
 #: Payloads below this size are never revisits.
 LEAST_REVISIT = 100
@@ -99,7 +99,7 @@ def write_captures(captures: DataFrame, folder: str) -> DataFrame:
             out.close()
             yield pa.RecordBatch.from_pydict({"file": [name], "records": [n]})
 
-    return cut(captures.mapInArrow(write, "file string, records bigint"), "warc-manifest")
+    return cut(captures.mapInArrow(lean(write), "file string, records bigint"), "warc-manifest")
 
 
 def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
@@ -129,7 +129,7 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
                     yield batch_of(rows)
 
     files = manifest.select("file").repartition(partitions(manifest.sparkSession), "file")
-    return files.mapInArrow(read, RECORD_FIELDS)
+    return files.mapInArrow(lean(read), RECORD_FIELDS)
 
 
 def assemble_transactions(records: DataFrame) -> DataFrame:
@@ -168,7 +168,8 @@ def plan_captures(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     if same.isEmpty():
         numbered = base.withColumn("ordinal", F.lit(0).cast("bigint"))
     else:
-        numbered = rank_in_groups(base, ["page_id", "digest"], [F.col("url"), F.rand(7)], "ordinal")
+        told_apart = cut(base.withColumn("_row", F.monotonically_increasing_id()), "pages")  # written, so that numbers stay
+        numbered = rank_in_groups(told_apart, ["page_id", "digest"], [F.col("_row")], "ordinal")
     few = firsts.count() <= BROADCAST_ROWS
     joined = numbered.join(F.broadcast(firsts) if few else firsts, F.col("digest") == F.col("d"), "left")
     is_first = F.col("least").isNull() | (F.col("page_id").eqNullSafe(F.col("least")) & (F.col("ordinal") == 0))
