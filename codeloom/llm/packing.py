@@ -5,15 +5,15 @@ each configuration (a multiset of lengths that fits a sequence) so that every le
 covered and as few sequences as possible are used. Multiplicative weights solve it: the
 weights of uncovered lengths are prices, an unbounded-knapsack dynamic programme finds
 the dearest configurations at these prices, and their use lowers the prices of what they
-cover. The fractional solution is rounded down to whole configurations, then up where
-demand is left, and the few pieces left over go to the fullest sequence that holds them
-(best fit). Only the histogram, of at most ``capacity`` entries, reaches the driver.
+cover. The fractional solution is rounded to whole configurations in several ways, and the
+pieces left over go to the fullest sequence that holds them (best fit). Only the histogram, of at most ``capacity`` entries, reaches the driver.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +47,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int
         encode = encoder(path).encode
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
-            for lo, hi in slices(text_sizes(texts), 4_000_000):
+            for lo, hi in slices(text_sizes(texts), 8_000_000):
                 rows: tuple[list, list, list, list, list] = ([], [], [], [], [])
                 for k, got in enumerate(encode(texts.slice(lo, hi - lo))):
                     got += end
@@ -150,25 +150,39 @@ def best_fit_rest(rest: dict[int, int], bins: list[tuple[int, tuple[int, ...]]],
     return [x for held in open_bins.values() for x in held]
 
 
+def round_configurations(use: dict[tuple[int, ...], float], rest: dict[int, int], capacity: int, limits: Sequence[Callable[[float], int]], order: Callable) -> list[tuple[int, tuple[int, ...]]]:
+    """Whole configurations for a fractional solution: one pass for each limit, as often as it and the demand allow; then best fit."""
+    rest, times = dict(rest), Counter()
+    ordered = sorted(use.items(), key=order)
+    counts = {c: Counter(c) for c, _ in ordered}
+    for limit in limits:
+        for c, x in ordered:
+            k = min(limit(x), min(rest[y] // m for y, m in counts[c].items()))
+            if k > 0:
+                times[c] += k
+                for y, m in counts[c].items():
+                    rest[y] -= k * m
+    return best_fit_rest(rest, [(k, c) for c, k in sorted(times.items())], capacity)
+
+
 def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[int, tuple[int, ...]]]:
-    """Configurations with how many sequences use each; together they hold every piece exactly once."""
+    """Configurations with how many sequences use each; together they hold every piece exactly once.
+
+    The fractional solution is rounded in four ways, and the one with the fewest sequences
+    kept: down and to the nearest, down and up in the order of waste or of the longest
+    piece, and down only. Few pieces of each length favour less rounding up, many more.
+    """
     rest = {x: n for x, n in histogram.items() if n}
     full = rest.pop(capacity, 0)
     chosen: list[tuple[int, tuple[int, ...]]] = []
     if rest:
         lengths = np.array(sorted(rest), np.int64)
         use = fractional_configurations(lengths, np.array([rest[int(x)] for x in lengths], float), capacity, rounds)
-        ordered = sorted(use.items(), key=lambda c: (capacity - sum(c[0]), -c[1], c[0]))
-        times_of: Counter = Counter()
-        counts = {c: Counter(c) for c, _ in ordered}
-        for limit in (lambda x: int(x), lambda x: int(-(-x // 1)), lambda x: 1 << 62):
-            for c, x in ordered:
-                k = min(limit(x), min(rest[y] // m for y, m in counts[c].items()))
-                if k > 0 and (limit(0) == 0 or sum(c) == capacity):
-                    times_of[c] += k
-                    for y, m in counts[c].items():
-                        rest[y] -= k * m
-        chosen = best_fit_rest(rest, [(k, c) for c, k in sorted(times_of.items())], capacity)
+        by_waste = lambda c: (capacity - sum(c[0]), -c[1], c[0])
+        by_longest = lambda c: (-c[0][0], capacity - sum(c[0]), -c[1], c[0])
+        down, nearest, up = int, lambda x: int(x + 0.5), math.ceil
+        ways = (((down, nearest), by_waste), ((down, up), by_longest), ((down, up), by_waste), ((down,), by_waste))
+        chosen = min((round_configurations(use, rest, capacity, limits, order) for limits, order in ways), key=lambda found: sum(k for k, _ in found))
     return [(full, (capacity,))] * bool(full) + chosen
 
 
