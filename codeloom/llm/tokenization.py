@@ -20,10 +20,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Memory of a worker: so many pieces, each of at most so many characters.
-CACHE_PIECES = 150_000
+CACHE_PIECES = 400_000
 LONGEST_PIECE = 48
 #: Pieces that go through the library together.
-AT_ONCE = 4096
+AT_ONCE = 32_768
 
 _run_then_space = re.compile(r"\s ")
 _separators = re.compile(r"[\x1c-\x1f]")
