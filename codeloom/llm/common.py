@@ -23,6 +23,10 @@ def shared_dir(spark: SparkSession) -> str:
     if not set_to:
         set_to = "file://" + tempfile.mkdtemp(prefix="codeloom-")
         spark.sparkContext.setCheckpointDir(set_to)
+    if "://" not in set_to:  # a path on the cluster's own file system
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(set_to)
+        whole = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+        set_to = whole if "://" in whole else whole.replace(":/", ":///", 1)
     return set_to.rstrip("/")
 
 
