@@ -1,6 +1,6 @@
 """Language identification by nearest centroids.
 
-A text is the vector of its hashed character 1-, 2- and 3-grams, weighted by TF-IDF and of
+A text is the vector of its letters' hashed 1-, 2- and 3-grams, weighted by TF-IDF and of
 length one. Each language has several centroids, found by spherical k-means among its
 labelled texts. A text gets the language of the centroid with the largest cosine, and is
 rejected if it lies farther from that centroid than its members do, by a margin.
@@ -8,6 +8,7 @@ rejected if it lies farther from that centroid than its members do, by a margin.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -29,12 +30,13 @@ LOW_QUANTILE = 0.01
 MARGIN = 0.4
 UNKNOWN = "und"
 _CHUNK = 1_000_000
+_words = re.compile(r"[^\W\d_]+")
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
 def ngram_counts(text: str, dimensions: int = DIMENSIONS) -> np.ndarray:
-    """Counts of the hashed 1-, 2- and 3-grams of the whole text, lower-cased, white space folded."""
-    folded = f" {' '.join(text.lower().split())} "
+    """Counts of the hashed 1-, 2- and 3-grams of the whole text's words: runs of letters, lower-cased, a space between them."""
+    folded = f" {' '.join(_words.findall(text.lower()))} "
     counts = np.zeros(dimensions, np.int64)
     shift = np.uint64(64 - dimensions.bit_length() + 1)
     for at in range(0, len(folded), _CHUNK):

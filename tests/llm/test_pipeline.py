@@ -75,7 +75,15 @@ def test_language_accuracy_on_held_out_documents(spark):
     assert len(rows) == len(truth)
     held = [r for r in rows if r.held_out]
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
-    assert np.mean([r.lang_pred == truth[r.doc_id][0] for r in held]) >= 0.96
+    assert np.mean([r.lang_pred == truth[r.doc_id][0] for r in held]) >= 0.99
+
+
+def test_texts_far_from_all_languages_are_rejected(spark):
+    from codeloom.llm.language import identify_languages, learn_languages
+
+    model = learn_languages(spark.read.parquet(f"{LARGER}/documents.parquet"))
+    far = spark.createDataFrame([(1, "日本語の文章です"), (2, "Это русский текст"), (3, "zqxj kvwq xzkq jqvx wqzk")], "doc_id bigint, text string")
+    assert [r.rejected for r in identify_languages(far, model).orderBy("doc_id").collect()] == [True, True, True]
 
 
 def test_recall_of_nearest_neighbours(spark):
