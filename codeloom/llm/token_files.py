@@ -198,7 +198,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
                 where, base = _filesystem(folder)
                 where.create_dir(base, recursive=True)
                 writer = TokenFileWriter(where.open_output_stream(f"{base}/{name}"))
-            for lo, hi in slices(text_sizes(batch.column(1)), 8_000_000):
+            for lo, hi in slices(text_sizes(batch.column(1)), 12_000_000):
                 ids = batch.column(0).slice(lo, hi - lo).to_pylist()
                 for doc_id, got in zip(ids, encode(batch.column(1).slice(lo, hi - lo))):
                     writer.add(doc_id, got + end)
@@ -234,7 +234,7 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
                         for column, value in zip(rows, (reader.doc_ids[k], start + int(reader.firsts[k]), len(ids) // 4, ids)):
                             column.append(value)
                         size += len(ids)
-                        if size > 8_000_000:
+                        if size > 12_000_000:
                             yield out(rows)
                             rows, size = ([], [], [], []), 0
                     if rows[0]:

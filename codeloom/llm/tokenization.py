@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Memory of a worker: so many pieces, each of at most so many characters.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 600_000
 LONGEST_PIECE = 48
 #: Pieces that go through the library together.
 AT_ONCE = 32_768
