@@ -24,6 +24,7 @@ CACHE_PIECES = 600_000
 LONGEST_PIECE = 48
 #: Pieces that go through the library together.
 AT_ONCE = 32_768
+JOINED = 4096
 
 _run_then_space = re.compile(r"\s ")
 _separators = re.compile(r"[\x1c-\x1f]")
@@ -44,6 +45,11 @@ class PieceEncoder:
         self.cache_pieces = cache_pieces
         #: whether the tokenizer lower-cases, so that texts may be lower-cased before they are looked up
         self.lowers = '"Lowercase"' in json.dumps(json.loads(self.tokenizer.to_str())["normalizer"])
+        #: bytes of text that each id stands for; a token's characters are bytes but for a mark of the word's end
+        self.stands_for = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.stands_for[i] = len(token.removesuffix("</w>"))
+        self.drops_space = int(self.stands_for[self.tokenizer.encode(" a", add_special_tokens=False).ids].sum()) == 1
         #: parts that follow a space (or, marked, the start of a text); whole pieces of doubtful texts
         self.known: tuple[dict[str, bytes], dict[str, bytes]] = ({"\0": b""}, {})
 
@@ -59,7 +65,32 @@ class PieceEncoder:
         return [text] if _separators.search(text) else _careful.findall(text)
 
     def fresh(self, pieces: list[str]) -> Iterable[bytes]:
-        """The ids of pieces not seen before."""
+        """The ids of pieces not seen before.
+
+        ASCII pieces that follow a space go through the library joined, and the ids are
+        dealt out by the bytes that each stands for; should these not come out even, and
+        for all other pieces, each goes alone.
+        """
+        out: list[bytes | None] = [None] * len(pieces)
+        joined = [i for i, p in enumerate(pieces) if p.isascii() and p[:1] == " " and not p[-1].isspace()]
+        for at in range(0, len(joined), JOINED):
+            part = joined[at : at + JOINED]
+            texts = [pieces[i] for i in part]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(texts)], add_special_tokens=False)[0].ids, "<u4")
+            reach = np.cumsum(self.stands_for[ids])
+            sizes = [len("".join(t.split())) for t in texts] if self.drops_space else [len(t) for t in texts]
+            wanted = np.cumsum(sizes)
+            stops = np.searchsorted(reach, wanted)
+            if len(reach) and reach[-1] == wanted[-1] and (reach[stops] == wanted).all():
+                data, bounds = ids.tobytes(), ((stops + 1) * 4).tolist()
+                for i, a, b in zip(part, [0, *bounds], bounds):
+                    out[i] = data[a:b]
+        alone = [i for i, x in enumerate(out) if x is None]
+        for i, ids in zip(alone, self._alone([pieces[i] for i in alone])):
+            out[i] = ids
+        return out
+
+    def _alone(self, pieces: list[str]) -> Iterable[bytes]:
         for at in range(0, len(pieces), AT_ONCE):  # the library's results are large
             for e in self.tokenizer.encode_batch_fast(pieces[at : at + AT_ONCE], add_special_tokens=False):
                 yield array("I", e.ids).tobytes()
