@@ -5,9 +5,10 @@ share holds paragraphs of both, wherever it stands in them. Its MinHash over fiv
 shingles comes from sliding minima; two bands of two minima each collide for equal
 paragraphs always, and for two paragraphs of similarity 0.75 with 0.81, which the many
 paragraphs of one passage raise. The paragraphs of a band key are compared with one of
-them, that of the least document id. From each collision the shared passage is stretched
-to both sides over equal words and small edits, and kept if it has at least 50 words and
-the exact shingle sets of its two sides have a similarity of at least 0.75. Documents that
+them, that of the least document id. A collision counts if two 50-word paragraphs that hold
+the shared shingle have exact shingle sets of a similarity of at least 0.75, or stand in a
+longer passage of which that is true; it is stretched to both sides over equal words, and
+over edits of any length while its similarity stays there. Documents that
 share passages form clusters (connected components); in each, the copy of the least
 document stays and the others are removals.
 """
@@ -15,7 +16,7 @@ document stays and the others are removals.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +31,6 @@ PARAGRAPH = 50
 WORDS = 5
 BANDS = 2
 THRESHOLD = 0.75
-#: Longest edit that a passage is stretched over, in words; equal words needed after it.
-EDIT = 4
-ANCHOR = 4
 SLICE = 1_000_000
 BLOCK = 1_000_000
 BROADCAST_ROWS = 500_000
@@ -40,9 +38,6 @@ BROADCAST_ROWS = 500_000
 ROWS = 256
 
 
-_EDITS = sorted(((p, q) for p in range(EDIT + 1) for q in range(EDIT + 1) if p + q), key=lambda e: (sum(e), abs(e[0] - e[1])))
-
-
 def sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
     """The minimum of each run of ``width`` values."""
     out, have = values, 1
@@ -155,36 +150,152 @@ def colliding_paragraphs(docs: DataFrame, blocks: int) -> DataFrame:
     return dealt.sortWithinPartitions("block").mapInArrow(lean(gather), "b bigint, a bigint, pb bigint, pa bigint")
 
 
-def stretch(x: np.ndarray, y: np.ndarray, i: int, j: int, edits: Sequence[tuple[int, int]] = _EDITS) -> list[tuple[int, int, int]]:
-    """The equal runs around the equal words x[i] and y[j], in order: (start in x, start in y, words).
+class Alignment:
+    """The shingles that two texts share, and passages around them.
 
-    Goes on while words are equal, and over an edit of up to ``EDIT`` words on either side
-    if ``ANCHOR`` equal words follow it.
+    A chain of equal runs and edits between them has a Jaccard similarity of at least t just
+    if its score is not negative: 1 - t for each shared shingle, less t for each other one on
+    either side. So an edit may be as long as what is equal around it pays for.
     """
 
-    def run(x: np.ndarray, y: np.ndarray, i: int, j: int) -> list[tuple[int, int, int]]:
-        runs = []
+    def __init__(self, x: np.ndarray, y: np.ndarray, threshold: float = THRESHOLD, k: int = WORDS):
+        self.x, self.y, self.threshold, self.k = x, y, threshold, k
+        self.gx, self.gy = shingle_hashes(x, k), shingle_hashes(y, k)
+        self.order = np.argsort(self.gy, kind="stable")
+        ordered = self.gy[self.order]
+        self.lo, self.hi = np.searchsorted(ordered, self.gx), np.searchsorted(ordered, self.gx, "right")
+        self.common = np.flatnonzero(self.hi > self.lo)
+        self._mirror: Alignment | None = None
+
+    def meets(self, u: int) -> list[int]:
+        """Where y has x's shingle u, in order."""
+        return self.order[self.lo[u] : self.hi[u]].tolist()
+
+    def equal(self, u: int, v: int) -> int:
+        """The number of equal shingles from u in x and v in y on."""
+        n, at = min(len(self.gx) - u, len(self.gy) - v), 0
+        while at < n:  # in steps, so a long passage costs its length once
+            differ = self.gx[u + at : min(u + at + 256, u + n)] != self.gy[v + at : min(v + at + 256, v + n)]
+            if differ.any():
+                return at + int(differ.argmax())
+            at += len(differ)
+        return n
+
+    def onward(self, u: int, v: int, credit: float) -> list[tuple[int, int, int]]:
+        """The runs (u, v, shingles) from the shared shingle on, each the nearest after the last, while the rest may pay for the edit."""
+        t, score, runs = self.threshold, credit, []
         while True:
-            n, at = min(len(x) - i, len(y) - j), 0
-            while at < n:  # in steps, so a long passage costs its length once
-                differ = x[i + at : min(i + at + 256, i + n)] != y[j + at : min(j + at + 256, j + n)]
-                if differ.any():
-                    at += int(differ.argmax())
-                    break
-                at += len(differ)
-            runs.append((i, j, at))
-            i, j = i + at, j + at
-            for p, q in edits:
-                if i + p + ANCHOR <= len(x) and j + q + ANCHOR <= len(y) and (x[i + p : i + p + ANCHOR] == y[j + q : j + q + ANCHOR]).all():
-                    i, j = i + p, j + q
+            n = self.equal(u, v)
+            runs.append((u, v, n))
+            u, v, score = u + n, v + n, score + (1 - t) * n
+            near, best = (score + (1 - t) * min(len(self.gx) - u, len(self.gy) - v)) / t, None
+            for i in range(int(np.searchsorted(self.common, u)), len(self.common)):
+                w = int(self.common[i])
+                if w - u > near:
                     break
-            else:
+                at = self.order[self.lo[w] : self.hi[w]]
+                j = int(np.searchsorted(at, v))
+                if j < len(at) and w - u + int(at[j]) - v <= near:
+                    best = (w, int(at[j]))
+                    near = w - u + best[1] - v - 1
+            if best is None:
                 return runs
-
-    first, *after = run(x, y, i, j)
-    last, *before = run(x[:i][::-1], y[:j][::-1], 0, 0)
-    middle = (i - last[2], j - last[2], last[2] + first[2])
-    return [*((i - a - n, j - b - n, n) for a, b, n in reversed(before)), middle, *after]
+            score -= t * (best[0] - u + best[1] - v)
+            u, v = best
+
+    def chain(self, u: int, v: int) -> list[tuple[int, int, int]]:
+        """The runs to both sides of a shared shingle, in order."""
+        if self._mirror is None:
+            self._mirror = Alignment(self.x[::-1], self.y[::-1], self.threshold, self.k)
+        n, m, gain = len(self.gx), len(self.gy), 1 - self.threshold
+        after = self.onward(u, v, gain * min(u, v))
+        before = self._mirror.onward(n - 1 - u, m - 1 - v, gain * min(n - u, m - v))
+        first, last = before[0], after[0]  # both have the shingle itself
+        middle = (u - first[2] + 1, v - first[2] + 1, first[2] + last[2] - 1)
+        return [*((n - a - c, m - b - c, c) for a, b, c in reversed(before[1:])), middle, *after[1:]]
+
+    def passages(self, runs: list[tuple[int, int, int]], paragraph: int = PARAGRAPH) -> list[tuple[int, int, int]]:
+        """(start in x, start in y, words in x) of the longest parts of a chain that are similar enough."""
+        found, todo, t, k = [], [runs], self.threshold, self.k
+        while todo:
+            runs = todo.pop()
+            before, after, score = [], [], 0.0
+            for i, (u, v, n) in enumerate(runs):
+                if i:
+                    score -= t * (u + v - sum(runs[i - 1][:2]) - 2 * runs[i - 1][2])
+                before.append(score)
+                score += (1 - t) * n
+                after.append(score)
+            lows: list[int] = []
+            for i, s in enumerate(before):
+                if not lows or s < before[lows[-1]]:
+                    lows.append(i)
+            best, longest = None, 0
+            for j in range(len(runs) - 1, -1, -1):
+                while lows and (lows[-1] > j or after[j] >= before[lows[-1]] - 1e-9):
+                    i = lows.pop()
+                    size = min(runs[j][c] + runs[j][2] - runs[i][c] for c in (0, 1)) + k - 1
+                    if i <= j and size > longest:
+                        best, longest = (i, j), size
+            if best is None or longest < paragraph:
+                continue
+            i, j = best
+            (xa, ya, _), (xb, yb, n) = runs[i], runs[j]
+            xb, yb = xb + n + k - 1, yb + n + k - 1
+            if similar(self.x[xa:xb], self.y[ya:yb], t, k):
+                found.append((xa, ya, xb - xa))
+                todo += [part for part in (runs[:i], runs[j + 1 :]) if part]
+            else:  # repeated shingles count once in a set
+                found += [(u, v, n + k - 1) for u, v, n in runs if n + k - 1 >= paragraph]
+        return found
+
+    def paragraph(self, u: int, v: int, paragraph: int = PARAGRAPH) -> tuple[int, int, int] | None:
+        """Of all paragraphs that hold the shared shingle the most similar two, over equal words to both sides; none below the threshold."""
+        n = paragraph - self.k + 1
+        if min(len(self.gx), len(self.gy)) < n:
+            return None
+        (s, s_end), (t, t_end) = ((max(0, i - n + 1), min(i, len(g) - n) + 1) for i, g in ((u, self.gx), (v, self.gy)))
+        parts = [self.gx[s : s_end + n - 1], self.gy[t : t_end + n - 1]]
+        names, ids = np.unique(np.concatenate(parts), return_inverse=True)
+        held = []
+        for part in (ids[: len(parts[0])], ids[len(parts[0]) :]):
+            has = np.zeros((len(part) - n + 1, len(names)), np.float32)
+            has[np.arange(len(has))[:, None], np.lib.stride_tricks.sliding_window_view(part, n)] = 1
+            held.append(has)
+        both = held[0] @ held[1].T
+        share = both / (held[0].sum(1)[:, None] + held[1].sum(1) - both)
+        i, j = divmod(int(share.argmax()), share.shape[1])
+        if share[i, j] < self.threshold:
+            return None
+        xa, ya, xb, yb = s + i, t + j, s + i + paragraph, t + j + paragraph
+        while xa and ya and self.x[xa - 1] == self.y[ya - 1]:
+            xa, ya = xa - 1, ya - 1
+        while xb < len(self.x) and yb < len(self.y) and self.x[xb] == self.y[yb]:
+            xb, yb = xb + 1, yb + 1
+        return xa, ya, xb - xa
+
+
+def shared_passages(x: np.ndarray, y: np.ndarray, seeds: Iterable[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """(start in x, start in y, words in x) of the passages around places (in x, in y) where a shingle may be shared.
+
+    At each place not yet in a passage the chain of equal runs is cut into its longest parts
+    that are similar enough; if the place is in none of them, the paragraphs themselves decide.
+    """
+    if len(x) == len(y) and (x == y).all():
+        return [(0, 0, len(x))] if len(x) >= PARAGRAPH else []
+    found = Alignment(x, y)
+    kept: list[tuple[int, int, int]] = []
+    tried: set[tuple[int, int]] = set()
+    for u, v in sorted(set(seeds)):
+        if u >= len(found.gx) or v >= len(found.gy) or found.gx[u] != found.gy[v] or any(lo <= u < lo + n for lo, _, n in kept):
+            continue
+        if (u, v) not in tried:
+            runs = found.chain(u, v)
+            tried.update((a + i, b + i) for a, b, n in runs for i in range(n))
+            kept += found.passages(runs)
+        if not any(lo <= u < lo + n for lo, _, n in kept) and (one := found.paragraph(u, v)):
+            kept.append(one)
+    return kept
 
 
 def similar(x: np.ndarray, y: np.ndarray, threshold: float = THRESHOLD, k: int = WORDS) -> bool:
@@ -239,22 +350,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             rows: tuple[list, list, list, list, list] = ([], [], [], [], [])
             for b, a, seeds, x, y in zip(*(c.to_pylist() for c in batch.columns)):
                 x, y = (np.frombuffer(w, "<u4").astype(np.uint64) for w in (x, y))
-                kept: list[tuple[int, int, int]] = []
-                tried: list[tuple[int, int]] = []
-                for i, j in sorted((s["pb"], s["pa"]) for s in seeds):
-                    if i >= len(x) or j >= len(y) or x[i] != y[j] or any(lo <= i < lo + n for lo, _, n in kept):
-                        continue
-                    if any(lo <= i < hi for lo, hi in tried):  # the edits there were too many; the equal run alone may do
-                        kept += [r for r in stretch(x, y, i, j, ()) if r[2] >= PARAGRAPH]
-                        continue
-                    runs = stretch(x, y, i, j)
-                    xa, xb, ya, yb = runs[0][0], sum(runs[-1][::2]), runs[0][1], sum(runs[-1][1:])
-                    if min(xb - xa, yb - ya) >= PARAGRAPH and similar(x[xa:xb], y[ya:yb]):
-                        kept.append((xa, ya, xb - xa))
-                    else:
-                        tried.append((xa, xb))
-                        kept += [r for r in (*runs, *stretch(x, y, i, j, ())) if r[2] >= PARAGRAPH]
-                for start, kept_start, n in kept:
+                for start, kept_start, n in shared_passages(x, y, ((s["pb"], s["pa"]) for s in seeds)):
                     for column, value in zip(rows, (b, start, n, a, kept_start)):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()) for r in rows], names=["doc_id", "start_word", "n_words", "kept_doc_id", "kept_start_word"])
