@@ -49,7 +49,7 @@ def sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def band_keys(data: np.ndarray, offsets: np.ndarray, paragraph: int = PARAGRAPH, k: int = WORDS, bands: int = BANDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, text, place): band keys of all paragraphs of the texts, once for each text and run of equal keys.
+    """(key, text, place): band keys of all paragraphs of the texts, once for each run of equal keys.
 
     ``place`` is the word at which the first minimum's shingle starts.
     """
@@ -77,24 +77,22 @@ def band_keys(data: np.ndarray, offsets: np.ndarray, paragraph: int = PARAGRAPH,
         found.append((key, owner[at], place))
     key, owner, place = (np.concatenate(x) for x in zip(*found))
     order = np.lexsort((place, owner, key))
-    key, owner, place = key[order], owner[order], place[order]
-    keep = np.concatenate(([True], (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])))
-    return key[keep], owner[keep], place[keep]
+    return key[order], owner[order], place[order]
 
 
-def _star(key: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (b, a, b's place, a's place) of each key's documents with its least one, and where the least ones stand.
+def _star(key: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(b, a, b's place) of each key's documents and its least one, at all places, and the rows of the least ones.
 
-    Rows are sorted by key and document.
+    Rows are sorted by key and document. Where a has the shingle, verification looks up.
     """
     first = np.concatenate(([True], key[1:] != key[:-1]))
     lead = np.flatnonzero(first)[np.cumsum(first) - 1]
     other = doc != doc[lead]
-    return doc[other], doc[lead[other]], place[other], place[lead[other]], np.flatnonzero(first)
+    return doc[other], doc[lead[other]], place[other], np.flatnonzero(~other)
 
 
 def colliding_paragraphs(docs: DataFrame, blocks: int) -> DataFrame:
-    """(b, a, pb, pa): a document, the least document with the same band key, and where both have it.
+    """(b, a, pb): a document, the least document with the same band key, and each place where the first has it.
 
     Documents of one slice are compared there, and only the least goes on to the key's
     block, so no block gets more rows of a key than there are slices.
@@ -110,26 +108,26 @@ def colliding_paragraphs(docs: DataFrame, blocks: int) -> DataFrame:
                 doc = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)[owner]
                 order = np.lexsort((place, doc, key))
                 key, doc, place = key[order], doc[order], place[order]
-                b, a, pb, pa_, lead = _star(key, doc, place)
-                rows: tuple[list, list, list, list, list] = ([], [], [], [], [])
+                b, a, pb, lead = _star(key, doc, place)
+                rows: tuple[list, list, list, list] = ([], [], [], [])
                 if len(b):
-                    for column, value in zip(rows, (-1 - int(b[0] % 997), b.tobytes(), a.tobytes(), pb.tobytes(), pa_.tobytes())):
+                    for column, value in zip(rows, (-1 - int(b[0] % 997), b.tobytes(), a.tobytes(), pb.tobytes())):
                         column.append(value)
                 key, doc, place = key[lead], doc[lead], place[lead]
                 block = (key >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)
                 edges = np.concatenate(([0], np.flatnonzero(block[1:] != block[:-1]) + 1, [len(block)]))
                 for x, y in zip(edges[:-1].tolist(), edges[1:].tolist()):
-                    for column, value in zip(rows, (int(block[x]), key[x:y].tobytes(), doc[x:y].tobytes(), place[x:y].astype("<u4").tobytes(), b"")):
+                    for column, value in zip(rows, (int(block[x]), key[x:y].tobytes(), doc[x:y].tobytes(), place[x:y].astype("<u4").tobytes())):
                         column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), *(pa.array(r, pa.binary()) for r in rows[1:])], names=["block", "w", "x", "y", "z"])
+                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), *(pa.array(r, pa.binary()) for r in rows[1:])], names=["block", "w", "x", "y"])
 
-    def out(b, a, pb, pa_) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.asarray(c, np.int64)) for c in (b, a, pb, pa_)], names=["b", "a", "pb", "pa"])
+    def out(b, a, pb) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.asarray(c, np.int64)) for c in (b, a, pb)], names=["b", "a", "pb"])
 
     def meet(held: list[tuple[bytes, bytes, bytes]]) -> pa.RecordBatch:
         key, doc, place = (np.concatenate([np.frombuffer(r[i], kind) for r in held]) for i, kind in enumerate(("<u8", "<i8", "<u4")))
         order = np.lexsort((place, doc, key))
-        return out(*_star(key[order], doc[order], place[order])[:4])
+        return out(*_star(key[order], doc[order], place[order])[:3])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, held = None, []
@@ -142,12 +140,12 @@ def colliding_paragraphs(docs: DataFrame, blocks: int) -> DataFrame:
                     yield meet(held)
                     held = []
                 block = n
-                held.append(parts[:3])
+                held.append(parts)
         if held:
             yield meet(held)
 
-    dealt = docs.mapInArrow(lean(spread), "block bigint, w binary, x binary, y binary, z binary").repartition(min(blocks, 4 * partitions(docs.sparkSession)), "block")
-    return dealt.sortWithinPartitions("block").mapInArrow(lean(gather), "b bigint, a bigint, pb bigint, pa bigint")
+    dealt = docs.mapInArrow(lean(spread), "block bigint, w binary, x binary, y binary").repartition(min(blocks, 4 * partitions(docs.sparkSession)), "block")
+    return dealt.sortWithinPartitions("block").mapInArrow(lean(gather), "b bigint, a bigint, pb bigint")
 
 
 class Alignment:
@@ -275,8 +273,8 @@ class Alignment:
         return xa, ya, xb - xa
 
 
-def shared_passages(x: np.ndarray, y: np.ndarray, seeds: Iterable[tuple[int, int]]) -> list[tuple[int, int, int]]:
-    """(start in x, start in y, words in x) of the passages around places (in x, in y) where a shingle may be shared.
+def shared_passages(x: np.ndarray, y: np.ndarray, places: Iterable[int]) -> list[tuple[int, int, int]]:
+    """(start in x, start in y, words in x) of the passages around places in x whose shingle y may have, wherever it has it.
 
     At each place not yet in a passage the chain of equal runs is cut into its longest parts
     that are similar enough; if the place is in none of them, the paragraphs themselves decide.
@@ -286,15 +284,18 @@ def shared_passages(x: np.ndarray, y: np.ndarray, seeds: Iterable[tuple[int, int
     found = Alignment(x, y)
     kept: list[tuple[int, int, int]] = []
     tried: set[tuple[int, int]] = set()
-    for u, v in sorted(set(seeds)):
-        if u >= len(found.gx) or v >= len(found.gy) or found.gx[u] != found.gy[v] or any(lo <= u < lo + n for lo, _, n in kept):
+    for u in sorted(set(places)):
+        if u >= len(found.gx) or any(lo <= u < lo + n for lo, _, n in kept):
             continue
-        if (u, v) not in tried:
-            runs = found.chain(u, v)
-            tried.update((a + i, b + i) for a, b, n in runs for i in range(n))
-            kept += found.passages(runs)
-        if not any(lo <= u < lo + n for lo, _, n in kept) and (one := found.paragraph(u, v)):
-            kept.append(one)
+        for v in found.meets(u):
+            if (u, v) not in tried:
+                runs = found.chain(u, v)
+                tried.update((a + i, b + i) for a, b, n in runs for i in range(n))
+                kept += found.passages(runs)
+            if not any(lo <= u < lo + n for lo, _, n in kept) and (one := found.paragraph(u, v)):
+                kept.append(one)
+            if any(lo <= u < lo + n for lo, _, n in kept):
+                break
     return kept
 
 
@@ -330,7 +331,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(8, math.ceil(size / 40 / BLOCK))  # about one key for 40 bytes
     found = colliding_paragraphs(texts, blocks)
-    pairs = cut(found.groupBy("b", "a").agg(F.collect_list(F.struct("pb", "pa")).alias("seeds")), "passage-pairs")
+    pairs = cut(found.groupBy("b", "a").agg(F.collect_set("pb").alias("seeds")), "passage-pairs")
     ids = cut(pairs.select(F.col("b").alias("id")).union(pairs.select("a")).distinct(), "passage-documents")
     few = ids.count() <= BROADCAST_ROWS
 
@@ -350,7 +351,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             rows: tuple[list, list, list, list, list] = ([], [], [], [], [])
             for b, a, seeds, x, y in zip(*(c.to_pylist() for c in batch.columns)):
                 x, y = (np.frombuffer(w, "<u4").astype(np.uint64) for w in (x, y))
-                for start, kept_start, n in shared_passages(x, y, ((s["pb"], s["pa"]) for s in seeds)):
+                for start, kept_start, n in shared_passages(x, y, seeds):
                     for column, value in zip(rows, (b, start, n, a, kept_start)):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()) for r in rows], names=["doc_id", "start_word", "n_words", "kept_doc_id", "kept_start_word"])

@@ -18,14 +18,6 @@ def hashes(*texts):
         yield word_hashes(np.frombuffer(data, np.uint8), np.array([0, len(data)]))[0]
 
 
-def seeds(x, y):
-    """All places of shared shingles: what any number of bands may find."""
-    from codeloom.llm.shingles import shingle_hashes
-
-    a, b = (shingle_hashes(w, 5) for w in (x, y))
-    return [(i, int(j)) for i in range(len(a)) for j in np.flatnonzero(b == a[i])]
-
-
 def edited(kind, rng):
     p = words(rng, {"replaced": 100, "two": 80, "inserted": 80, "last": 50, "deleted": 90}[kind])
     q = list(p)
@@ -50,7 +42,7 @@ def test_near_copies_are_verified_by_their_own_similarity(kind, lead):
     rng = random.Random(lead)
     p, q = edited(kind, rng)
     x, y = hashes([*words(rng, lead), *q, *words(rng, lead)], [*words(rng, lead // 2), *p, *words(rng, lead)])
-    found = shared_passages(x, y, seeds(x, y))
+    found = shared_passages(x, y, range(len(x)))
     covered = {i for a, _, n in found for i in range(a, a + n)}
     assert len(covered & set(range(lead, lead + len(q)))) >= len(q) - 1 and len(covered) <= len(q) + 1
 
@@ -61,4 +53,19 @@ def test_chance_collisions_are_not_passages():
     rng = random.Random(3)
     shared = words(rng, 36)
     x, y = hashes([*words(rng, 40), *shared, *words(rng, 40)], [*words(rng, 60), *shared, *words(rng, 60)])
-    assert shared_passages(x, y, seeds(x, y)) == []
+    assert shared_passages(x, y, range(len(x))) == []
+
+
+def test_every_copy_in_a_document_is_found(spark):
+    from codeloom.llm.passages import repeated_passages
+
+    rng = random.Random(4)
+    passage = words(rng, 55)
+    again = [*words(rng, 52), *passage, *words(rng, 7), *passage, *passage, *words(rng, 9), *passage]
+    rows = [(1, [*words(rng, 30), *passage, *words(rng, 40)]), (2, again), (3, [*words(rng, 60), *["of"] * 55, *words(rng, 60), *["of"] * 60]), (4, ["of"] * 52 + words(rng, 50))]
+    found = repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id bigint, text string")).collect()
+    spans = {(r.doc_id, i) for r in found for i in range(r.start_word, r.start_word + r.n_words)}
+    for start in (52, 114, 169, 233):
+        assert {(2, i) for i in range(start, start + 55)} <= spans
+    assert {(4, i) for i in range(52)} <= spans and not any(d in (1, 3) for d, _ in spans)
+    assert len(spans) <= 4 * 55 + 52 + 6
