@@ -2,9 +2,8 @@
 
 A paragraph is any run of 50 words, so a passage of more than 50 words that two documents
 share holds paragraphs of both, wherever it stands in them. Its MinHash over five-word
-shingles comes from sliding minima; two bands of two minima each collide for equal
-paragraphs always, and for two paragraphs of similarity 0.75 with 0.81, which the many
-paragraphs of one passage raise. The paragraphs of a band key are compared with one of
+shingles comes from sliding minima; six bands of two minima each collide for equal
+paragraphs always, and for two paragraphs of similarity 0.75 with 0.993. The paragraphs of a band key are compared with one of
 them, that of the least document id. A collision counts if two 50-word paragraphs that hold
 the shared shingle have exact shingle sets of a similarity of at least 0.75, or stand in a
 longer passage of which that is true; it is stretched to both sides over equal words, and
@@ -29,7 +28,7 @@ from .tokenization import slices, text_sizes
 
 PARAGRAPH = 50
 WORDS = 5
-BANDS = 2
+BANDS = 6
 THRESHOLD = 0.75
 SLICE = 1_000_000
 BLOCK = 1_000_000
@@ -164,6 +163,8 @@ class Alignment:
         self.lo, self.hi = np.searchsorted(ordered, self.gx), np.searchsorted(ordered, self.gx, "right")
         self.common = np.flatnonzero(self.hi > self.lo)
         self._mirror: Alignment | None = None
+        self._around: tuple = (-1,)
+        self._failed: set[tuple[bytes, bytes]] = set()
 
     def meets(self, u: int) -> list[int]:
         """Where y has x's shingle u, in order."""
@@ -252,19 +253,38 @@ class Alignment:
         n = paragraph - self.k + 1
         if min(len(self.gx), len(self.gy)) < n:
             return None
-        (s, s_end), (t, t_end) = ((max(0, i - n + 1), min(i, len(g) - n) + 1) for i, g in ((u, self.gx), (v, self.gy)))
-        parts = [self.gx[s : s_end + n - 1], self.gy[t : t_end + n - 1]]
-        names, ids = np.unique(np.concatenate(parts), return_inverse=True)
-        held = []
-        for part in (ids[: len(parts[0])], ids[len(parts[0]) :]):
-            has = np.zeros((len(part) - n + 1, len(names)), np.float32)
-            has[np.arange(len(has))[:, None], np.lib.stride_tricks.sliding_window_view(part, n)] = 1
-            held.append(has)
-        both = held[0] @ held[1].T
-        share = both / (held[0].sum(1)[:, None] + held[1].sum(1) - both)
+        at = np.arange(n)
+        starts = lambda i, g: np.arange(max(0, i - n + 1), min(i, len(g) - n) + 1)
+        if self._around[0] != u:
+            s = starts(u, self.gx)
+            names, ids = np.unique(self.gx[s[0] : s[-1] + n], return_inverse=True)
+            has = np.zeros((len(s), len(names)), np.float32)
+            has[np.arange(len(s))[:, None], ids[np.arange(len(s))[:, None] + at]] = 1
+            self._around = (u, s, names, has, has.sum(1))
+        _, s, names, has, size = self._around
+        t = starts(v, self.gy)
+        part = self.gy[t[0] : t[-1] + n]
+        same = (self.gx[s[0] : s[-1] + n].tobytes(), part.tobytes())
+        if same in self._failed:  # in repetitive texts
+            return None
+        ids = np.minimum(np.searchsorted(names, part), len(names) - 1)
+        shared = names[ids] == part
+        there = np.zeros(len(names), np.float32)
+        there[ids[shared]] = 1
+        if (has @ there < self.threshold * size).all():  # not even all of y's paragraphs together have enough
+            return None
+        _, own = np.unique(part, return_inverse=True)
+        held = np.zeros((len(t), int(own.max()) + 1), np.float32)
+        held[np.arange(len(t))[:, None], own[np.arange(len(t))[:, None] + at]] = 1
+        met = np.zeros((held.shape[1], len(names)), np.float32)
+        met[own[shared], ids[shared]] = 1
+        both = has @ (held @ met).T
+        share = both / (size[:, None] + held.sum(1) - both)
         i, j = divmod(int(share.argmax()), share.shape[1])
         if share[i, j] < self.threshold:
+            self._failed.add(same)
             return None
+        s, t = int(s[0]), int(t[0])
         xa, ya, xb, yb = s + i, t + j, s + i + paragraph, t + j + paragraph
         while xa and ya and self.x[xa - 1] == self.y[ya - 1]:
             xa, ya = xa - 1, ya - 1

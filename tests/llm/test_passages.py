@@ -69,3 +69,24 @@ def test_every_copy_in_a_document_is_found(spark):
         assert {(2, i) for i in range(start, start + 55)} <= spans
     assert {(4, i) for i in range(52)} <= spans and not any(d in (1, 3) for d, _ in spans)
     assert len(spans) <= 4 * 55 + 52 + 6
+
+
+def test_recall_of_short_near_copies():
+    """Of near copies of 50 to 60 words that brute force over all paragraphs finds, the bands find nearly all."""
+    from codeloom.llm.passages import band_keys
+    from codeloom.llm.shingles import shingle_hashes
+
+    rng, want, got = random.Random(5), 0, 0
+    for _ in range(1500):
+        p = words(rng, rng.randrange(50, 61))
+        q = list(p)
+        for at in rng.sample(range(len(p)), rng.choice([1, 2])):
+            q[at] = words(rng, 1)[0]
+        a, b = ([set(g[i : i + 46].tolist()) for i in range(len(g) - 45)] for g in (shingle_hashes(h, 5) for h in hashes(p, q)))
+        if not 0.75 <= max(len(s & t) / len(s | t) for s in a for t in b) < 0.82:
+            continue
+        data = [" ".join(w).encode() for w in (p, q)]
+        key, text, _ = band_keys(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+        want += 1
+        got += bool(set(key[text == 0].tolist()) & set(key[text == 1].tolist()))
+    assert want >= 200 and got >= 0.98 * want, (got, want)
