@@ -6,7 +6,9 @@ shingles comes from sliding minima; six bands of two minima each collide for equ
 paragraphs always, and for two paragraphs of similarity 0.75 with 0.993. The paragraphs of a band key are compared with one of
 them, that of the least document id. A collision counts if two 50-word paragraphs that hold
 the shared shingle have exact shingle sets of a similarity of at least 0.75, or stand in a
-longer passage of which that is true; it is stretched to both sides over equal words, and
+longer passage of which that is true. Documents that are not joined to it get a new lead, and
+after a few leads all pairs that may be similar enough are compared. A passage
+is stretched to both sides over equal words, and
 over edits of any length while its similarity stays there. Documents that
 share passages form clusters (connected components); in each, the copy of the least
 document stays and the others are removals.
@@ -19,7 +21,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, cut, lean, partitions, require
@@ -35,6 +37,8 @@ BLOCK = 1_000_000
 BROADCAST_ROWS = 500_000
 #: Pairs of documents that are unpacked at a time.
 ROWS = 256
+#: New leads of a key's unsettled documents, before their likely pairs are all compared.
+ROUNDS = 2
 
 
 def sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
@@ -79,19 +83,21 @@ def band_keys(data: np.ndarray, offsets: np.ndarray, paragraph: int = PARAGRAPH,
     return key[order], owner[order], place[order]
 
 
-def _star(key: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(b, a, b's place) of each key's documents and its least one, at all places, and the rows of the least ones.
+def _star(key: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
+    """(key, b, a, b's place) of keys of several documents, a being the least, itself too; the rows of all least ones.
 
     Rows are sorted by key and document. Where a has the shingle, verification looks up.
     """
-    first = np.concatenate(([True], key[1:] != key[:-1]))
-    lead = np.flatnonzero(first)[np.cumsum(first) - 1]
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    size = np.diff(np.concatenate((first, [len(key)])))
+    lead = np.repeat(first, size)
     other = doc != doc[lead]
-    return doc[other], doc[lead[other]], place[other], np.flatnonzero(~other)
+    several = np.repeat(np.logical_or.reduceat(other, first), size)
+    return (key[several], doc[several], doc[lead[several]], place[several]), np.flatnonzero(~other)
 
 
 def colliding_paragraphs(docs: DataFrame, blocks: int) -> DataFrame:
-    """(b, a, pb): a document, the least document with the same band key, and each place where the first has it.
+    """(key, b, a, pb): each place of a document with a band key that another has, and the least document compared with.
 
     Documents of one slice are compared there, and only the least goes on to the key's
     block, so no block gets more rows of a key than there are slices.
@@ -107,26 +113,26 @@ def colliding_paragraphs(docs: DataFrame, blocks: int) -> DataFrame:
                 doc = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)[owner]
                 order = np.lexsort((place, doc, key))
                 key, doc, place = key[order], doc[order], place[order]
-                b, a, pb, lead = _star(key, doc, place)
-                rows: tuple[list, list, list, list] = ([], [], [], [])
-                if len(b):
-                    for column, value in zip(rows, (-1 - int(b[0] % 997), b.tobytes(), a.tobytes(), pb.tobytes())):
+                met, lead = _star(key, doc, place)
+                rows: tuple[list, list, list, list, list] = ([], [], [], [], [])
+                if len(met[0]):
+                    for column, value in zip(rows, (-1 - int(met[0][0] % np.uint64(997)), *(m.tobytes() for m in met))):
                         column.append(value)
                 key, doc, place = key[lead], doc[lead], place[lead]
                 block = (key >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)
                 edges = np.concatenate(([0], np.flatnonzero(block[1:] != block[:-1]) + 1, [len(block)]))
                 for x, y in zip(edges[:-1].tolist(), edges[1:].tolist()):
-                    for column, value in zip(rows, (int(block[x]), key[x:y].tobytes(), doc[x:y].tobytes(), place[x:y].astype("<u4").tobytes())):
+                    for column, value in zip(rows, (int(block[x]), key[x:y].tobytes(), doc[x:y].tobytes(), place[x:y].astype("<u4").tobytes(), b"")):
                         column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), *(pa.array(r, pa.binary()) for r in rows[1:])], names=["block", "w", "x", "y"])
+                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), *(pa.array(r, pa.binary()) for r in rows[1:])], names=["block", "w", "x", "y", "z"])
 
-    def out(b, a, pb) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.asarray(c, np.int64)) for c in (b, a, pb)], names=["b", "a", "pb"])
+    def out(*columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=["key", "b", "a", "pb"])
 
     def meet(held: list[tuple[bytes, bytes, bytes]]) -> pa.RecordBatch:
         key, doc, place = (np.concatenate([np.frombuffer(r[i], kind) for r in held]) for i, kind in enumerate(("<u8", "<i8", "<u4")))
         order = np.lexsort((place, doc, key))
-        return out(*_star(key[order], doc[order], place[order])[:3])
+        return out(*_star(key[order], doc[order], place[order])[0])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, held = None, []
@@ -139,12 +145,12 @@ def colliding_paragraphs(docs: DataFrame, blocks: int) -> DataFrame:
                     yield meet(held)
                     held = []
                 block = n
-                held.append(parts)
+                held.append(parts[:3])
         if held:
             yield meet(held)
 
-    dealt = docs.mapInArrow(lean(spread), "block bigint, w binary, x binary, y binary").repartition(min(blocks, 4 * partitions(docs.sparkSession)), "block")
-    return dealt.sortWithinPartitions("block").mapInArrow(lean(gather), "b bigint, a bigint, pb bigint")
+    dealt = docs.mapInArrow(lean(spread), "block bigint, w binary, x binary, y binary, z binary").repartition(min(blocks, 4 * partitions(docs.sparkSession)), "block")
+    return dealt.sortWithinPartitions("block").mapInArrow(lean(gather), "key bigint, b bigint, a bigint, pb bigint")
 
 
 class Alignment:
@@ -351,8 +357,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(8, math.ceil(size / 40 / BLOCK))  # about one key for 40 bytes
     found = colliding_paragraphs(texts, blocks)
-    pairs = cut(found.groupBy("b", "a").agg(F.collect_set("pb").alias("seeds")), "passage-pairs")
-    ids = cut(pairs.select(F.col("b").alias("id")).union(pairs.select("a")).distinct(), "passage-documents")
+    found = cut(found, "colliding-paragraphs")
+    ids = cut(found.select(F.col("b").alias("id")).distinct(), "passage-documents")
     few = ids.count() <= BROADCAST_ROWS
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -376,9 +382,29 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()) for r in rows], names=["doc_id", "start_word", "n_words", "kept_doc_id", "kept_start_word"])
 
-    both = pairs.join(words.select(F.col("doc_id").alias("b"), F.col("words").alias("x")), "b").join(words.select(F.col("doc_id").alias("a"), F.col("words").alias("y")), "a")
-    verified = both.select("b", "a", "seeds", "x", "y").mapInArrow(lean(verify), "doc_id bigint, start_word bigint, n_words bigint, kept_doc_id bigint, kept_start_word bigint")
-    verified = cut(verified, "passages")
+    shape = "doc_id bigint, start_word bigint, n_words bigint, kept_doc_id bigint, kept_start_word bigint"
+
+    def passages(seeds: DataFrame) -> DataFrame:
+        pairs = seeds.groupBy("b", "a").agg(F.collect_set("pb").alias("seeds"))
+        both = pairs.join(words.select(F.col("doc_id").alias("b"), F.col("words").alias("x")), "b").join(words.select(F.col("doc_id").alias("a"), F.col("words").alias("y")), "a")
+        return cut(both.select("b", "a", "seeds", "x", "y").mapInArrow(lean(verify), shape), "passages")
+
+    done = found.where("a <> b").select("b", "a", "pb")
+    verified = passages(done)
+    rest = found.select("key", F.col("b").alias("doc"), F.col("pb").alias("place")).distinct()
+    for last in [False] * ROUNDS + [True]:
+        rest = cut(unsettled(rest, verified), "unsettled")
+        if rest.isEmpty():
+            break
+        if last:
+            seeds = likely_pairs(rest, words)
+        else:
+            leads = cut(rest.groupBy("key").agg(F.min("doc").alias("a")), "leads")
+            led = rest.join(leads, "key")
+            seeds = led.where("doc <> a").select(F.col("doc").alias("b"), "a", F.col("place").alias("pb"))
+            rest = led.where("doc <> a").select("key", "doc", "place")
+        seeds = cut(seeds.distinct().join(done, ["b", "a", "pb"], "left_anti"), "passage-seeds")
+        verified, done = verified.union(passages(seeds)), done.union(seeds)
     # of several documents that hold the same passage the least keeps it
     least = F.min(F.struct("kept_doc_id", "kept_start_word")).alias("k")
     removals = verified.groupBy("doc_id", "start_word", "n_words").agg(least).select("doc_id", "start_word", "n_words", "k.kept_doc_id", "k.kept_start_word")
@@ -386,6 +412,44 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return removals.join(clusters.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster_id")), "doc_id")
 
 
+def unsettled(rest: DataFrame, verified: DataFrame) -> DataFrame:
+    """Of (key, doc, place) the rows outside of all passages to be removed, of keys that several documents still have."""
+    gone = verified.select("doc_id", "start_word", (F.col("start_word") + F.col("n_words")).alias("end_word")).distinct()
+    rest = rest.join(gone, (rest.doc == gone.doc_id) & (rest.place >= gone.start_word) & (rest.place < gone.end_word), "left_anti")
+    several = rest.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo <> hi").select("key")
+    return rest.join(several, "key", "left_semi")
+
+
+def likely_pairs(rest: DataFrame, words: DataFrame) -> DataFrame:
+    """(b, a, pb): all pairs of a key's documents but those whose paragraphs there cannot be similar enough.
+
+    Similar paragraphs share at least t of the shingles of either, so of all shingles around
+    the place, the rarest of the key first, they meet in one before too few are left.
+    """
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = PARAGRAPH - WORDS + 1
+        for batch in (b.slice(lo, ROWS) for b in batches for lo in range(0, b.num_rows, ROWS)):
+            rows: tuple[list, list, list, list, list] = ([], [], [], [], [])
+            for key, doc, place, w in zip(*(c.to_pylist() for c in batch.columns)):
+                w = np.frombuffer(w, "<u4")[max(0, place - n + 1) : place + PARAGRAPH].astype(np.uint64)
+                grams = shingle_hashes(w, WORDS)
+                names, ids = np.unique(grams, return_inverse=True)
+                least = min((len(set(ids[i : i + n].tolist())) for i in range(len(ids) - n + 1)), default=1)
+                for column, value in zip(rows, ([key] * len(names), [doc] * len(names), [place] * len(names), names.astype(np.int64), [len(names) - math.ceil(THRESHOLD * least) + 1] * len(names))):
+                    column.append(np.asarray(value, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(r)) for r in rows], names=["key", "doc", "place", "gram", "enough"])
+
+    placed = rest.join(words.withColumnRenamed("doc_id", "doc"), "doc").select("key", "doc", "place", "words")
+    grams = placed.mapInArrow(lean(explode), "key bigint, doc bigint, place bigint, gram bigint, enough bigint")
+    grams = cut(grams, "paragraph-shingles")
+    df = grams.groupBy("key", "gram").agg(F.count("*").alias("df"))
+    own = Window.partitionBy("key", "doc", "place").orderBy("df", "gram")
+    rare = cut(grams.join(df, ["key", "gram"]).withColumn("r", F.row_number().over(own)).where("r <= enough and df > 1").select("key", "gram", "doc", "place"), "rare-shingles")
+    other = rare.select("key", "gram", F.col("doc").alias("a")).distinct()
+    return rare.join(other, ["key", "gram"]).where("a < doc").select(F.col("doc").alias("b"), "a", F.col("place").alias("pb")).distinct()
+
+
 def remove_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = None) -> DataFrame:
     """Cut the passages' words out of their documents' texts; all rows and columns stay.
 

@@ -90,3 +90,17 @@ def test_recall_of_short_near_copies():
         want += 1
         got += bool(set(key[text == 0].tolist()) & set(key[text == 1].tolist()))
     assert want >= 200 and got >= 0.98 * want, (got, want)
+
+
+def test_documents_not_joined_to_the_least_are_compared(spark):
+    """Least documents whose paragraphs share a band but are too different do not hide a repeat among the others."""
+    from codeloom.llm.passages import repeated_passages
+
+    rng, rows = random.Random(6), []
+    for i in range(0, 400, 10):
+        passage = words(rng, 52)
+        for j, (a, b) in enumerate([(0, 40), (12, 52), (1, 41)]):  # each shares 40 words: similarity 0.64
+            rows.append((i + j, [*words(rng, 28), *passage[a:b], *words(rng, 28)]))
+        rows += [(i + 8, [*words(rng, 33), *passage, *words(rng, 21)]), (i + 9, [*words(rng, 26), *passage, *words(rng, 29)])]
+    found = repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id bigint, text string").coalesce(1)).collect()
+    assert {(r.doc_id, r.start_word, r.n_words, r.kept_doc_id) for r in found if r.doc_id % 10 == 9} == {(i + 9, 26, 52, i + 8) for i in range(0, 400, 10)}
