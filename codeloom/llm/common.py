@@ -81,6 +81,18 @@ def lean(run: Callable) -> Callable:
     return wrapped
 
 
+def fresh(taken: Sequence[str], *names: str) -> list[str]:
+    """Column names like the given ones that no taken one equals, whatever its case."""
+    used = {c.lower() for c in taken}
+    out = []
+    for name in names:
+        while name.lower() in used:
+            name = f"_{name}"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def require(df: DataFrame, *columns: str) -> None:
     """A clear error for a table that lacks a column."""
     missing = [c for c in columns if c not in df.columns]

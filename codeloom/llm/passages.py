@@ -1,17 +1,28 @@
 """Substring deduplication by MinHash banding of paragraphs.
 
-A paragraph is any run of 50 words, so a passage of more than 50 words that two documents
-share holds paragraphs of both, wherever it stands in them. Its MinHash over five-word
-shingles comes from sliding minima; six bands of two minima each collide for equal
-paragraphs always, and for two paragraphs of similarity 0.75 with 0.993. The paragraphs of a band key are compared with one of
-them, that of the least document id. A collision counts if two 50-word paragraphs that hold
-the shared shingle have exact shingle sets of a similarity of at least 0.75, or stand in a
-longer passage of which that is true. Documents that are not joined to it get a new lead, and
-after a few leads all pairs that may be similar enough are compared. A passage
-is stretched to both sides over equal words, and
-over edits of any length while its similarity stays there. Documents that
-share passages form clusters (connected components); in each, the copy of the least
-document stays and the others are removals.
+A paragraph is any run of 50 words, so a passage of at least 50 words that two documents share
+holds paragraphs of both, wherever it stands in them. Paragraphs are similar if their sets of
+five-word shingles have a Jaccard similarity of at least 0.75.
+
+Bands. The signature of a paragraph holds two minima for each stretch of 20 of its 46 shingles;
+a band is a stretch. Similar paragraphs lack at most 6 of each other's shingles, and a place
+where their order breaks costs 4 at least, so they have one such place at most and a common
+stretch of 20 or more: one band of theirs is equal for certain. (Where shingles repeat inside
+a paragraph this is only nearly so.) Minima of sliding stretches are shared by most paragraphs
+around, so a text gives about one key for five words.
+
+Join. The documents of a band key are compared with the one of least id: the exact chains of
+equal runs between the two texts, each cut into its longest passages that are similar enough;
+if a place is in none, the paragraphs that hold it decide, by exact Jaccard. Documents that are
+not joined at some place meet the least of these at this key, and after that the least of those
+that also have the next shingle beyond either end of what they share with it, and so on: each
+round a group shares one shingle more, and when it shares a paragraph's worth all are joined, so
+a group of any size costs a few pairs a document and none of its documents is passed over. (Two
+that share just what their leads share, and go on together only behind an edit at that very
+place, meet by a minimum over the shingles behind it: nearly always.)
+
+Removal. Documents that share passages form clusters (connected components). A passage stays
+in the lesser document, and is removed from the other.
 """
 
 from __future__ import annotations
@@ -21,24 +32,27 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, lean, partitions, require
+from .common import components, cut, fresh, lean, partitions, require
 from .shingles import _stir, shingle_hashes, text_buffers, word_hashes
 from .tokenization import slices, text_sizes
 
 PARAGRAPH = 50
 WORDS = 5
-BANDS = 6
+STRETCH = 20
 THRESHOLD = 0.75
 SLICE = 1_000_000
-BLOCK = 1_000_000
+#: Keys of a block at most, about.
+BLOCK = 250_000
 BROADCAST_ROWS = 500_000
-#: Pairs of documents that are unpacked at a time.
-ROWS = 256
-#: New leads of a key's unsettled documents, before their likely pairs are all compared.
-ROUNDS = 2
+#: Shingles behind an edit of which the minimum is taken, and how far behind the run's end they start.
+BEYOND = 14
+EDIT = 6
+#: Where the documents that are not joined make at most so many pairs each, all are compared at once.
+EVEN = 2
+PAIRS_AT_ONCE = 8_000_000
 
 
 def sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
@@ -51,36 +65,33 @@ def sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def band_keys(data: np.ndarray, offsets: np.ndarray, paragraph: int = PARAGRAPH, k: int = WORDS, bands: int = BANDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, text, place): band keys of all paragraphs of the texts, once for each run of equal keys.
+def band_keys(data: np.ndarray, offsets: np.ndarray, paragraph: int = PARAGRAPH, k: int = WORDS, stretch: int = STRETCH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, text, place): band keys of all paragraphs of the texts, once for each run of equal keys, in order of place.
 
     ``place`` is the word at which the first minimum's shingle starts.
     """
     words, bounds = word_hashes(data, offsets)
     none = (np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))
+    span = stretch + k - 1
     if len(words) < paragraph:
         return none
-    text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    inside = text[: len(words) - paragraph + 1] == text[paragraph - 1 :]
+    sizes = np.diff(bounds)
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    inside = (text[: len(words) - span + 1] == text[span - 1 :]) & (sizes[text[: len(words) - span + 1]] >= paragraph)
     if not inside.any():
         return none
     owner = text[: len(inside)]
     grams = shingle_hashes(words, k)
     bits = np.uint64(max(24, len(words).bit_length()))
     places = np.arange(len(grams), dtype=np.uint64)
-    found = []
-    for band in range(bands):
-        minima = [sliding_minimum((_stir(grams + np.uint64((2 * band + i + 1) * 0xD6E8FEB86659FD93 % (1 << 64))) >> bits << bits) | places, paragraph - k + 1) for i in range(2)]
-        new = inside.copy()
-        new[1:] &= (minima[0][1:] != minima[0][:-1]) | (minima[1][1:] != minima[1][:-1]) | ~inside[:-1] | (owner[1:] != owner[:-1])
-        at = np.flatnonzero(new)
-        first = minima[0][at]
-        key = _stir(_stir(first >> bits) + (minima[1][at] >> bits) + np.uint64(band))
-        place = (first & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64) - bounds[owner[at]]
-        found.append((key, owner[at], place))
-    key, owner, place = (np.concatenate(x) for x in zip(*found))
-    order = np.lexsort((place, owner, key))
-    return key[order], owner[order], place[order]
+    first = sliding_minimum((_stir(grams + np.uint64(0xD6E8FEB86659FD93)) >> bits << bits) | places, stretch)
+    second = sliding_minimum(_stir(grams + np.uint64(0xA0761D6478BD642F)) >> bits, stretch)
+    new = inside.copy()
+    new[1:] &= (first[1:] != first[:-1]) | (second[1:] != second[:-1]) | ~inside[:-1] | (owner[1:] != owner[:-1])
+    at = np.flatnonzero(new)
+    key = _stir(_stir(first[at] >> bits) + second[at])
+    place = (first[at] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64) - bounds[owner[at]]
+    return key, owner[at], place
 
 
 def _star(key: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
@@ -129,15 +140,17 @@ def colliding_paragraphs(docs: DataFrame, blocks: int) -> DataFrame:
     def out(*columns) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=["key", "b", "a", "pb"])
 
-    def meet(held: list[tuple[bytes, bytes, bytes]]) -> pa.RecordBatch:
-        key, doc, place = (np.concatenate([np.frombuffer(r[i], kind) for r in held]) for i, kind in enumerate(("<u8", "<i8", "<u4")))
+    def meet(held: list[list[np.ndarray]]) -> pa.RecordBatch:
+        key, doc, place = (np.concatenate(c) for c in zip(*held))
         order = np.lexsort((place, doc, key))
         return out(*_star(key[order], doc[order], place[order])[0])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, held = None, []
         for batch in batches:
-            for n, *parts in zip(*(c.to_pylist() for c in batch.columns)):
+            numbers = batch.column(0).to_pylist()
+            for i, n in enumerate(numbers):
+                parts = [batch.column(c)[i].as_buffer() for c in range(1, 5)]  # no copies
                 if n < 0:
                     yield out(*(np.frombuffer(p, "<i8") for p in parts))
                     continue
@@ -145,89 +158,137 @@ def colliding_paragraphs(docs: DataFrame, blocks: int) -> DataFrame:
                     yield meet(held)
                     held = []
                 block = n
-                held.append(parts[:3])
+                held.append([np.array(np.frombuffer(p, kind)) for p, kind in zip(parts, ("<u8", "<i8", "<u4"))])
         if held:
             yield meet(held)
 
-    dealt = docs.mapInArrow(lean(spread), "block bigint, w binary, x binary, y binary, z binary").repartition(min(blocks, 4 * partitions(docs.sparkSession)), "block")
+    dealt = docs.mapInArrow(lean(spread), "block bigint, w binary, x binary, y binary, z binary").repartition(partitions(docs.sparkSession), "block")
     return dealt.sortWithinPartitions("block").mapInArrow(lean(gather), "key bigint, b bigint, a bigint, pb bigint")
 
 
+class Held:
+    """A text's words and shingles; ``index`` says where it has each shingle."""
+
+    def __init__(self, words: np.ndarray, k: int = WORDS):
+        self.words, self.grams = words, shingle_hashes(words, k)
+        self.order: np.ndarray | None = None
+
+    def index(self) -> None:
+        if self.order is None:
+            self.padded = np.concatenate((self.grams, np.zeros(64, np.uint64)))
+            self.order = np.argsort(self.grams, kind="stable")
+            ordered = self.grams[self.order]
+            self.ends = np.searchsorted(ordered, ordered, "right")
+            self.ordered = ordered
+
+    def ranges(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each of the shingles starts and ends in ``order``."""
+        self.index()
+        if not len(self.ordered):
+            return np.zeros(len(grams), np.int64), np.zeros(len(grams), np.int64)
+        lo = np.searchsorted(self.ordered, grams)
+        at = np.minimum(lo, len(self.ordered) - 1)
+        return lo, np.where(self.ordered[at] == grams, self.ends[at], lo)
+
+
+def equal_run(x: np.ndarray, y: np.ndarray) -> int:
+    """The number of equal elements that two arrays start with."""
+    n, at, step = min(len(x), len(y)), 0, 64
+    while at < n:  # in steps, so a long passage costs its length once
+        differ = x[at : min(at + step, n)] != y[at : min(at + step, n)]
+        first = int(differ.argmax())
+        if differ[first]:
+            return at + first
+        at, step = at + len(differ), min(4096, 4 * step)
+    return n
+
+
 class Alignment:
-    """The shingles that two texts share, and passages around them.
+    """The shingles that two texts x and y share, and passages around them.
 
     A chain of equal runs and edits between them has a Jaccard similarity of at least t just
     if its score is not negative: 1 - t for each shared shingle, less t for each other one on
     either side. So an edit may be as long as what is equal around it pays for.
     """
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, threshold: float = THRESHOLD, k: int = WORDS):
-        self.x, self.y, self.threshold, self.k = x, y, threshold, k
-        self.gx, self.gy = shingle_hashes(x, k), shingle_hashes(y, k)
-        self.order = np.argsort(self.gy, kind="stable")
-        ordered = self.gy[self.order]
-        self.lo, self.hi = np.searchsorted(ordered, self.gx), np.searchsorted(ordered, self.gx, "right")
-        self.common = np.flatnonzero(self.hi > self.lo)
-        self._mirror: Alignment | None = None
-        self._around: tuple = (-1,)
-        self._failed: set[tuple[bytes, bytes]] = set()
-
-    def meets(self, u: int) -> list[int]:
+    def __init__(self, x: Held, y: Held, threshold: float = THRESHOLD, k: int = WORDS):
+        self.x, self.y, self.gx, self.gy, self.threshold, self.k = x, y, x.grams, y.grams, threshold, k
+        self.lo, self.hi = y.ranges(self.gx)
+        self.shared = self.hi > self.lo
+        self.common = np.flatnonzero(self.shared)
+
+    def meets(self, u: int) -> np.ndarray:
         """Where y has x's shingle u, in order."""
-        return self.order[self.lo[u] : self.hi[u]].tolist()
-
-    def equal(self, u: int, v: int) -> int:
-        """The number of equal shingles from u in x and v in y on."""
-        n, at = min(len(self.gx) - u, len(self.gy) - v), 0
-        while at < n:  # in steps, so a long passage costs its length once
-            differ = self.gx[u + at : min(u + at + 256, u + n)] != self.gy[v + at : min(v + at + 256, v + n)]
-            if differ.any():
-                return at + int(differ.argmax())
-            at += len(differ)
-        return n
-
-    def onward(self, u: int, v: int, credit: float) -> list[tuple[int, int, int]]:
-        """The runs (u, v, shingles) from the shared shingle on, each the nearest after the last, while the rest may pay for the edit."""
-        t, score, runs = self.threshold, credit, []
-        while True:
-            n = self.equal(u, v)
-            runs.append((u, v, n))
-            u, v, score = u + n, v + n, score + (1 - t) * n
-            near, best = (score + (1 - t) * min(len(self.gx) - u, len(self.gy) - v)) / t, None
-            for i in range(int(np.searchsorted(self.common, u)), len(self.common)):
-                w = int(self.common[i])
-                if w - u > near:
+        return self.y.order[self.lo[u] : self.hi[u]]
+
+    def longest(self, u: int, after: int) -> tuple[int, int]:
+        """(v, shingles) of the longest equal run from u in x on; of several the first from ``after`` on, or else the first."""
+        there = self.meets(u)
+        if len(there) == 1:
+            return int(there[0]), equal_run(self.gx[u:], self.gy[int(there[0]) :])
+        best, tied = 0, there[:0]
+        for lo in range(0, len(there), 2048):
+            alive, at = there[lo : lo + 2048], 0
+            while True:
+                part = self.gx[u + at : u + at + 64]
+                if not len(part):
+                    n = np.zeros(len(alive), np.int64)
                     break
-                at = self.order[self.lo[w] : self.hi[w]]
-                j = int(np.searchsorted(at, v))
-                if j < len(at) and w - u + int(at[j]) - v <= near:
-                    best = (w, int(at[j]))
-                    near = w - u + best[1] - v - 1
+                same = self.y.padded[alive[:, None] + (at + np.arange(len(part)))] == part
+                same &= alive[:, None] + (at + np.arange(len(part))) < len(self.gy)
+                whole = same.all(1)
+                if len(part) < 64 or not whole.any():
+                    n = np.where(whole, len(part), same.argmin(1))
+                    break
+                alive, at = alive[whole], at + 64
+            if at + int(n.max()) > best:
+                best, tied = at + int(n.max()), alive[n == n.max()]
+            elif at + int(n.max()) == best:
+                tied = np.concatenate((tied, alive[n == n.max()]))
+        on = tied[tied >= after]
+        return int(on[0] if len(on) else tied[0]), best
+
+    def chains(self) -> list[list[tuple[int, int, int]]]:
+        """All equal runs (u, v, shingles) of the texts, each put on the nearest chain that goes on in both texts."""
+        t, gain, chains = self.threshold, 1 - self.threshold, []
+        open_: list[list] = []  # end in x, end in y, equal shingles, runs
+        i = after = 0
+        while i < len(self.common):
+            u = int(self.common[i])
+            v, n = self.longest(u, after)
+            near, best = math.inf, None
+            for c in open_:
+                gap = u - c[0] + v - c[1]
+                if v >= c[1] and gap < near and t * gap <= gain * (c[2] + min(len(self.gx) - u, len(self.gy) - v)):
+                    near, best = gap, c
             if best is None:
-                return runs
-            score -= t * (best[0] - u + best[1] - v)
-            u, v = best
-
-    def chain(self, u: int, v: int) -> list[tuple[int, int, int]]:
-        """The runs to both sides of a shared shingle, in order."""
-        if self._mirror is None:
-            self._mirror = Alignment(self.x[::-1], self.y[::-1], self.threshold, self.k)
-        n, m, gain = len(self.gx), len(self.gy), 1 - self.threshold
-        after = self.onward(u, v, gain * min(u, v))
-        before = self._mirror.onward(n - 1 - u, m - 1 - v, gain * min(n - u, m - v))
-        first, last = before[0], after[0]  # both have the shingle itself
-        middle = (u - first[2] + 1, v - first[2] + 1, first[2] + last[2] - 1)
-        return [*((n - a - c, m - b - c, c) for a, b, c in reversed(before[1:])), middle, *after[1:]]
-
-    def passages(self, runs: list[tuple[int, int, int]], paragraph: int = PARAGRAPH) -> list[tuple[int, int, int]]:
-        """(start in x, start in y, words in x) of the longest parts of a chain that are similar enough."""
+                best = [0, 0, 0, []]
+                chains.append(best[3])
+                open_ = [c for c in open_ if t * (u - c[0]) <= gain * (c[2] + len(self.gx) - u)]
+                open_.append(best)
+            best[3].append((u, v, n))
+            best[0], best[1], best[2] = u + n, v + n, best[2] + n
+            after = v + n
+            i = int(np.searchsorted(self.common, u + n))
+        return chains
+
+    def similar(self, xa: int, xb: int, ya: int, yb: int) -> bool:
+        """Whether the exact shingle sets of two passages, from word to word, are similar enough."""
+        a, b = (np.unique(g) for g in (self.gx[xa : xb - self.k + 1], self.gy[ya : yb - self.k + 1]))
+        both = len(np.intersect1d(a, b, assume_unique=True))
+        return both >= self.threshold * (len(a) + len(b) - both)
+
+    def passages(self, runs: list[tuple[int, int, int]], paragraph: int = PARAGRAPH) -> list[tuple[int, int, int, int]]:
+        """(start in x, start in y, words in x, words in y) of the longest parts of a chain that are similar enough."""
         found, todo, t, k = [], [runs], self.threshold, self.k
         while todo:
             runs = todo.pop()
+            if min(runs[-1][c] + runs[-1][2] - runs[0][c] for c in (0, 1)) + k - 1 < paragraph:
+                continue
             before, after, score = [], [], 0.0
             for i, (u, v, n) in enumerate(runs):
                 if i:
-                    score -= t * (u + v - sum(runs[i - 1][:2]) - 2 * runs[i - 1][2])
+                    score -= t * (u + v - runs[i - 1][0] - runs[i - 1][1] - 2 * runs[i - 1][2])
                 before.append(score)
                 score += (1 - t) * n
                 after.append(score)
@@ -247,91 +308,143 @@ class Alignment:
             i, j = best
             (xa, ya, _), (xb, yb, n) = runs[i], runs[j]
             xb, yb = xb + n + k - 1, yb + n + k - 1
-            if similar(self.x[xa:xb], self.y[ya:yb], t, k):
-                found.append((xa, ya, xb - xa))
+            if i == j or self.similar(xa, xb, ya, yb):
+                found.append((xa, ya, xb - xa, yb - ya))
                 todo += [part for part in (runs[:i], runs[j + 1 :]) if part]
             else:  # repeated shingles count once in a set
-                found += [(u, v, n + k - 1) for u, v, n in runs if n + k - 1 >= paragraph]
+                found += [(u, v, n + k - 1, n + k - 1) for u, v, n in runs if n + k - 1 >= paragraph]
         return found
 
-    def paragraph(self, u: int, v: int, paragraph: int = PARAGRAPH) -> tuple[int, int, int] | None:
-        """Of all paragraphs that hold the shared shingle the most similar two, over equal words to both sides; none below the threshold."""
+    def paragraphs(self, places: np.ndarray, paragraph: int = PARAGRAPH) -> list[tuple[int, int, int, int]]:
+        """Similar paragraphs of the texts that hold the shared shingle of one of the places of x, over equal words to both sides.
+
+        Every paragraph of x with such a place meets every paragraph of y with a shingle of the
+        places near it, by exact Jaccard; of paragraphs with the same shingles one is compared.
+        """
         n = paragraph - self.k + 1
-        if min(len(self.gx), len(self.gy)) < n:
-            return None
+        found: list[tuple[int, int, int, int]] = []
+        if min(len(self.gx), len(self.gy)) < n or not len(places):
+            return found
+        near = np.cumsum(np.concatenate(([0], (places[1:] - places[:-1] >= n) | (places[1:] // 256 != places[:-1] // 256))))
+        for own in np.split(places, np.flatnonzero(near[1:] != near[:-1]) + 1):
+            (starts, which), xw = different_windows(self.gx, own, n)
+            best, mate = self.mates(own, xw, n)
+            if len(best) and best.max() >= self.threshold:
+                for u in own.tolist():
+                    if any(a <= u < a + m for a, _, m, _ in found):
+                        continue
+                    i, j = np.searchsorted(starts, (u - n + 1, u + 1))
+                    if best[which[i:j]].max() >= self.threshold:
+                        w = i + int(best[which[i:j]].argmax())
+                        found.append(self.extended(int(starts[w]), int(mate[which[w]]), paragraph))
+        return found
+
+    def mates(self, places: np.ndarray, xw: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of the paragraphs of x that start at ``xw`` the similarity of the most similar paragraph of y, 0 where none can do, and its start."""
+        best, mate, yw = np.zeros(len(xw)), np.zeros(len(xw), np.int64), None
         at = np.arange(n)
-        starts = lambda i, g: np.arange(max(0, i - n + 1), min(i, len(g) - n) + 1)
-        if self._around[0] != u:
-            s = starts(u, self.gx)
-            names, ids = np.unique(self.gx[s[0] : s[-1] + n], return_inverse=True)
-            has = np.zeros((len(s), len(names)), np.float32)
-            has[np.arange(len(s))[:, None], ids[np.arange(len(s))[:, None] + at]] = 1
-            self._around = (u, s, names, has, has.sum(1))
-        _, s, names, has, size = self._around
-        t = starts(v, self.gy)
-        part = self.gy[t[0] : t[-1] + n]
-        same = (self.gx[s[0] : s[-1] + n].tobytes(), part.tobytes())
-        if same in self._failed:  # in repetitive texts
-            return None
-        ids = np.minimum(np.searchsorted(names, part), len(names) - 1)
-        shared = names[ids] == part
-        there = np.zeros(len(names), np.float32)
-        there[ids[shared]] = 1
-        if (has @ there < self.threshold * size).all():  # not even all of y's paragraphs together have enough
-            return None
-        _, own = np.unique(part, return_inverse=True)
-        held = np.zeros((len(t), int(own.max()) + 1), np.float32)
-        held[np.arange(len(t))[:, None], own[np.arange(len(t))[:, None] + at]] = 1
-        met = np.zeros((held.shape[1], len(names)), np.float32)
-        met[own[shared], ids[shared]] = 1
-        both = has @ (held @ met).T
-        share = both / (size[:, None] + held.sum(1) - both)
-        i, j = divmod(int(share.argmax()), share.shape[1])
-        if share[i, j] < self.threshold:
-            self._failed.add(same)
-            return None
-        s, t = int(s[0]), int(t[0])
-        xa, ya, xb, yb = s + i, t + j, s + i + paragraph, t + j + paragraph
-        while xa and ya and self.x[xa - 1] == self.y[ya - 1]:
-            xa, ya = xa - 1, ya - 1
-        while xb < len(self.x) and yb < len(self.y) and self.x[xb] == self.y[yb]:
-            xb, yb = xb + 1, yb + 1
-        return xa, ya, xb - xa
-
-
-def shared_passages(x: np.ndarray, y: np.ndarray, places: Iterable[int]) -> list[tuple[int, int, int]]:
-    """(start in x, start in y, words in x) of the passages around places in x whose shingle y may have, wherever it has it.
-
-    At each place not yet in a passage the chain of equal runs is cut into its longest parts
-    that are similar enough; if the place is in none of them, the paragraphs themselves decide.
+        for lo in range(0, len(xw), 128):
+            inside = xw[lo : lo + 128, None] + at
+            names, ids = np.unique(self.gx[inside], return_inverse=True)
+            ids = ids.reshape(inside.shape)
+            has = np.zeros((len(inside), len(names)), np.float32)
+            has[np.arange(len(inside))[:, None], ids] = 1
+            size = has.sum(1)
+            there = np.zeros(len(names), np.float32)
+            there[ids[self.shared[inside]]] = 1
+            may = np.flatnonzero(has @ there >= self.threshold * size)  # the others lack too much, whatever y's paragraphs
+            if not len(may):
+                continue
+            if yw is None:
+                of = np.concatenate([self.meets(u) for u in places.tolist()])
+                _, yw = different_windows(self.gy, np.unique(of), n)
+            for lo_y in range(0, len(yw), 512):
+                other = self.gy[yw[lo_y : lo_y + 512, None] + at]
+                ids = np.minimum(np.searchsorted(names, other), len(names) - 1)
+                same = names[ids] == other
+                met = np.zeros((len(other), len(names)), np.float32)
+                met[np.nonzero(same)[0], ids[same]] = 1
+                other.sort(1)
+                many = 1 + (other[:, 1:] != other[:, :-1]).sum(1)
+                both = has[may] @ met.T
+                share = both / (size[may][:, None] + many - both)
+                j = share.argmax(1)
+                top = share[np.arange(len(may)), j]
+                better = top > best[lo + may]
+                best[lo + may[better]], mate[lo + may[better]] = top[better], yw[lo_y + j[better]]
+        return best, mate
+
+    def extended(self, xa: int, ya: int, paragraph: int) -> tuple[int, int, int, int]:
+        """Two similar paragraphs, with the equal words to each side where they stay similar so."""
+        x, y, xb, yb = self.x.words, self.y.words, xa + paragraph, ya + paragraph
+        n = equal_run(x[:xa][::-1], y[:ya][::-1])
+        if n and self.similar(xa - n, xb, ya - n, yb):
+            xa, ya = xa - n, ya - n
+        n = equal_run(x[xb:], y[yb:])
+        if n and self.similar(xa, xb + n, ya, yb + n):
+            xb, yb = xb + n, yb + n
+        return xa, ya, xb - xa, yb - ya
+
+
+def different_windows(grams: np.ndarray, places: np.ndarray, n: int) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
+    """((starts of all windows of ``n`` that hold a place, which different one each is), starts of the different ones)."""
+    holds = np.zeros(len(grams) + 1, np.int64)
+    np.add.at(holds, np.maximum(places - n + 1, 0), 1)
+    np.add.at(holds, np.minimum(places, len(grams) - n) + 1, -1)
+    starts = np.flatnonzero(np.cumsum(holds)[: len(grams) - n + 1] > 0)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_stir(grams + np.uint64(n)))))
+    _, first, which = np.unique(sums[starts + n] - sums[starts], return_index=True, return_inverse=True)
+    return (starts, which), starts[first]
+
+
+def shared_passages(x: np.ndarray | Held, y: np.ndarray | Held, places: Iterable[int]) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int, int]]]:
+    """The passages that x shares with y: (start in x, start in y, words in x, words in y); and what is in none: (place, start, end).
+
+    ``places`` are shingles of x that y may have; wherever else x has them counts as well. If a
+    place is in no passage of the texts' chains, all paragraphs around it decide, wherever y has
+    its shingle. Of the given places those in none of these are returned with the run of shingles
+    around each that is equal in y; of places with the same words around them the first.
     """
-    if len(x) == len(y) and (x == y).all():
-        return [(0, 0, len(x))] if len(x) >= PARAGRAPH else []
+    x, y = (w if isinstance(w, Held) else Held(w) for w in (x, y))
+    if len(x.words) == len(y.words) and len(x.words) >= PARAGRAPH and (x.words == y.words).all():
+        return [(0, 0, len(x.words), len(x.words))], []
     found = Alignment(x, y)
-    kept: list[tuple[int, int, int]] = []
-    tried: set[tuple[int, int]] = set()
-    for u in sorted(set(places)):
-        if u >= len(found.gx) or any(lo <= u < lo + n for lo, _, n in kept):
-            continue
-        for v in found.meets(u):
-            if (u, v) not in tried:
-                runs = found.chain(u, v)
-                tried.update((a + i, b + i) for a, b, n in runs for i in range(n))
-                kept += found.passages(runs)
-            if not any(lo <= u < lo + n for lo, _, n in kept) and (one := found.paragraph(u, v)):
-                kept.append(one)
-            if any(lo <= u < lo + n for lo, _, n in kept):
-                break
-    return kept
-
-
-def similar(x: np.ndarray, y: np.ndarray, threshold: float = THRESHOLD, k: int = WORDS) -> bool:
-    """Exact Jaccard similarity of two word runs' shingle sets."""
-    if len(x) == len(y) and (x == y).all():
-        return True
-    a, b = (np.unique(shingle_hashes(w, k)) for w in (x, y))
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both >= threshold * (len(a) + len(b) - both)
+    chains = found.chains()
+    kept = [p for runs in chains for p in found.passages(runs)]
+    given = np.unique(np.fromiter(places, np.int64))
+    given = given[given < len(x.grams)]
+    at = np.flatnonzero(np.isin(x.grams, x.grams[given]))
+    at = outside(at, merge([(a, a + n) for a, _, n, _ in kept]))
+    if not len(at):
+        return kept, []
+    extra = found.paragraphs(at[found.shared[at]])
+    runs = sorted((u, u + n) for c in chains for u, _, n in c)
+    starts = np.array([u for u, _ in runs], np.int64)
+    rest, seen, n = [], set(), PARAGRAPH - found.k + 1
+    for u in outside(given, merge([(a, a + m) for a, _, m, _ in kept + extra])).tolist():
+        i = int(np.searchsorted(starts, u, "right")) - 1
+        around = x.grams[max(0, u - n) : u + n].tobytes()
+        if i >= 0 and u < runs[i][1] and around not in seen:
+            seen.add(around)
+            rest.append((u, *runs[i]))
+    return kept + extra, rest
+
+
+def outside(places: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
+    """The places in none of the spans, which are apart and in order."""
+    if not spans:
+        return places
+    starts, ends = np.array(spans, np.int64).T
+    i = np.searchsorted(starts, places, "right") - 1
+    return places[(i < 0) | (places >= ends[i])]
+
+
+def next_shingles(grams: np.ndarray, start: int, end: int) -> list[int | None]:
+    """What may go on beyond a run of shingles: the one before, the one after, and minima behind an edit to either side."""
+    before, after = grams[max(0, start - EDIT - BEYOND) : max(0, start - EDIT)], grams[end + EDIT : end + EDIT + BEYOND]
+    out = [grams[start - 1] if start else None, grams[end] if end < len(grams) else None]
+    out += [_stir(part + np.uint64(1)).min() if len(part) == BEYOND else None for part in (before, after)]
+    return [None if g is None else int(np.uint64(g).astype(np.int64)) for g in out]
 
 
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -344,20 +457,26 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The removals: (doc_id, start_word, n_words, kept_doc_id, kept_start_word, cluster_id), one row per passage.
+_SHAPE = ("doc_id", "start_word", "n_words", "kept_doc_id", "kept_start_word", "kept_n_words", "before", "after", "behind", "beyond")
 
-    The passage stays in ``kept_doc_id``, which is less than ``doc_id``; ``cluster_id`` is
-    the least document of all that share passages with either, directly or not. Passages of
-    one document may overlap. Null texts, texts of fewer than 50 words and null ids have no
-    passages; rows with one id are one document; other columns are not read.
+
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The removals: (doc_id, start_word, n_words, kept_doc_id, kept_start_word, kept_n_words, cluster_id), one row per passage.
+
+    ``kept_doc_id`` is less than ``doc_id`` and has the passage, or one similar enough; it may
+    be removed there in favour of a still lesser document. After removal no two documents
+    have similar paragraphs of a common band, but where one of the two is cut. ``cluster_id``
+    is the least document of all that share passages with either, directly or not. Passages of
+    one document may overlap; a passage that one document holds twice is no repeat by itself.
+    Null texts, texts of fewer than 50 words and null ids have no passages; rows with one id
+    are one document; other columns are not read; an empty table gives an empty table.
     """
     require(docs, id_col, text_col)
+    spark = docs.sparkSession
     texts = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(8, math.ceil(size / 40 / BLOCK))  # about one key for 40 bytes
-    found = colliding_paragraphs(texts, blocks)
-    found = cut(found, "colliding-paragraphs")
+    blocks = max(8 * partitions(spark), math.ceil(size / 30 / BLOCK))  # about one key for 30 bytes
+    found = cut(colliding_paragraphs(texts, blocks), "colliding-paragraphs")
     ids = cut(found.select(F.col("b").alias("id")).distinct(), "passage-documents")
     few = ids.count() <= BROADCAST_ROWS
 
@@ -373,41 +492,46 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     words = cut(involved.mapInArrow(lean(hashes), "doc_id bigint, words binary"), "passage-words")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(lo, ROWS) for b in batches for lo in range(0, b.num_rows, ROWS)):
-            rows: tuple[list, list, list, list, list] = ([], [], [], [], [])
-            for b, a, seeds, x, y in zip(*(c.to_pylist() for c in batch.columns)):
-                x, y = (np.frombuffer(w, "<u4").astype(np.uint64) for w in (x, y))
-                for start, kept_start, n in shared_passages(x, y, seeds):
-                    for column, value in zip(rows, (b, start, n, a, kept_start)):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()) for r in rows], names=["doc_id", "start_word", "n_words", "kept_doc_id", "kept_start_word"])
-
-    shape = "doc_id bigint, start_word bigint, n_words bigint, kept_doc_id bigint, kept_start_word bigint"
-
-    def passages(seeds: DataFrame) -> DataFrame:
+        last: tuple[int, Held] | None = None
+        for batch in batches:
+            for lo, hi in slices([a + b + 100 for a, b in zip(text_sizes(batch.column(3)), text_sizes(batch.column(4)))], PAIRS_AT_ONCE):
+                rows: list[tuple[int | None, ...]] = []
+                for b, a, seeds, x, y in zip(*(c.to_pylist() for c in batch.slice(lo, hi - lo).columns)):
+                    x, y = (np.frombuffer(w, "<u4").astype(np.uint64) for w in (x, y))
+                    if last is None or last[0] != a or len(last[1].words) != len(y) or (last[1].words != y).any():
+                        last = (a, Held(y))
+                    x = Held(x)
+                    passages, rest = shared_passages(x, last[1], seeds)
+                    rows += [(b, start, n, a, kept_start, kept_n, None, None, None, None) for start, kept_start, n, kept_n in passages]
+                    rows += [(b, place, 0, a, start, end - start, *next_shingles(x.grams, start, end)) for place, start, end in rest]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(len(_SHAPE))], names=_SHAPE)
+
+    def verified_pairs(seeds: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Of seeds (b, a, pb): the passages; and (doc, a, place, before, after, behind, beyond), the places that are in none."""
         pairs = seeds.groupBy("b", "a").agg(F.collect_set("pb").alias("seeds"))
         both = pairs.join(words.select(F.col("doc_id").alias("b"), F.col("words").alias("x")), "b").join(words.select(F.col("doc_id").alias("a"), F.col("words").alias("y")), "a")
-        return cut(both.select("b", "a", "seeds", "x", "y").mapInArrow(lean(verify), shape), "passages")
-
-    done = found.where("a <> b").select("b", "a", "pb")
-    verified = passages(done)
-    rest = found.select("key", F.col("b").alias("doc"), F.col("pb").alias("place")).distinct()
-    for last in [False] * ROUNDS + [True]:
-        rest = cut(unsettled(rest, verified), "unsettled")
-        if rest.isEmpty():
-            break
+        out = cut(both.select("b", "a", "seeds", "x", "y").mapInArrow(lean(verify), ", ".join(f"{c} bigint" for c in _SHAPE)), "passages")
+        return out.where("n_words > 0").select(*_SHAPE[:6]), out.where("n_words = 0").select(F.col("doc_id").alias("doc"), F.col("kept_doc_id").alias("a"), F.col("start_word").alias("place"), *_SHAPE[6:])
+
+    verified, failed = verified_pairs(found.where("a <> b").select("b", "a", "pb"))
+    open_ = found.where("a <> b").select("key", F.col("b").alias("doc"), F.col("pb").alias("place"), "a").join(failed.select("doc", "place", "a"), ["doc", "place", "a"], "left_semi")
+    rest = cut(unsettled(open_.select("key", "doc", "place"), verified), "unsettled")
+    while not rest.isEmpty():
+        # each round what a key's documents share grows by a shingle, so it comes to an end
+        n = rest.groupBy("key").agg(F.countDistinct("doc").alias("n")).agg(F.sum("n").alias("rows"), F.sum(F.expr("n * (n - 1) div 2")).alias("pairs")).first()
+        last = n["pairs"] <= EVEN * n["rows"]
+        leads = rest.select("key", F.col("doc").alias("a")).distinct() if last else rest.groupBy("key").agg(F.min("doc").alias("a"))
+        led = rest.join(leads, "key").where("doc > a")
+        more, failed = verified_pairs(led.select(F.col("doc").alias("b"), "a", F.col("place").alias("pb")).distinct())
+        verified = verified.union(more)
         if last:
-            seeds = likely_pairs(rest, words)
-        else:
-            leads = cut(rest.groupBy("key").agg(F.min("doc").alias("a")), "leads")
-            led = rest.join(leads, "key")
-            seeds = led.where("doc <> a").select(F.col("doc").alias("b"), "a", F.col("place").alias("pb"))
-            rest = led.where("doc <> a").select("key", "doc", "place")
-        seeds = cut(seeds.distinct().join(done, ["b", "a", "pb"], "left_anti"), "passage-seeds")
-        verified, done = verified.union(passages(seeds)), done.union(seeds)
+            break
+        on = led.join(failed, ["doc", "place", "a"]).select("doc", "place", F.posexplode(F.array(*[F.xxhash64("key", F.lit(c), c) for c in _SHAPE[6:]])).alias("way", "key"), *_SHAPE[6:])
+        on = on.where(F.element_at(F.array(*_SHAPE[6:]), F.col("way") + 1).isNotNull()).select("key", "doc", "place")
+        rest = cut(unsettled(on.distinct(), more), "unsettled")
     # of several documents that hold the same passage the least keeps it
-    least = F.min(F.struct("kept_doc_id", "kept_start_word")).alias("k")
-    removals = verified.groupBy("doc_id", "start_word", "n_words").agg(least).select("doc_id", "start_word", "n_words", "k.kept_doc_id", "k.kept_start_word")
+    least = F.min(F.struct("kept_doc_id", "kept_start_word", "kept_n_words")).alias("k")
+    removals = verified.groupBy("doc_id", "start_word", "n_words").agg(least).select("doc_id", "start_word", "n_words", "k.*")
     clusters = components(verified.select(F.col("doc_id").alias("a"), F.col("kept_doc_id").alias("b")))
     return removals.join(clusters.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster_id")), "doc_id")
 
@@ -420,60 +544,33 @@ def unsettled(rest: DataFrame, verified: DataFrame) -> DataFrame:
     return rest.join(several, "key", "left_semi")
 
 
-def likely_pairs(rest: DataFrame, words: DataFrame) -> DataFrame:
-    """(b, a, pb): all pairs of a key's documents but those whose paragraphs there cannot be similar enough.
-
-    Similar paragraphs share at least t of the shingles of either, so of all shingles around
-    the place, the rarest of the key first, they meet in one before too few are left.
-    """
-
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = PARAGRAPH - WORDS + 1
-        for batch in (b.slice(lo, ROWS) for b in batches for lo in range(0, b.num_rows, ROWS)):
-            rows: tuple[list, list, list, list, list] = ([], [], [], [], [])
-            for key, doc, place, w in zip(*(c.to_pylist() for c in batch.columns)):
-                w = np.frombuffer(w, "<u4")[max(0, place - n + 1) : place + PARAGRAPH].astype(np.uint64)
-                grams = shingle_hashes(w, WORDS)
-                names, ids = np.unique(grams, return_inverse=True)
-                least = min((len(set(ids[i : i + n].tolist())) for i in range(len(ids) - n + 1)), default=1)
-                for column, value in zip(rows, ([key] * len(names), [doc] * len(names), [place] * len(names), names.astype(np.int64), [len(names) - math.ceil(THRESHOLD * least) + 1] * len(names))):
-                    column.append(np.asarray(value, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(r)) for r in rows], names=["key", "doc", "place", "gram", "enough"])
-
-    placed = rest.join(words.withColumnRenamed("doc_id", "doc"), "doc").select("key", "doc", "place", "words")
-    grams = placed.mapInArrow(lean(explode), "key bigint, doc bigint, place bigint, gram bigint, enough bigint")
-    grams = cut(grams, "paragraph-shingles")
-    df = grams.groupBy("key", "gram").agg(F.count("*").alias("df"))
-    own = Window.partitionBy("key", "doc", "place").orderBy("df", "gram")
-    rare = cut(grams.join(df, ["key", "gram"]).withColumn("r", F.row_number().over(own)).where("r <= enough and df > 1").select("key", "gram", "doc", "place"), "rare-shingles")
-    other = rare.select("key", "gram", F.col("doc").alias("a")).distinct()
-    return rare.join(other, ["key", "gram"]).where("a < doc").select(F.col("doc").alias("b"), "a", F.col("place").alias("pb")).distinct()
-
-
 def remove_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = None) -> DataFrame:
-    """Cut the passages' words out of their documents' texts; all rows and columns stay.
+    """Cut the passages' words out of their documents' texts; all rows and columns stay, whatever their names.
 
-    White space after a removed passage goes with it. ``count_col`` names a column that
-    holds the text's number of characters, to be set anew where the text changed.
+    White space after a removed passage goes with it. A text without passages, a null text and
+    a row with a null id stay as they are; where an id is repeated all its rows are cut alike;
+    an empty table gives an empty table. ``count_col`` names a column that holds the text's
+    number of characters, to be set anew where the text changed.
     """
-    spans = passages.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("start_word", "n_words")).alias("_spans"))
-    joined = docs.join(spans, docs[id_col] == F.col("_id"), "left").drop("_id")
+    require(docs, id_col, text_col, *([count_col] if count_col else []))
     names = docs.columns
+    key, spans = fresh(names, "id", "spans")
+    found = passages.groupBy(F.col("doc_id").alias(key)).agg(F.collect_list(F.struct("start_word", "n_words")).alias(spans))
+    joined = docs.join(found, docs[id_col] == found[key], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where = names.index(text_col)
         for batch in batches:
-            texts = []
-            for text, spans in zip(batch.column(where).to_pylist(), batch.column(len(names)).to_pylist()):
-                texts.append(without_words(text, [(s["start_word"], s["start_word"] + s["n_words"]) for s in spans]) if spans and text is not None else text)
+            cuts = batch.column(len(names)).to_pylist()
+            texts = [without_words(text, [(s["start_word"], s["start_word"] + s["n_words"]) for s in spans]) if spans and text is not None else text for text, spans in zip(batch.column(where).to_pylist(), cuts)]
             columns = list(batch.columns[: len(names)])
             columns[where] = pa.array(texts, pa.string())
             if count_col:
                 i = names.index(count_col)
-                columns[i] = pa.array([old if s is None else len(t or "") for t, s, old in zip(texts, batch.column(len(names)).to_pylist(), columns[i].to_pylist())], columns[i].type)
+                columns[i] = pa.array([old if s is None or t is None else len(t) for t, s, old in zip(texts, cuts, columns[i].to_pylist())], columns[i].type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return joined.select(*[docs[c] for c in names], "_spans").mapInArrow(lean(run), docs.schema)
+    return joined.select(*[docs[c] for c in names], spans).mapInArrow(lean(run), docs.schema)
 
 
 def without_words(text: str, spans: list[tuple[int, int]]) -> str:
