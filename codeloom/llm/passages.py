@@ -32,6 +32,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -217,6 +218,21 @@ class Alignment:
         self.shared = self.hi > self.lo
         self.common = np.flatnonzero(self.shared)
 
+    def hopeless(self, places: np.ndarray, paragraph: int = PARAGRAPH) -> bool:
+        """Whether no paragraph around a shingle like those of the places can have enough of y's shingles: all of the text's differ, and too few are shared."""
+        n = paragraph - self.k + 1
+        counts = np.concatenate(([0], np.cumsum(self.shared)))
+        starts = (places[:, None] - np.arange(n)).ravel()
+        starts = starts[(starts >= 0) & (starts <= len(self.gx) - n)]
+        if len(starts) and (counts[starts + n] - counts[starts]).max() >= self.threshold * n:
+            return False
+        return len(np.unique(self.gx)) == len(self.gx)
+
+    def run(self, u: int) -> tuple[int, int]:
+        """The longest run of x's shingles around a shared one that is equal in y: its start and end."""
+        runs = [(u - equal_run(self.gx[:u][::-1], self.gy[:v][::-1]), u + equal_run(self.gx[u:], self.gy[v:])) for v in self.meets(u).tolist()]
+        return max(runs, key=lambda r: r[1] - r[0])
+
     def meets(self, u: int) -> np.ndarray:
         """Where y has x's shingle u, in order."""
         return self.y.order[self.lo[u] : self.hi[u]]
@@ -409,10 +425,12 @@ def shared_passages(x: np.ndarray | Held, y: np.ndarray | Held, places: Iterable
     if len(x.words) == len(y.words) and len(x.words) >= PARAGRAPH and (x.words == y.words).all():
         return [(0, 0, len(x.words), len(x.words))], []
     found = Alignment(x, y)
-    chains = found.chains()
-    kept = [p for runs in chains for p in found.passages(runs)]
     given = np.unique(np.fromiter(places, np.int64))
     given = given[given < len(x.grams)]
+    if found.hopeless(given):
+        return [], [(u, *found.run(u)) for u in given.tolist() if found.shared[u]]
+    chains = found.chains()
+    kept = [p for runs in chains for p in found.passages(runs)]
     at = np.flatnonzero(np.isin(x.grams, x.grams[given]))
     at = outside(at, merge([(a, a + n) for a, _, n, _ in kept]))
     if not len(at):
@@ -439,12 +457,13 @@ def outside(places: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
     return places[(i < 0) | (places >= ends[i])]
 
 
-def next_shingles(grams: np.ndarray, start: int, end: int) -> list[int | None]:
-    """What may go on beyond a run of shingles: the one before, the one after, and minima behind an edit to either side."""
+def next_keys(grams: np.ndarray, start: int, end: int) -> list[int | None]:
+    """What may go on beyond a run of shingles: the run and the one before, or the one after, or a minimum behind an edit to either side."""
     before, after = grams[max(0, start - EDIT - BEYOND) : max(0, start - EDIT)], grams[end + EDIT : end + EDIT + BEYOND]
-    out = [grams[start - 1] if start else None, grams[end] if end < len(grams) else None]
-    out += [_stir(part + np.uint64(1)).min() if len(part) == BEYOND else None for part in (before, after)]
-    return [None if g is None else int(np.uint64(g).astype(np.int64)) for g in out]
+    whole = grams[start:end].tobytes()
+    out = [grams[start - 1 : end].tobytes() if start else None, grams[start : end + 1].tobytes() if end < len(grams) else None]
+    out += [way + whole + _stir(part + np.uint64(1)).min().tobytes() if len(part) == BEYOND else None for way, part in ((b"<", before), (b">", after))]
+    return [None if x is None else xxhash.xxh3_64_intdigest(x) - (1 << 63) for x in out]
 
 
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -503,19 +522,20 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                     x = Held(x)
                     passages, rest = shared_passages(x, last[1], seeds)
                     rows += [(b, start, n, a, kept_start, kept_n, None, None, None, None) for start, kept_start, n, kept_n in passages]
-                    rows += [(b, place, 0, a, start, end - start, *next_shingles(x.grams, start, end)) for place, start, end in rest]
+                    rows += [(b, place, 0, a, start, end - start, *next_keys(x.grams, start, end)) for place, start, end in rest]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(len(_SHAPE))], names=_SHAPE)
 
     def verified_pairs(seeds: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Of seeds (b, a, pb): the passages; and (doc, a, place, before, after, behind, beyond), the places that are in none."""
+        """Of seeds (b, a, pb): the passages; and (doc, a, place, start, before, after, behind, beyond), the places that are in none and the keys of what may go on there."""
         pairs = seeds.groupBy("b", "a").agg(F.collect_set("pb").alias("seeds"))
         both = pairs.join(words.select(F.col("doc_id").alias("b"), F.col("words").alias("x")), "b").join(words.select(F.col("doc_id").alias("a"), F.col("words").alias("y")), "a")
         out = cut(both.select("b", "a", "seeds", "x", "y").mapInArrow(lean(verify), ", ".join(f"{c} bigint" for c in _SHAPE)), "passages")
-        return out.where("n_words > 0").select(*_SHAPE[:6]), out.where("n_words = 0").select(F.col("doc_id").alias("doc"), F.col("kept_doc_id").alias("a"), F.col("start_word").alias("place"), *_SHAPE[6:])
+        return out.where("n_words > 0").select(*_SHAPE[:6]), out.where("n_words = 0").select(F.col("doc_id").alias("doc"), F.col("kept_doc_id").alias("a"), F.col("start_word").alias("place"), F.col("kept_start_word").alias("start"), *_SHAPE[6:])
 
     verified, failed = verified_pairs(found.where("a <> b").select("b", "a", "pb"))
     open_ = found.where("a <> b").select("key", F.col("b").alias("doc"), F.col("pb").alias("place"), "a").join(failed.select("doc", "place", "a"), ["doc", "place", "a"], "left_semi")
     rest = cut(unsettled(open_.select("key", "doc", "place"), verified), "unsettled")
+    first = True
     while not rest.isEmpty():
         # each round what a key's documents share grows by a shingle, so it comes to an end
         n = rest.groupBy("key").agg(F.countDistinct("doc").alias("n")).agg(F.sum("n").alias("rows"), F.sum(F.expr("n * (n - 1) div 2")).alias("pairs")).first()
@@ -526,9 +546,9 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         verified = verified.union(more)
         if last:
             break
-        on = led.join(failed, ["doc", "place", "a"]).select("doc", "place", F.posexplode(F.array(*[F.xxhash64("key", F.lit(c), c) for c in _SHAPE[6:]])).alias("way", "key"), *_SHAPE[6:])
-        on = on.where(F.element_at(F.array(*_SHAPE[6:]), F.col("way") + 1).isNotNull()).select("key", "doc", "place")
-        rest = cut(unsettled(on.distinct(), more), "unsettled")
+        ways = _SHAPE[6:] if first else _SHAPE[6:8]
+        on = failed.select("doc", F.col("start").alias("place"), F.explode(F.array(*ways)).alias("key")).where("key is not null").select("key", "doc", "place")
+        rest, first = cut(unsettled(on.distinct(), more), "unsettled"), False
     # of several documents that hold the same passage the least keeps it
     least = F.min(F.struct("kept_doc_id", "kept_start_word", "kept_n_words")).alias("k")
     removals = verified.groupBy("doc_id", "start_word", "n_words").agg(least).select("doc_id", "start_word", "n_words", "k.*")

@@ -104,3 +104,72 @@ def test_documents_not_joined_to_the_least_are_compared(spark):
         rows += [(i + 8, [*words(rng, 33), *passage, *words(rng, 21)]), (i + 9, [*words(rng, 26), *passage, *words(rng, 29)])]
     found = repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id bigint, text string").coalesce(1)).collect()
     assert {(r.doc_id, r.start_word, r.n_words, r.kept_doc_id) for r in found if r.doc_id % 10 == 9} == {(i + 9, 26, 52, i + 8) for i in range(0, 400, 10)}
+
+
+def families(seed, count):
+    """Documents that share a short line, some of them in longer passages with edits of every kind."""
+    rng, rows = random.Random(seed), []
+    for f in range(count):
+        line = words(rng, rng.randrange(24, 46))
+        bases = [[*words(rng, rng.randrange(1, 40)), *line, *words(rng, rng.randrange(1, 40))] for _ in range(2)]
+        for j in range(8):
+            if j == 0:  # the least document has the line alone
+                middle = line
+            else:
+                middle = list(bases[j % 2])
+                for _ in range(rng.choice([0, 0, 1, 2])):
+                    at, kind = rng.randrange(len(middle)), rng.randrange(3)
+                    middle[at : at + (kind > 0) * rng.randrange(1, 4)] = words(rng, (kind < 2) * rng.randrange(1, 4))
+            again = [*words(rng, 20), *middle] if rng.random() < 0.2 else []
+            rows.append((10 * f + j, [*words(rng, rng.randrange(0, 60)), *middle, *again, *words(rng, rng.randrange(0, 60))]))
+    return rows
+
+
+def similar_windows(rows, spans):
+    """Pairs of 50-word paragraphs of different documents with a Jaccard similarity of 0.75 or more: all, and those of which neither is cut."""
+    names, owner, sets, free = {}, [], [], []
+    for i, w in rows:
+        shingles = [names.setdefault(tuple(w[k : k + 5]), len(names)) for k in range(len(w) - 4)]
+        for k in range(len(w) - 49):
+            owner.append(i)
+            sets.append(shingles[k : k + 46])
+            free.append(sum((i, p) not in spans for p in range(k, k + 50)) > 25)
+    has = np.zeros((len(sets), len(names)), np.float32)
+    for n, s in enumerate(sets):
+        has[n, s] = 1
+    both, size, owner, free = has @ has.T, has.sum(1), np.array(owner), np.array(free)
+    pairs = (both >= 0.75 * (size[:, None] + size - both)) & (owner[:, None] < owner)
+    return int(pairs.sum()), int((pairs & free[:, None] & free).sum())
+
+
+@pytest.mark.parametrize("slices", [1, 7])
+def test_no_similar_paragraphs_stay(spark, slices):
+    """Against brute force over all paragraphs: of similar ones at most one stays; each removal is similar to what is kept; clusters are right."""
+    from codeloom.llm.passages import repeated_passages
+
+    rows = families(slices, 40)
+    found = repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id bigint, text string").repartition(slices)).collect()
+    spans = {(r.doc_id, p) for r in found for p in range(r.start_word, r.start_word + r.n_words)}
+    text, every, left = dict(rows), 0, 0
+    for f in range(40):
+        n, kept = similar_windows([r for r in rows if r[0] // 10 == f], spans)
+        every, left = every + n, left + kept
+    print(f"similar pairs {every}, left {left}")
+    assert every > 5000 and left <= 0.005 * every, (every, left)
+    for r in found:
+        a, b = ({tuple(w[k : k + 5]) for k in range(at, at + n - 4)} for w, at, n in ((text[r.doc_id], r.start_word, r.n_words), (text[r.kept_doc_id], r.kept_start_word, r.kept_n_words)))
+        assert len(a & b) >= 0.75 * len(a | b) and min(r.n_words, r.kept_n_words) >= 50 and r.cluster_id <= r.kept_doc_id < r.doc_id and r.cluster_id // 10 == r.doc_id // 10
+
+
+def test_texts_of_repeated_words(spark):
+    """Texts in which all shingles are alike, a passage that ends with its text, and one in reversed halves."""
+    from codeloom.llm.passages import repeated_passages
+
+    rng = random.Random(8)
+    p = words(rng, 50)
+    rows = [(0, ["a"] * 49), (1, ["a"] * 50), (2, ["a"] * 400), (3, [*words(rng, 9), *["a"] * 70, *words(rng, 3)]), (4, [*p]), (5, [*p[25:], *p[:25]]), (6, ["a b c"] * 30), (7, ["b c a"] * 40)]
+    found = repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id bigint, text string")).collect()
+    spans = {(r.doc_id, i) for r in found for i in range(r.start_word, r.start_word + r.n_words)}
+    held = {d: sum(e == d for e, _ in spans) for d in range(8)}
+    assert held[2] > 350 and 20 < held[3] <= 72 and held[5] == 50 and held[7] > 70  # what stays is less than a paragraph more
+    assert not any(d in (0, 1, 4, 6) for d, _ in spans)
