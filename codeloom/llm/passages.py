@@ -476,7 +476,7 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-_SHAPE = ("doc_id", "start_word", "n_words", "kept_doc_id", "kept_start_word", "kept_n_words", "before", "after", "behind", "beyond")
+_SHAPE = ("doc_id", "start_word", "n_words", "kept_doc_id", "kept_start_word", "kept_n_words", "before", "after", "behind", "beyond", "key")
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -520,34 +520,39 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                     if last is None or last[0] != a or len(last[1].words) != len(y) or (last[1].words != y).any():
                         last = (a, Held(y))
                     x = Held(x)
-                    passages, rest = shared_passages(x, last[1], seeds)
-                    rows += [(b, start, n, a, kept_start, kept_n, None, None, None, None) for start, kept_start, n, kept_n in passages]
-                    rows += [(b, place, 0, a, start, end - start, *next_keys(x.grams, start, end)) for place, start, end in rest]
+                    passages, rest = shared_passages(x, last[1], {s["pb"] for s in seeds})
+                    rows += [(b, start, n, a, kept_start, kept_n, None, None, None, None, None) for start, kept_start, n, kept_n in passages]
+                    go_on = {place: (b, start, 0, a, place, 0, *next_keys(x.grams, start, end)) for place, start, end in rest}
+                    rows += [(*go_on[s["pb"]], s["key"]) for s in seeds if s["pb"] in go_on]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(len(_SHAPE))], names=_SHAPE)
 
+    def words_of(found: DataFrame) -> DataFrame:
+        """The words of the documents of a column; of few documents only theirs are sent around."""
+        own = cut(found.distinct().toDF("id"), "passage-documents")
+        return words.join(F.broadcast(own), words.doc_id == own.id, "left_semi") if own.count() <= BROADCAST_ROWS else words
+
     def verified_pairs(seeds: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Of seeds (b, a, pb): the passages; and (doc, a, place, start, before, after, behind, beyond), the places that are in none and the keys of what may go on there."""
-        pairs = seeds.groupBy("b", "a").agg(F.collect_set("pb").alias("seeds"))
-        both = pairs.join(words.select(F.col("doc_id").alias("b"), F.col("words").alias("x")), "b").join(words.select(F.col("doc_id").alias("a"), F.col("words").alias("y")), "a")
-        out = cut(both.select("b", "a", "seeds", "x", "y").mapInArrow(lean(verify), ", ".join(f"{c} bigint" for c in _SHAPE)), "passages")
-        return out.where("n_words > 0").select(*_SHAPE[:6]), out.where("n_words = 0").select(F.col("doc_id").alias("doc"), F.col("kept_doc_id").alias("a"), F.col("start_word").alias("place"), F.col("kept_start_word").alias("start"), *_SHAPE[6:])
-
-    verified, failed = verified_pairs(found.where("a <> b").select("b", "a", "pb"))
-    open_ = found.where("a <> b").select("key", F.col("b").alias("doc"), F.col("pb").alias("place"), "a").join(failed.select("doc", "place", "a"), ["doc", "place", "a"], "left_semi")
-    rest = cut(unsettled(open_.select("key", "doc", "place"), verified), "unsettled")
+        """Of seeds (key, b, a, pb): the passages; and (doc, place, start, before, after, behind, beyond, key), the places that are in none and the keys of what may go on there."""
+        x, y = words_of(seeds.select("b")).toDF("b", "x"), words_of(seeds.select("a")).toDF("a", "y")
+        pairs = seeds.groupBy("b", "a").agg(F.collect_list(F.struct("key", F.col("pb").cast("int").alias("pb"))).alias("seeds"))
+        both = pairs.join(x, "b").join(y, "a").select("b", "a", "seeds", "x", "y")
+        out = cut(both.mapInArrow(lean(verify), ", ".join(f"{c} bigint" for c in _SHAPE)), "passages")
+        return out.where("n_words > 0").select(*_SHAPE[:6]), out.where("n_words = 0").select(F.col("doc_id").alias("doc"), F.col("kept_start_word").alias("place"), F.col("start_word").alias("start"), *_SHAPE[6:])
+
+    verified, failed = verified_pairs(found.where("a <> b"))
+    rest = cut(unsettled(failed.select("key", "doc", "place").distinct(), verified), "unsettled")
     first = True
     while not rest.isEmpty():
         # each round what a key's documents share grows by a shingle, so it comes to an end
         n = rest.groupBy("key").agg(F.countDistinct("doc").alias("n")).agg(F.sum("n").alias("rows"), F.sum(F.expr("n * (n - 1) div 2")).alias("pairs")).first()
         last = n["pairs"] <= EVEN * n["rows"]
         leads = rest.select("key", F.col("doc").alias("a")).distinct() if last else rest.groupBy("key").agg(F.min("doc").alias("a"))
-        led = rest.join(leads, "key").where("doc > a")
-        more, failed = verified_pairs(led.select(F.col("doc").alias("b"), "a", F.col("place").alias("pb")).distinct())
+        led = cut(rest.join(leads, "key").where("doc > a").select("key", F.col("doc").alias("b"), "a", F.col("place").alias("pb")), "led")
+        more, failed = verified_pairs(led)
         verified = verified.union(more)
         if last:
             break
-        ways = _SHAPE[6:] if first else _SHAPE[6:8]
-        on = failed.select("doc", F.col("start").alias("place"), F.explode(F.array(*ways)).alias("key")).where("key is not null").select("key", "doc", "place")
+        on = failed.select("doc", F.col("start").alias("place"), F.explode(F.array(*(_SHAPE[6:10] if first else _SHAPE[6:8]))).alias("key")).where("key is not null").select("key", "doc", "place")
         rest, first = cut(unsettled(on.distinct(), more), "unsettled"), False
     # of several documents that hold the same passage the least keeps it
     least = F.min(F.struct("kept_doc_id", "kept_start_word", "kept_n_words")).alias("k")
