@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -17,10 +18,12 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir of the session.
 
-    Only where the setting is unset (a local test) a folder of this machine is used instead.
+    Only where the setting is unset and all runs on this machine (a local test) a folder of it is used instead.
     """
     set_to = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not set_to:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         set_to = "file://" + tempfile.mkdtemp(prefix="codeloom-")
         spark.sparkContext.setCheckpointDir(set_to)
     if "://" not in set_to:  # a path on the cluster's own file system
@@ -106,28 +109,26 @@ def rank_in_groups(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
     A group is dealt over many salts, so that one that holds a third of all rows is
     no single task: each salt is ranked alone, and starts where the smaller salts end.
     The order within a group is any, but fixed by the rows; equal rows are
-    interchangeable. Nulls are a group of their own.
+    interchangeable. Nulls in a key are a group of their own. Columns of ``df`` may have any
+    names; one named ``rank`` is replaced. An empty table gives an empty table.
     """
     spark = df.sparkSession
     salts = max(16, 2 * partitions(spark))
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
+    salt, n, base, inner, *met = fresh([*df.columns, rank], "salt", "n", "base", "inner", *[f"k{i}" for i in range(len(keys) + 1)])
+    salted = df.withColumn(salt, F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
     one = F.lit(1).cast("long") if weight is None else weight
-    by = [*keys, "_salt"]
-    totals = salted.groupBy(*by).agg(F.sum(one).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1) if keys else None
-    if before is None:
-        before = Window.orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)  # one row for each salt
-    totals = totals.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    totals = totals.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(by)], "_base")
+    by = [*keys, salt]
+    totals = salted.groupBy(*by).agg(F.sum(one).alias(n))
+    before = Window.partitionBy(*keys).orderBy(salt) if keys else Window.orderBy(salt)  # one row for each salt
+    totals = totals.withColumn(base, F.coalesce(F.sum(n).over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    totals = totals.select(*[F.col(k).alias(m) for m, k in zip(met, by)], base)
     within = Window.partitionBy(*by).orderBy(*order)
     if weight is None:
-        inner = (F.row_number().over(within) - 1).cast("long")
+        place = (F.row_number().over(within) - 1).cast("long")
     else:
-        inner = F.coalesce(F.sum(one).over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = salted.withColumn("_inner", inner)
-    met = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(by)]
-    joined = ranked.join(totals, met)
-    return joined.withColumn(rank, F.col("_base") + F.col("_inner")).select(*df.columns, rank)
+        place = F.coalesce(F.sum(one).over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    joined = salted.withColumn(inner, place).join(totals, [F.col(k).eqNullSafe(F.col(m)) for m, k in zip(met, by)])
+    return joined.withColumn(rank, F.col(base) + F.col(inner)).select(*dict.fromkeys([*df.columns, rank]))
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
@@ -135,7 +136,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
 
     Alternates large-star and small-star steps over the edge table; each step is one
     aggregation and one join, written to the shared folder. Only nodes with an edge
-    between different nodes appear. Nothing but a count of changes reaches the driver.
+    between different nodes appear; edges may be repeated or given both ways, those with a
+    null end are left out, other columns are not read, and without edges there are no rows.
+    Nothing but a count of changes reaches the driver.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     e = cut(e, "edges")

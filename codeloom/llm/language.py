@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, require
+from .common import fresh, lean, require
 from .tokenization import slices, text_sizes
 
 #: Vector size; labelled texts of each language used at most (about); centroids of each; k-means rounds.
@@ -158,7 +158,9 @@ def identify_languages(docs: DataFrame, model: LanguageModel, text_col: str = "t
     ``score`` is the cosine to the nearest centroid, from 0 to 1. A null text, one without a
     letter, and any text under an empty model is ``und``, score 0, rejected. A rejected
     text otherwise keeps the nearest language. Columns of these names are replaced;
-    ``keep`` names the columns to return, all by default.
+    ``keep`` names the columns to return, all by default, whatever their names. Repeated rows
+    are rows of their own; of equally near centroids the first language in order counts; an
+    empty table gives an empty table.
     """
     require(docs, text_col)
     added = ("lang_pred", "score", "rejected")
@@ -181,7 +183,8 @@ def identify_languages(docs: DataFrame, model: LanguageModel, text_col: str = "t
                 yield pa.RecordBatch.from_arrays([*part.columns[2:], pa.array(langs), pa.array(scores), pa.array(rejected)], names=[*keep, *added])
 
     out = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
-    return docs.select(F.col(text_col).alias("_text"), has_letter(text_col).alias("_letter"), *keep).mapInArrow(lean(run), f"{out}lang_pred string, score double, rejected boolean")
+    text, letter = fresh(docs.columns, "text", "letter")
+    return docs.select(F.col(text_col).alias(text), has_letter(text_col).alias(letter), *keep).mapInArrow(lean(run), f"{out}lang_pred string, score double, rejected boolean")
 
 
 def op2_language_identification(spark, sf_dir: str) -> DataFrame:

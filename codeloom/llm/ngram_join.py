@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut, lean, partitions, require
+from .common import components, cut, fresh, lean, partitions, require
 from .shingles import shingle_sets
 from .tokenization import slices, text_sizes
 
@@ -60,17 +60,17 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.Record
 
 
 def describe_sets(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, node, n, probe): a set's identity (null if empty), its size, its n-grams in the probed half."""
+    """(doc_id, text_hash, node, n, probe): a set's identity (null if empty), its size, its n-grams in the probed half."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, sets in _sets(batches, k):
             half = np.uint64(1 << 63)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([int(np.searchsorted(s, half)) for s in sets], pa.int64())],
-                names=["doc_id", "node", "n", "probe"],
+                [part.column(0), part.column(2), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([int(np.searchsorted(s, half)) for s in sets], pa.int64())],
+                names=["doc_id", "text_hash", "node", "n", "probe"],
             )
 
-    return docs.mapInArrow(lean(run), f"doc_id {docs.schema[0].dataType.simpleString()}, node bigint, n bigint, probe bigint")
+    return docs.mapInArrow(lean(run), f"doc_id {docs.schema[0].dataType.simpleString()}, text_hash bigint, node bigint, n bigint, probe bigint")
 
 
 def shared_counts(docs: DataFrame, k: int, blocks: int) -> DataFrame:
@@ -249,11 +249,16 @@ def jaccard_join(docs: DataFrame, k: int = WORDS, threshold: tuple[int, int] = T
     with equal ids are rows of their own. A null id takes part in no link and has a null
     component. Other columns are not read; an empty table gives an empty table.
     """
+    return _joined_rows(docs, k, threshold, id_col, text_col).select("doc_id", "n_shingles", "component_id")
+
+
+def _joined_rows(docs: DataFrame, k: int, threshold: tuple[int, int], id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text_hash, cluster, n_shingles, component_id) per row; ``cluster`` names its component, null without words."""
     require(docs, id_col, text_col)
     num, den = threshold
     if not 0 < num <= den:
         raise ValueError("the threshold is a share (numerator, denominator) over 0 and up to 1")
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"), F.xxhash64(text_col).alias("text_hash"))
     rows = cut(describe_sets(texts, k), "sets")
     known = rows.where("node is not null and doc_id is not null")
     nodes = known.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("probe").alias("probe"))
@@ -274,18 +279,37 @@ def jaccard_join(docs: DataFrame, k: int = WORDS, threshold: tuple[int, int] = T
     sets = cut(chosen.mapInArrow(lean(build), "node bigint, n bigint, grams binary").dropDuplicates(["node"]), "linkable-sets")
     found = linked_components(sets, threshold)
     least = found.join(nodes.select("node", "least"), "node").groupBy("component").agg(F.min("least").alias("group_least"))
-    named = nodes.select("node", "least").join(found, "node", "left").join(least, "component", "left").select("node", F.coalesce("group_least", "least").alias("component_id"))
+    named = nodes.select("node", "least").join(found, "node", "left").join(least, "component", "left").select("node", F.coalesce("component", "node").alias("cluster"), F.coalesce("group_least", "least").alias("component_id"))
     out = rows.join(named, "node", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return out.select("doc_id", "text_hash", "cluster", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = WORDS, threshold: tuple[int, int] = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` but those whose component holds a lesser id; rows with null ids stay."""
-    found = jaccard_join(docs, k, threshold, id_col, text_col)
-    gone = cut(found.where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "near-duplicates")
-    few = gone.count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(gone) if few else gone, docs[id_col] == F.col("_gone"), "left_anti")
+    """One row of ``docs`` for each group of linked ones: that of the least id, and of the least text hash of that id.
+
+    Rows are told apart by id and text, so where an id is repeated with other texts those stay.
+    Of a row repeated with the same id and text one stays, any where other columns differ. Rows
+    with a null id, a null text or no words are in no group and all stay. Columns may have any
+    names; an empty table gives an empty table.
+    """
+    rows = cut(_joined_rows(docs, k, threshold, id_col, text_col).where("cluster is not null and doc_id is not null"), "joined-rows")
+    same = rows.where("doc_id = component_id").groupBy("cluster", "doc_id").agg(F.min("text_hash").alias("first"), F.max("text_hash").alias("last"))
+    more = rows.join(same.where("first <> last"), ["cluster", "doc_id"]).where("text_hash <> first")
+    gone = cut(rows.where("doc_id > component_id").select("doc_id", "text_hash").union(more.select("doc_id", "text_hash")).distinct(), "near-duplicates")
+    again = cut(rows.where("doc_id = component_id").groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "text_hash"), "repeated-rows")
+    left = _matching(docs, gone, "left_anti", id_col, text_col)
+    if again.isEmpty():
+        return left
+    return _matching(left, again, "left_anti", id_col, text_col).union(_matching(left, again, "left_semi", id_col, text_col).dropDuplicates([id_col, text_col]))
+
+
+def _matching(docs: DataFrame, found: DataFrame, how: str, id_col: str, text_col: str) -> DataFrame:
+    """Rows of ``docs`` with or without their (id, hash of the text) in a table, which is broadcast if it is small."""
+    i, h = fresh(docs.columns, "id", "hash")
+    found = found.toDF(i, h)
+    few = found.count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(found) if few else found, (docs[id_col] == found[i]) & (F.xxhash64(docs[text_col]) == found[h]), how)
 
 
 def op10_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, lean, rank_in_groups, require
+from .common import cut, fresh, lean, rank_in_groups, require
 from .tokenization import encoder, slices, text_sizes, tokenizer_path
 
 CAPACITY = 2048
@@ -231,7 +231,7 @@ def best_fit_pack(pieces: DataFrame, capacity: int = CAPACITY, length_col: str =
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(sequence), pa.array(offset)], names=[*names, "sequence_id", "offset"])
 
     names = pieces.columns
-    ranked = rank_in_groups(pieces.where(takes), [length_col], [F.col(c) for c in order], "_rank")
+    ranked = rank_in_groups(pieces.where(takes), [length_col], [F.col(c) for c in order], fresh(names, "rank")[0])
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
     placed = ranked.mapInArrow(lean(place), f"{out}, sequence_id bigint, offset bigint")
     if pieces.schema[length_col].nullable:

@@ -7,6 +7,8 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from codeloom.llm.common import cut
 
@@ -61,6 +63,41 @@ def test_packing(stages):
     assert packed.sequence_id.nunique() <= 1.03 * least + 1
 
 
+def through(spark, docs):
+    tables = [docs]
+    for name, stage in corpus_pipeline.STAGES:
+        tables.append(cut(stage(spark, tables[-1], ""), name))
+    return tables
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls everywhere, empty, wordless and very long texts, repeated rows and ids, clashing columns; an unlabelled and an empty table."""
+    from tests.llm.test_small_tables import CLASHING
+
+    source = spark.read.parquet(f"{LARGER}/documents.parquet")
+    rows = [tuple(r) for r in source.where("doc_id < 300").collect()]
+    long = " ".join(r[1] for r in rows if r[1] and r[2] == "en")
+    first = next(r for r in rows if r[2] == "en" and len(r[1].split()) > 200)
+    odd = [(None, first[1], "en", None, None), (1001, None, "en", "s", 0), (1002, "", None, "s", 0), (1003, " \n", "en", "s", 2), (1004, "12 34 !", "en", "s", 7), (1005, long, "en", "s", len(long)), first, first, (first[0], long + " the end", "en", "s", 1), (None, None, None, None, None)]
+    schema = source.schema
+    docs = spark.createDataFrame(rows + odd, schema)
+    extra = [x.split() for x in CLASHING.split(", ")] + [["rejected", "int"], ["score", "int"], ["doc_id_", "int"]]
+    extra = {n: t for n, t in extra if n not in docs.columns}
+    wide = docs.select("*", *[F.lit(None).cast(t).alias(n) for n, t in extra.items()])
+    tables = through(spark, wide)
+    assert all(t.columns == wide.columns for t in tables[:-1])
+    kept = [(r.doc_id, r.text) for r in tables[1].collect()]
+    assert not {1001, 1002, 1003, 1004} & {i for i, _ in kept} and kept.count((first[0], first[1])) == 3 and (None, first[1]) in kept and (1005, long) in kept
+    left = [(r.doc_id, r.text) for r in tables[2].collect()]
+    assert left.count((first[0], first[1])) == 1 and (None, first[1]) in left and len(set(left)) == len(left)
+    cleaned = tables[3].collect()
+    assert len(cleaned) == len(left) and all(r.n_chars == len(r.text) for r in cleaned if (r.doc_id, r.text) not in left)
+    assert {r.doc_id for r in tables[4].collect()} == {i for i, _ in left}
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert sorted(map(repr, corpus_pipeline.language(spark, unlabelled, "").collect())) == sorted(map(repr, unlabelled.collect()))
+    assert [t.count() for t in through(spark, docs.limit(0))] == [0] * 5
+
+
 def test_run_is_the_stages(spark, sf_dir, stages):
     got = corpus_pipeline.run(spark, sf_dir).toPandas()
     key = ["doc_id", "piece", "start", "length", "ids_crc32"]

@@ -13,7 +13,7 @@ from codeloom.llm import registry
 
 LONG = " ".join(f"w{i}" for i in range(3000))
 TEXTS = [None, "", " ", "A.", "?!", LONG, LONG, LONG.upper(), "naïve  Straße x", "naïve strasse x", "\u0000a ▁b <|endoftext|>", "a b c d e", "A B C D E", "a b c d"]
-CLASHING = "node string, component_id int, n int, sequence_id string, offset int, length string, rejected int, score string, rank int, r int, grp string, shard string, slot int, digest string"
+CLASHING = "node string, component_id int, n int, sequence_id string, offset int, length string, rejected int, score string, rank int, r int, grp string, shard string, slot int, digest string, _text int, _letter int, _id string, _spans string, _gone int, id int, spans int, hash string, text_hash string, cluster int, salt string, base string, inner string, k0 string, _rank int, _base int, _inner int, _k0 int, letter int, key string, lang_pred int"
 
 
 @pytest.fixture(scope="module")
@@ -61,6 +61,8 @@ def test_packing(spark, docs, wide):
             at += length
         assert at <= 2048
     assert best_fit_pack(tokenize_pieces(docs.limit(0))).count() == 0
+    named = pieces.drop("token_ids").select("*", *[F.lit(i).alias(c) for i, c in enumerate(["_rank", "rank", "_base", "base", "_inner", "inner", "salt", "_salt", "n", "k0", "_k0"])])
+    assert best_fit_pack(named).columns == [*named.columns, "sequence_id", "offset"] and best_fit_pack(named).count() == pieces.count()
     odd = spark.createDataFrame([(1, None), (2, 0), (3, 7), (3, 7)], "doc_id bigint, length bigint").withColumn("piece", F.lit(0))
     assert sorted((r.doc_id, r.offset) for r in best_fit_pack(odd).collect() if r.offset is not None) == [(3, 0), (3, 7)]
     with pytest.raises(ValueError):
@@ -338,7 +340,10 @@ def test_jaccard_join(spark, docs, wide):
         else:
             assert (r.n_shingles, r.component_id) == want[r.doc_id]
     kept = drop_near_duplicates(wide)
-    assert kept.columns == wide.columns and sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [0, 1, 2, 3, 3, 4, 5, 8, 9, 10, 11, 13]
+    assert kept.columns == wide.columns and sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [0, 1, 2, 3, 4, 5, 8, 9, 10, 11, 13]
+    again = [(1, "x y z", 1), (2, "x y z", 2), (2, "q r s", 3), (1, "X y z", 4), (2, "q r s", 5), (7, None, 6), (7, None, 7), (8, " ", 8), (8, " ", 8)]
+    rows = drop_near_duplicates(spark.createDataFrame(again, "doc_id bigint, text string, hash int")).collect()
+    assert sorted(((r.doc_id, (r.text or "").lower()) for r in rows)) == [(1, "x y z"), (2, "q r s"), (7, ""), (7, ""), (8, " "), (8, " ")]
     assert jaccard_join(docs.limit(0)).count() == 0
     with pytest.raises(ValueError):
         jaccard_join(docs, threshold=(0, 100))
