@@ -1,7 +1,8 @@
 """From documents to packed training sequences, in four stages.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept; all but
-the last return the columns of documents.
+the last return the columns of documents, and any others that docs has, whatever their names.
+An empty table goes through all stages and gives an empty table.
 """
 
 from __future__ import annotations
@@ -17,22 +18,46 @@ from codeloom.llm.passages import remove_passages, repeated_passages
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that language identification does not reject; it learns from their own labels."""
-    return identify_languages(docs, learn_languages(docs)).where(~F.col("rejected")).select(*docs.columns)
+    """Documents that language identification does not reject; it learns from their own labels.
+
+    Null texts, empty ones and those without a letter are rejected. Where nothing can be
+    learnt, because no document outside the held-out fifth has both a label and a letter,
+    nothing can be rejected and all rows stay. Null labels, null sources and null ids are
+    no reason to reject; repeated rows are kept or rejected alike.
+    """
+    model = learn_languages(docs)
+    if not model.languages:
+        return docs
+    renamed = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    kept = identify_languages(renamed, model, renamed.columns[docs.columns.index("text")]).where(~F.col("rejected"))
+    return kept.select(*renamed.columns).toDF(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least id, of each group linked by the n-gram Jaccard join."""
+    """One document, that of the least id, of each group linked by the n-gram Jaccard join.
+
+    Equal texts with at least one word are linked, and of a repeated row one stays. Null texts,
+    wordless ones and rows with a null id are linked with nothing and stay. Of an id repeated
+    with other texts each text is judged by itself.
+    """
     return drop_near_duplicates(docs)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the passages that stand in a document of lesser id; n_chars is set anew."""
+    """All documents, without the passages that stand in a document of lesser id; n_chars is set anew where a text changed.
+
+    Null texts, texts of fewer than 50 words and rows with a null id stay as they are; a text
+    that is a repeated passage as a whole becomes empty; rows with one id are cut alike.
+    """
     return remove_passages(docs, repeated_passages(docs), count_col="n_chars" if "n_chars" in docs.columns else None)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' token pieces and their places in sequences."""
+    """The documents' token pieces and their places in sequences.
+
+    A null or empty text is the end id alone; null ids stay null; repeated rows are documents
+    of their own; other columns are not read.
+    """
     pieces = tokenize_pieces(docs).select("doc_id", "piece", "start", "length", F.crc32("token_ids").alias("ids_crc32"))
     return best_fit_pack(pieces)
 
