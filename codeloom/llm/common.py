@@ -33,6 +33,8 @@ def shared_dir(spark: SparkSession) -> str:
     return set_to.rstrip("/")
 
 
+#: Spark's setting by which a query deletes its shuffle files when it ends.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _made: list[str] = []
 
 
@@ -57,10 +59,16 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and return it read back: its lineage ends there.
 
     The rows survive the loss of any executor, and are computed once however often they are read.
+    The shuffles behind the table are deleted once it is written.
     """
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path, before = shared_path(spark, name), spark.conf.get(FREE_SHUFFLES, "false")
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(FREE_SHUFFLES, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def partitions(spark: SparkSession) -> int:

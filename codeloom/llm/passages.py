@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +55,8 @@ EDIT = 6
 #: Where the documents that are not joined make at most so many pairs each, all are compared at once.
 EVEN = 2
 PAIRS_AT_ONCE = 8_000_000
+#: The first pairs are verified in so many shares of the documents, one after the other, so that the words sent around at a time take that much less disk.
+SHARES = 4
 
 
 def sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
@@ -531,15 +534,20 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         own = cut(found.distinct().toDF("id"), "passage-documents")
         return words.join(F.broadcast(own), words.doc_id == own.id, "left_semi") if own.count() <= BROADCAST_ROWS else words
 
-    def verified_pairs(seeds: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def verified_pairs(seeds: DataFrame, shares: int = 1) -> tuple[DataFrame, DataFrame]:
         """Of seeds (key, b, a, pb): the passages; and (doc, place, start, before, after, behind, beyond, key), the places that are in none and the keys of what may go on there."""
-        x, y = words_of(seeds.select("b")).toDF("b", "x"), words_of(seeds.select("a")).toDF("a", "y")
-        pairs = seeds.groupBy("b", "a").agg(F.collect_list(F.struct("key", F.col("pb").cast("int").alias("pb"))).alias("seeds"))
-        both = pairs.join(x, "b").join(y, "a").select("b", "a", "seeds", "x", "y")
-        out = cut(both.mapInArrow(lean(verify), ", ".join(f"{c} bigint" for c in _SHAPE)), "passages")
+
+        def verified_share(seeds: DataFrame) -> DataFrame:
+            x, y = words_of(seeds.select("b")).toDF("b", "x"), words_of(seeds.select("a")).toDF("a", "y")
+            pairs = seeds.groupBy("b", "a").agg(F.collect_list(F.struct("key", F.col("pb").cast("int").alias("pb"))).alias("seeds"))
+            both = pairs.join(x, "b").join(y, "a").select("b", "a", "seeds", "x", "y")
+            return cut(both.mapInArrow(lean(verify), ", ".join(f"{c} bigint" for c in _SHAPE)), "passages")
+
+        share = F.pmod(F.xxhash64("b"), F.lit(shares))
+        out = reduce(DataFrame.union, [verified_share(seeds.where(share == i) if shares > 1 else seeds) for i in range(shares)])
         return out.where("n_words > 0").select(*_SHAPE[:6]), out.where("n_words = 0").select(F.col("doc_id").alias("doc"), F.col("kept_start_word").alias("place"), F.col("start_word").alias("start"), *_SHAPE[6:])
 
-    verified, failed = verified_pairs(found.where("a <> b"))
+    verified, failed = verified_pairs(found.where("a <> b"), SHARES)
     rest = cut(unsettled(failed.select("key", "doc", "place").distinct(), verified), "unsettled")
     first = True
     while not rest.isEmpty():
