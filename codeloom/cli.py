@@ -58,7 +58,7 @@ COMMANDS = {
     "trace": (("start_id", "--depth", "--max-paths"), lambda g, a: traverse.trace_execution_flow(g.edges, a.start_id, int(a.depth or 10), int(a.max_paths or 20)).select(traverse.render_path("path")), "No execution paths found."),
     "get-dependencies": (("symbol_id", "--depth"), lambda g, a: traverse.get_dependencies(g.edges, a.symbol_id, int(a.depth or 5)).select("node", "d"), "No dependencies found."),
     "get-dependents": (("symbol_id", "--depth"), lambda g, a: traverse.get_dependents(g.edges, a.symbol_id, int(a.depth or 5)).select("node", "d"), "No dependents found."),
-    "find-file": (("path", "--repo", "--branch"), lambda g, a: q.find_file(g.nodes, a.path, a.repo, a.branch), "No file found."),
+    "find-file": (("path", "--repo", "--branch"), lambda g, a: q.find_file(g.nodes, a.path, a.repo, a.branch, repositories=g.repositories), "No file found."),
     "list-symbols": (("--type", "--repo", "--branch"), lambda g, a: q.list_symbols(g.nodes, a.type, a.repo, a.branch), "No symbols found."),
     "list-resources": (("--repo", "--branch"), lambda g, a: q.list_resources(g.nodes, a.repo, a.branch).select("id", "name", "label"), "No resources found."),
     "list-repos": ((), lambda g, a: q.list_repositories(g.repositories), "No repositories indexed."),

@@ -20,7 +20,7 @@ LANGUAGES = {
     ".json": "json",
 }
 #: Directory names that are never indexed.
-IGNORED_DIRS = (".git", ".venv", "venv", "node_modules", "__pycache__", ".terraform", "dist", "build")
+IGNORED_DIRS = (".git", ".venv", "__pycache__", "node_modules", ".idea", ".vscode", "build", "dist")
 #: Roots of Terraform references that name no definition.
 META_ROOTS = ("self", "count", "each", "path", "terraform")
 TOKEN = r"[a-z_][a-z0-9_]*"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import provided
@@ -26,8 +26,10 @@ def list_symbols(nodes: DataFrame, type: str | None = None, repo: str | None = N
     return nodes.where(F.col("type") != "file").where(provided(type=type, repo=repo, branch=branch, commit=commit)).select(*_FOUND, "kind", "metadata")
 
 
-def find_file(nodes: DataFrame, path: str, repo: str | None = None, branch: str | None = None, commit: str | None = None) -> DataFrame:
-    """File nodes of a relative path."""
+def find_file(nodes: DataFrame, path: str, repo: str | None = None, branch: str | None = None, commit: str | None = None, repositories: DataFrame | None = None) -> DataFrame:
+    """File nodes of a path: relative, or absolute below a root of ``repositories``; below none nothing is found."""
+    if path.startswith("/") and repositories is not None:
+        repo, path = locate(repositories, path, repo) or (repo, path)
     return nodes.where(F.array_contains("labels", "File") & (F.col("file_path") == path)).where(provided(repo=repo, branch=branch, commit=commit)).select("id", "name", "repo", "branch", "commit", "file_path", "metadata")
 
 
@@ -52,6 +54,18 @@ def resolve_repository(paths: DataFrame, repositories: DataFrame, path_col: str
     return best.select(path_col, F.col("b.name").alias("name"), F.expr(f"substring(`{path_col}`, b.n + 2)").alias("relative"))
 
 
+def hinted(repositories: DataFrame, hint: str) -> DataFrame:
+    """The repositories whose name holds the hint or whose root has a part that equals it, whatever the case."""
+    return repositories.where(F.lower("name").contains(hint.lower()) | F.array_contains(F.split(F.lower("root_path"), "/"), hint.lower()))
+
+
+def locate(repositories: DataFrame, path: str, hint: str | None = None) -> tuple[str, str] | None:
+    """The repository of one absolute path, and the path in it."""
+    one = repositories.sparkSession.createDataFrame([(path,)], "path string")
+    found = resolve_repository(one, hinted(repositories, hint) if hint else repositories).first()
+    return (found["name"], found["relative"]) if found else None
+
+
 def _neighbours(edges: DataFrame, nodes: DataFrame, ids: DataFrame | str, kind: str, given: str, wanted: str) -> DataFrame:
     """Edges of a kind whose ``given`` end is among ids, with the nodes at the other end; one row per edge."""
     chosen = edges.where(F.col("rel_type") == kind)
@@ -142,11 +156,10 @@ def explain_file(edges: DataFrame, nodes: DataFrame, repositories: DataFrame, pa
     REPOSITORY_UNKNOWN for an absolute path below no root, and FILE_NOT_INDEXED.
     """
     if path.startswith("/"):
-        one = nodes.sparkSession.createDataFrame([(path,)], "path string")
-        found = resolve_repository(one, repositories if not repo else repositories.where(F.col("name") == repo)).first()
+        found = locate(repositories, path, repo)
         if not found:
             return {"error": "REPOSITORY_UNKNOWN", "file_path": path}
-        repo, path = found["name"], found["relative"]
+        repo, path = found
     file = find_file(nodes, path, repo).orderBy("repo", "branch", "id").first()
     if not file:
         return {"error": "FILE_NOT_INDEXED", "file_path": path, "repo": repo}
@@ -164,12 +177,3 @@ def explain_file(edges: DataFrame, nodes: DataFrame, repositories: DataFrame, pa
         out["python"] = {k: [r.asDict(recursive=True) for r in v.collect()] for k, v in python.items()}
     symbols.unpersist()
     return out
-
-
-def latest_by(df: DataFrame, order: str, limit: int, *ties: str) -> DataFrame:
-    """The last rows by a column, ties broken by the others."""
-    return df.orderBy(F.desc(order), *ties).limit(limit)
-
-
-def rank_rows(df: DataFrame, by: list[str], order: list, name: str = "rank") -> DataFrame:
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))

@@ -21,7 +21,7 @@ class SemanticResolver(Protocol):
 class NameResolver:
     """Resolves what is left unresolved in Python calls and bases by a name that is unique in the repository."""
 
-    name = "jedi"
+    name = "names"
 
     def supports(self, language: str) -> bool:
         return language == "python"
@@ -29,8 +29,8 @@ class NameResolver:
     def resolve(self, relationships: DataFrame, symbols: DataFrame) -> DataFrame:
         """Retarget ``unresolved:`` calls and inheritances whose last name has one definition in the repository.
 
-        A found one has confidence 0.95, status ``jedi-resolved``, and one more piece of
-        evidence. Names with several definitions stay as they are.
+        A found one has confidence 0.7, as neither position nor type is looked at, status
+        ``name-resolved``, and one more piece of evidence. Names with several definitions stay as they are.
         """
         definitions = symbols.where(F.col("type").isin("function", "method", "class") & F.col("file_path").endswith(".py"))
         unique = definitions.select("repo", F.element_at(F.split(qualified_name(F.col("id")), r"\."), -1).alias("_name"), "id").distinct().groupBy("repo", "_name").agg(F.min("id").alias("_id"), F.count("*").alias("_n")).where("_n = 1").drop("_n")
@@ -38,13 +38,13 @@ class NameResolver:
         name = F.when(open_, F.element_at(F.split(F.regexp_replace("target_id", "^unresolved:", ""), r"\."), -1))
         met = relationships.withColumn("_name", name).join(unique, ["repo", "_name"], "left")
         hit = F.col("_id").isNotNull()
-        more = F.transform("evidence", lambda e: e.withField("type", F.lit("semantic")).withField("confidence", F.lit(0.95)))
+        more = F.transform("evidence", lambda e: e.withField("type", F.lit("semantic")).withField("confidence", F.lit(0.7)))
         return (
             met.withColumn("evidence", F.when(hit, F.concat("evidence", F.slice(more, 1, 1))).otherwise(F.col("evidence")))
             .withColumn("target_id", F.coalesce("_id", "target_id"))
-            .withColumn("confidence", F.when(hit, 0.95).otherwise(F.col("confidence")))
-            .withColumn("resolution_status", F.when(hit, "jedi-resolved").otherwise(F.col("resolution_status")))
-            .withColumn("resolver", F.when(hit, "jedi").otherwise(F.col("resolver")))
+            .withColumn("confidence", F.when(hit, 0.7).otherwise(F.col("confidence")))
+            .withColumn("resolution_status", F.when(hit, "name-resolved").otherwise(F.col("resolution_status")))
+            .withColumn("resolver", F.when(hit, self.name).otherwise(F.col("resolver")))
             .select(*relationships.columns)
         )
 
@@ -62,7 +62,7 @@ class IdentityResolver:
         return relationships
 
 
-RESOLVERS: dict[str, SemanticResolver] = {"jedi": NameResolver(), **{n: IdentityResolver(n) for n in ("scip", "lsp", "joern")}}
+RESOLVERS: dict[str, SemanticResolver] = {"names": NameResolver(), "jedi": NameResolver(), **{n: IdentityResolver(n) for n in ("scip", "lsp", "joern")}}
 
 
 def get_resolver(name: str) -> SemanticResolver | None:

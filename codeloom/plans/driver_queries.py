@@ -262,15 +262,12 @@ def composition_functions(spark, d):
     return queries.get_functions_for_composition(*type_graph(spark, d), "composition:1").select("target_id", "name")
 
 
-_CHAIN = "p_type IN (SELECT DISTINCT p_type FROM part ORDER BY p_type LIMIT 3)"
-
-
-@query(f"""
-SELECT DISTINCT 'xrd' AS role, 'xrd:' || p_brand AS id, p_brand AS name, p_type AS kind FROM part WHERE {_CHAIN}
-UNION ALL SELECT 'composition', 'composition:' || p_partkey, p_name, p_type FROM part WHERE {_CHAIN}
-UNION ALL SELECT 'function', 'fn:' || l_suppkey, s_name, p_type FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey WHERE {_CHAIN}""")
+@query("""
+SELECT DISTINCT 'xrd' AS role, 'xrd:' || p_brand AS id, p_brand AS name, p_type AS kind FROM part
+UNION ALL SELECT 'composition', 'composition:' || p_partkey, p_name, p_type FROM part
+UNION ALL SELECT 'function', 'fn:' || l_suppkey, s_name, p_type FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey""")
 def crossplane_chain(spark, d):
-    kinds = table(spark, d, "part").select(F.col("p_type").alias("kind")).distinct().orderBy("kind").limit(3)
+    kinds = table(spark, d, "part").select(F.col("p_type").alias("kind")).distinct()
     return queries.crossplane_chain(*type_graph(spark, d), kinds)
 
 
@@ -333,10 +330,12 @@ def reachable_distinct(spark, d):
     return traverse.reachable(supply_edges(spark, d), seeds, types=("CALLS",)).select("id", F.col("d").cast("bigint").alias("d"))
 
 
-@query("SELECT 'nation:' || n_nationkey AS id, coalesce(string_agg(s_name, ',' ORDER BY s_name), '') AS names FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_nationkey")
+@query("""
+SELECT 'nation:' || n_nationkey AS id, coalesce(string_agg(name, ',' ORDER BY name), '') AS names
+FROM nation LEFT JOIN (SELECT s_nationkey AS k, s_name AS name FROM supplier UNION ALL SELECT c_nationkey, c_name FROM customer) ON k = n_nationkey GROUP BY n_nationkey""")
 def file_symbols_collect(spark, d):
     nodes = supply_nodes(spark, d)
-    found = queries.file_symbols(supply_edges(spark, d).where("target_id like 'supplier:%'"), nodes, nodes.where("type = 'file'"))
+    found = queries.file_symbols(supply_edges(spark, d), nodes, nodes.where("type = 'file'"))
     return found.select("id", F.array_join(F.array_sort(F.transform("symbols", lambda s: s["name"])), ",").alias("names"))
 
 
@@ -429,7 +428,7 @@ def language_of_path(spark, d):
     return table(spark, d, "pages").select("page_id", language_of(F.col("url")).alias("language"))
 
 
-@query("""SELECT page_id, list_has_any(split(url, '/')[:-2], ['dist', 'build', 'venv', '.venv', '.git', 'node_modules', '__pycache__', '.terraform', 'the']) AS in_dir, list_has_any(split(url, '/'), ['the', 'of']) AS named FROM pages""")
+@query("""SELECT page_id, list_has_any(split(url, '/')[:-2], ['.git', '.venv', '__pycache__', 'node_modules', '.idea', '.vscode', 'build', 'dist', 'the']) AS in_dir, list_has_any(split(url, '/'), ['the', 'of']) AS named FROM pages""")
 def ignored_paths(spark, d):
     from ..functions.columns import IGNORED_DIRS
 

@@ -2,14 +2,6 @@
 
 from __future__ import annotations
 
-#: Types of symbols and of relationships that the data model names.
-SYMBOL_TYPES = ("repository", "directory", "file", "module", "class", "function", "method", "variable", "resource", "resource_type")
-RELATION_TYPES = (
-    "CONTAINS", "DEFINES", "IMPORTS", "CALLS", "INHERITS", "IMPLEMENTS", "REFERENCES", "EXPOSES", "READS",
-    "WRITES", "RUNS", "CONFIGURES", "DOCUMENTS", "KUBERNETES_OBJECT", "COMPOSITES", "USES", "CREATES", "DEPENDS_ON",
-)
-
-
 EVIDENCE = "STRUCT<type STRING, file_path STRING, start_line INT, start_col INT, end_line INT, end_col INT, confidence DOUBLE>"
 #: Later rows overrule earlier ones in the order of paths, then within a file.
 ORD = "STRUCT<path STRING, seq INT>"

@@ -133,17 +133,41 @@ class _Go:
         return end + 1
 
     def call(self, i: int, caller: str) -> None:
-        """Record a call whose arguments open at i."""
-        if self.kind(i) != "mark" or self.text(i) != "(" or self.kind(i - 1) != "word" or self.text(i - 1) in _KEYWORDS:
+        """Record a call whose arguments open at i; what is called may itself be a call, an index or a generic."""
+        if self.kind(i) != "mark" or self.text(i) != "(":
             return
-        first = i - 1
-        while self.text(first - 1) == "." and self.kind(first - 2) == "word":
-            first -= 2
-        if self.text(first - 1) in ("func", "."):
+        first = self.operand(i - 1)
+        if first is None or self.text(first - 1) in ("func", "]"):  # a declaration; a conversion to a list or map
             return
-        text = "".join(self.text(x) for x in range(first, i))
+        text = self.s.data[self.tokens[first][2] : self.tokens[i - 1][3]].decode("utf-8", "replace")
         self.calls.append((caller, text, self.span(first, self.close(i))))
 
+    def operand(self, k: int) -> int | None:
+        """The first token of the operand that ends at k: names, selectors, and brackets behind them; none if it is no operand."""
+        while True:
+            if self.text(k) in (")", "]") and self.kind(k) == "mark":
+                k = self.opening(k) - 1  # arguments, an index or type arguments
+                if self.kind(k) != "word" and self.text(k) not in (")", "]"):
+                    return None
+                continue
+            if self.kind(k) != "word" or self.text(k) in _KEYWORDS:
+                return None
+            if self.text(k - 1) != ".":
+                return k
+            k -= 2
+            if self.kind(k) == "line":  # a chain may break its line only after the dot
+                return None
+
+    def opening(self, k: int) -> int:
+        """The token that opens the bracket closed at k."""
+        depth = 0
+        for i in range(k, -1, -1):
+            if self.kind(i) == "mark":
+                depth += (self.text(i) in _CLOSE) - (self.text(i) in _OPEN)
+                if depth == 0:
+                    return i
+        return 0
+
     def resolve(self, text: str, local: dict[str, str]) -> str:
         head, _, rest = text.partition(".")
         if not rest:

@@ -20,7 +20,7 @@ def _text(value: object) -> str:
 
 
 def _rows(df: DataFrame) -> list[dict]:
-    return [r.asDict(recursive=True) for r in df.collect()]
+    return [decode_json(r.asDict(recursive=True)) for r in df.collect()]
 
 
 def decode_json(row: dict) -> dict:
@@ -36,16 +36,23 @@ def decode_json(row: dict) -> dict:
 
 
 def explain_file(store: GraphStore, file_path: str, repo: str | None = None, index_if_missing: bool = True) -> dict:
-    """Explain a file; first index it if it changed, where both the caller and the environment allow that."""
+    """Explain a file; first index it if it changed, where both the caller and the environment allow that.
+
+    ``on_demand_indexing`` is what indexing it gave, ``index_status`` says that nothing had to be
+    done, ``index_warning`` is the error of an indexing that failed for a file that is known.
+    """
     allowed = index_if_missing and os.environ.get(AUTO_INDEX, "true").lower() in ("1", "true", "yes", "on")
     status = index_file(store, file_path, repo) if allowed else None
     graph = store.read()
     found = queries.explain_file(graph.edges, graph.nodes, graph.repositories, file_path, repo)
     if status is None:
-        return found | {"on_demand_indexing": False}
-    if status["status"] == "error":
-        return status | {"on_demand_indexing": True} if "error" in found else found | {"on_demand_indexing": True, "index_warning": status["error"]}
-    return found | {"on_demand_indexing": True, "index_status": status["status"]}
+        return found
+    failed = status["status"] == "error"
+    if "error" in found:
+        return status if failed else found
+    if failed:
+        return found | {"index_warning": status}
+    return found | ({"index_status": "up_to_date"} if status["status"] == "up_to_date" else {"on_demand_indexing": status})
 
 
 class Tools:

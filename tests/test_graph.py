@@ -1,3 +1,4 @@
+import json
 import subprocess
 
 import pytest
@@ -20,6 +21,9 @@ FILES = {
     "pkg/__init__.py": "def unique_name():\n    pass\n",
     "readme.md": "# x",
     ".venv/site.py": "x = 1",
+    ".idea/project.json": "{}",
+    ".vscode/settings.json": "{}",
+    ".terraform/locks.hcl": "",
     ".github/ci.yaml": "apiVersion: v1\nkind: Deployment\nmetadata:\n  name: ci\n",
     "image.png": "x",
     "infra/main.tf": 'variable "region" {}\nresource "aws_x" "web" { r = var.region }\n',
@@ -46,7 +50,7 @@ def graph(spark, tree):
 
 def test_scan(spark, tree):
     found = {r.path: r.language for r in scan(spark, str(tree), "shop", "main", "c").collect()}
-    assert found == {"main.py": "python", "services/order.py": "python", "repositories/order.py": "python", "pkg/__init__.py": "python", "readme.md": "markdown", ".github/ci.yaml": "yaml", "infra/main.tf": "hcl", "x/xrd.yaml": "yaml"}
+    assert found == {"main.py": "python", "services/order.py": "python", "repositories/order.py": "python", "pkg/__init__.py": "python", "readme.md": "markdown", ".github/ci.yaml": "yaml", "infra/main.tf": "hcl", "x/xrd.yaml": "yaml", ".terraform/locks.hcl": "hcl"}
 
 
 def test_git_info(tmp_path):
@@ -85,8 +89,8 @@ def test_resolution_and_trace(graph):
 
 def test_semantic_resolver(spark, tree):
     built, _ = index_files(scan(spark, str(tree), "shop", "main", "c1"), "jedi")
-    hit = built.edges.where("resolver = 'jedi'").collect()
-    assert [(r.target_id, r.confidence, len(r.evidence)) for r in hit] == [("shop:main:pkg/__init__.py:unique_name", 0.95, 2)]
+    hit = built.edges.where("resolver = 'names'").collect()
+    assert [(r.target_id, r.confidence, len(r.evidence)) for r in hit] == [("shop:main:pkg/__init__.py:unique_name", 0.7, 2)]
     with pytest.raises(ValueError):
         index_files(scan(spark, str(tree), "shop", "main", "c1"), "nothing")
 
@@ -112,6 +116,9 @@ def test_explain(graph, tree):
     assert len(found["python"]["imports"]) == 2
     assert queries.explain_file(graph.edges, graph.nodes, graph.repositories, "/else/where.py")["error"] == "REPOSITORY_UNKNOWN"
     assert queries.explain_file(graph.edges, graph.nodes, graph.repositories, "nope.py")["error"] == "FILE_NOT_INDEXED"
+    for hint in ("SHO", tree.name, None):
+        assert [r.id for r in queries.find_file(graph.nodes, f"{tree}/main.py", hint, repositories=graph.repositories).collect()] == ["shop:main:main.py"]
+    assert queries.find_file(graph.nodes, f"{tree}/main.py", "other", repositories=graph.repositories).count() == 0
     chain = queries.explain_file(graph.edges, graph.nodes, graph.repositories, ".github/ci.yaml")["crossplane"]
     assert [(c["role"], c["kind"]) for c in chain] == [("xrd", "Deployment")]
 
@@ -146,6 +153,10 @@ def test_incremental_store_tools_cli(spark, graph, tree, tmp_path, capsys, monke
     tools = Tools(store)
     assert "save_order" in tools.find_symbol("save_order") and "create_order" in tools.trace_execution_flow("shop:main:main.py:main")
     assert '"index_status": "up_to_date"' in tools.explain_file(path)
+    (tree / "late.py").write_text("def late():\n    pass\n")
+    first, off = json.loads(tools.explain_file(str(tree / "late.py"))), json.loads(tools.explain_file(path, index_if_missing=False))
+    assert first["on_demand_indexing"]["status"] == "created" and not {"on_demand_indexing", "index_status"} & set(off)
+    assert json.loads(tools.explain_file(str(tree / "gone.py")))["error"] == "FILE_DOES_NOT_EXIST"
     assert "shop" in tools.list_repositories() and "x" in tools.find_xrd("Deployment") and tools.find_compositions("Nope") == "[]"
     run = lambda *a: cli.main(["--store", store.path, *a], spark)
     assert "save_order" in run("trace", "shop:main:main.py:main") and "->" in run("trace", "shop:main:main.py:main")

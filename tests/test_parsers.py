@@ -15,30 +15,28 @@ def targets(rels, kind):
 
 
 def test_python_definitions():
-    symbols, rels = parsed("test.py", "python", "def hello(): pass\nclass MyClass:\n    def method(self): pass")
-    by = {s["type"]: s for s in symbols}
-    assert by["function"]["name"] == "hello"
-    assert by["method"]["parent_id"] == by["class"]["id"] == "test-repo:main:test.py:MyClass"
-    assert (by["method"]["start_line"], by["method"]["start_col"]) == (3, 4)
-    assert targets(rels, "DEFINES").count("test-repo:main:test.py:MyClass.method") == 2
+    symbols, rels = parsed("loom/shuttle.py", "python", "class Shuttle:\n    async def throw(self):\n        return 1\n\ndef wind(n): return n")
+    assert [(s["type"], s["name"], s["start_line"], s["start_col"]) for s in symbols] == [("class", "Shuttle", 1, 0), ("method", "throw", 2, 4), ("function", "wind", 5, 0)]
+    assert symbols[1]["parent_id"] == symbols[0]["id"] == "test-repo:main:loom/shuttle.py:Shuttle"
+    ends = [i.split(":")[-1] for i in targets(rels, "DEFINES")]
+    assert sorted(ends) == ["Shuttle", "Shuttle.throw", "Shuttle.throw", "wind"]  # a method by its file and by its class
 
 
 def test_python_imports_and_calls():
-    symbols, rels = parsed("main.py", "python", "import requests\nfrom services.order import create_order\n\ndef main():\n    create_order()\n    requests.get(u).json()\n    other()")
-    assert targets(rels, "IMPORTS") == ["module:requests", "module:services.order"]
-    assert targets(rels, "CALLS") == ["module:services.order.create_order", "module:requests.get(u).json", "module:requests.get", "unresolved:other"]
-    call = [r for r in rels if r["rel_type"] == "CALLS"]
-    assert [c["confidence"] for c in call] == [0.9, 0.9, 0.9, 0.5]
-    assert call[0]["source_id"].endswith("main.py:main") and call[0]["metadata"]["callee_name"] == "create_order"
+    symbols, rels = parsed("dye.py", "python", "import colorsys, csv as table\nfrom vats.indigo import dip as soak\n\ndef run(cloth):\n    soak(cloth)\n    table.reader(cloth).line()\n    rinse()")
+    assert targets(rels, "IMPORTS") == ["module:colorsys", "module:csv", "module:vats.indigo"]
+    calls = [r for r in rels if r["rel_type"] == "CALLS"]
+    assert [(c["target_id"], c["confidence"]) for c in calls] == [("module:vats.indigo.dip", 0.9), ("module:csv.reader(cloth).line", 0.9), ("module:csv.reader", 0.9), ("unresolved:rinse", 0.5)]
+    assert {c["source_id"] for c in calls} == {"test-repo:main:dye.py:run"} and calls[0]["metadata"]["callee_name"] == "soak"
 
 
 @pytest.mark.parametrize(
     "code, expected",
     [
-        ("import a.b.c\n\ndef f():\n    a.b.c.func()", ["module:a.b.c.func"]),
-        ("import a.b.c as x\n\ndef f():\n    x.func()", ["module:a.b.c.func"]),
-        ("class C:\n    def a(self):\n        self.b()\n    def b(self):\n        pass", ["test-repo:main:m.py:C.b"]),
-        ("def g(): pass\ng()", ["test-repo:main:m.py:g"]),
+        ("import yarn.ply\nyarn.ply.twist()", ["module:yarn.ply.twist"]),
+        ("class Reel:\n    def turn(self):\n        self.stop()\n    def stop(self): ...", ["test-repo:main:m.py:Reel.stop"]),
+        ("class Reel:\n    def turn(self):\n        self.gone()", ["unresolved:self.gone"]),
+        ("def knot(): ...\nknot()", ["test-repo:main:m.py:knot"]),
     ],
 )
 def test_python_call_targets(code, expected):
@@ -50,7 +48,7 @@ def test_python_inheritance_and_relative_imports():
     assert targets(rels, "INHERITS") == ["test-repo:main:m.py:Base", "unresolved:metaclass=M"]
     _, rels = parsed("pkg/mod.py", "python", "from . import sibling\nfrom .other import thing\nfrom x import *\nfrom __future__ import annotations")
     assert set(targets(rels, "IMPORTS")) == {"module:pkg.sibling", "module:pkg.other"}
-    assert targets(parsed("x/y/z.py", "python", "from ..pkg.sub import a")[1], "IMPORTS") == ["module:x.pkg.sub"]
+    assert targets(parsed("mill/floor/frame.py", "python", "from ..store.bales import count")[1], "IMPORTS") == ["module:mill.store.bales"]
 
 
 def test_python_nesting_and_decorators():
@@ -62,21 +60,23 @@ def test_python_nesting_and_decorators():
 
 
 def test_yaml_objects():
-    symbols, rels = parsed("deploy.yaml", "yaml", "apiVersion: apps/v1\nkind: Deployment\nmetadata:\n  name: my-deploy\n---\napiVersion: v1\nkind: Service\n---\n- 1")
-    assert [(s["name"], s["kind"], s["type"]) for s in symbols] == [("my-deploy", "Deployment", "resource"), ("unknown", "Service", "resource")]
-    assert len(targets(rels, "KUBERNETES_OBJECT")) == 2
+    text = "kind: CronJob\napiVersion: batch/v1\nmetadata: {name: sweep-floor, namespace: mill}\n---\n# nothing\n---\nkind: ConfigMap\napiVersion: v1\ndata: {hours: '8'}\n---\njust text\n---\nreplicas: 3\n"
+    symbols, rels = parsed("jobs/nightly.yml", "yaml", text)
+    assert [(s["kind"], s["name"]) for s in symbols] == [("CronJob", "sweep-floor"), ("ConfigMap", "unknown")]
+    assert {s["type"] for s in symbols} == {"resource"}
+    assert targets(rels, "KUBERNETES_OBJECT") == [s["id"] for s in symbols]
 
 
 def test_yaml_crossplane():
-    xrd = "apiVersion: apiextensions.crossplane.io/v1\nkind: CompositeResourceDefinition\nmetadata:\n  name: xwidgets.example.org\nspec:\n  group: example.org\n  names:\n    kind: XWidget\n"
-    comp = "apiVersion: apiextensions.crossplane.io/v1\nkind: Composition\nmetadata:\n  name: c\nspec:\n  compositeTypeRef:\n    apiVersion: example.org/v1\n    kind: XWidget\n  pipeline:\n    - functionRef:\n        name: function-patch\n  resources:\n    - base:\n        kind: Bucket\n        apiVersion: s3/v1\n"
-    assert targets(parsed("x.yaml", "yaml", xrd)[1], "DEFINES") == ["xrdtype:example.org:XWidget"]
-    _, rels = parsed("c.yaml", "yaml", comp)
-    assert targets(rels, "COMPOSITES") == ["xrdtype:example.org:XWidget"]
-    assert targets(rels, "USES") == ["fn:function-patch"]
-    assert targets(rels, "CREATES") == ["mrtype:s3/v1:Bucket"]
-    symbols, _ = parsed("x.yaml", "yaml", "apiVersion: v1\nkind: CompositeResourceDefinition\nspec:\n  names:\n")
-    assert len(symbols) == 1
+    head = "apiVersion: apiextensions.crossplane.io/v1\n"
+    definition = head + "kind: CompositeResourceDefinition\nmetadata: {name: bales.cotton.test}\nspec: {group: cotton.test, names: {kind: Bale, plural: bales}}\n"
+    steps = "  pipeline:\n  - step: weigh\n    functionRef: {name: fn-scale}\n  - step: tie\n    functionRef: {name: fn-rope}\n"
+    made = head + "kind: Composition\nmetadata: {name: small-bale}\nspec:\n  compositeTypeRef: {apiVersion: cotton.test/v2, kind: Bale}\n" + steps + "  resources:\n  - name: cord\n    base: {apiVersion: rope.test/v1, kind: Cord}\n"
+    assert targets(parsed("bale.yaml", "yaml", definition)[1], "DEFINES") == ["xrdtype:cotton.test:Bale"]
+    _, rels = parsed("small.yaml", "yaml", made)
+    assert targets(rels, "COMPOSITES") == ["xrdtype:cotton.test:Bale"]
+    assert (targets(rels, "USES"), targets(rels, "CREATES")) == (["fn:fn-scale", "fn:fn-rope"], ["mrtype:rope.test/v1:Cord"])
+    assert len(parsed("empty.yaml", "yaml", head + "kind: CompositeResourceDefinition\nspec: {names: }\n")[0]) == 1
 
 
 TF = """
@@ -111,6 +111,12 @@ def test_go():
     assert targets(rels, "CALLS") == ["module:fmt.Println", "unresolved:s.Stop", "module:strings.ToUpper", "test-repo:main:main.go:helper"]
 
 
+def test_go_calls_on_what_calls_and_indexes_give():
+    code = 'package main\n\nfunc main() {\n  db.Where(a, "x").Find(&y)\n  Map[int](z)\n  list[0].run()\n  b := []byte(s)\n  f := func(n int) (int, error) { return g(n), nil }\n}\n'
+    calls = targets(parsed("main.go", "go", code)[1], "CALLS")
+    assert [c.removeprefix("unresolved:") for c in calls] == ["db.Where", 'db.Where(a, "x").Find', "Map[int]", "list[0].run", "g"]
+
+
 def test_unknown_language_and_errors(spark):
     with pytest.raises(ValueError):
         parser_for("cobol")
