@@ -498,8 +498,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     texts = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(8 * partitions(spark), math.ceil(size / 30 / BLOCK))  # about one key for 30 bytes
-    found = cut(colliding_paragraphs(texts, blocks), "colliding-paragraphs")
-    ids = cut(found.select(F.col("b").alias("id")).distinct(), "passage-documents")
+    found = cut(colliding_paragraphs(texts, blocks).where("a <> b"), "colliding-paragraphs")
+    ids = documents_of(found)
     few = ids.count() <= BROADCAST_ROWS
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -529,25 +529,30 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                     rows += [(*go_on[s["pb"]], s["key"]) for s in seeds if s["pb"] in go_on]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(len(_SHAPE))], names=_SHAPE)
 
-    def words_of(found: DataFrame) -> DataFrame:
-        """The words of the documents of a column; of few documents only theirs are sent around."""
-        own = cut(found.distinct().toDF("id"), "passage-documents")
-        return words.join(F.broadcast(own), words.doc_id == own.id, "left_semi") if own.count() <= BROADCAST_ROWS else words
+    def verified_pairs(seeds: DataFrame, own: DataFrame, shares: int = 1) -> tuple[DataFrame, DataFrame]:
+        """Of seeds (key, b, a, pb) and their documents: the passages; and (doc, place, start, before, after, behind, beyond, key), the places that are in none and the keys of what may go on there."""
+        small = own.count() <= BROADCAST_ROWS
 
-    def verified_pairs(seeds: DataFrame, shares: int = 1) -> tuple[DataFrame, DataFrame]:
-        """Of seeds (key, b, a, pb): the passages; and (doc, place, start, before, after, behind, beyond, key), the places that are in none and the keys of what may go on there."""
+        def words_of(role: str) -> DataFrame:
+            """The words of the documents in a role; where the documents are few only theirs are sent around."""
+            if not small:
+                return words
+            named = own.where(role).select("id")
+            return words.join(F.broadcast(named), words.doc_id == named.id, "left_semi")
 
-        def verified_share(seeds: DataFrame) -> DataFrame:
-            x, y = words_of(seeds.select("b")).toDF("b", "x"), words_of(seeds.select("a")).toDF("a", "y")
+        def verified_share(seeds: DataFrame, x: DataFrame) -> DataFrame:
             pairs = seeds.groupBy("b", "a").agg(F.collect_list(F.struct("key", F.col("pb").cast("int").alias("pb"))).alias("seeds"))
-            both = pairs.join(x, "b").join(y, "a").select("b", "a", "seeds", "x", "y")
+            both = pairs.join(x.toDF("b", "x"), "b").join(words_of("as_a").toDF("a", "y"), "a").select("b", "a", "seeds", "x", "y")
             return cut(both.mapInArrow(lean(verify), ", ".join(f"{c} bigint" for c in _SHAPE)), "passages")
 
-        share = F.pmod(F.xxhash64("b"), F.lit(shares))
-        out = reduce(DataFrame.union, [verified_share(seeds.where(share == i) if shares > 1 else seeds) for i in range(shares)])
+        if shares == 1:
+            out = verified_share(seeds, words_of("as_b"))
+        else:
+            share = [F.pmod(F.xxhash64(c), F.lit(shares)) for c in ("b", "doc_id")]
+            out = reduce(DataFrame.union, [verified_share(seeds.where(share[0] == i), words_of("as_b").where(share[1] == i)) for i in range(shares)])
         return out.where("n_words > 0").select(*_SHAPE[:6]), out.where("n_words = 0").select(F.col("doc_id").alias("doc"), F.col("kept_start_word").alias("place"), F.col("start_word").alias("start"), *_SHAPE[6:])
 
-    verified, failed = verified_pairs(found.where("a <> b"), SHARES)
+    verified, failed = verified_pairs(found, ids, SHARES)
     rest = cut(unsettled(failed.select("key", "doc", "place").distinct(), verified), "unsettled")
     first = True
     while not rest.isEmpty():
@@ -556,7 +561,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         last = n["pairs"] <= EVEN * n["rows"]
         leads = rest.select("key", F.col("doc").alias("a")).distinct() if last else rest.groupBy("key").agg(F.min("doc").alias("a"))
         led = cut(rest.join(leads, "key").where("doc > a").select("key", F.col("doc").alias("b"), "a", F.col("place").alias("pb")), "led")
-        more, failed = verified_pairs(led)
+        more, failed = verified_pairs(led, documents_of(led))
         verified = verified.union(more)
         if last:
             break
@@ -569,6 +574,12 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return removals.join(clusters.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster_id")), "doc_id")
 
 
+def documents_of(pairs: DataFrame) -> DataFrame:
+    """(id, as_b, as_a): the documents of pairs (b, a), and on which sides they are."""
+    sides = F.explode(F.array(*[F.struct(F.col(c).alias("id"), F.lit(c == "b").alias("as_b"), F.lit(c == "a").alias("as_a")) for c in ("b", "a")]))
+    return cut(pairs.select(sides.alias("s")).select("s.*").groupBy("id").agg(F.max("as_b").alias("as_b"), F.max("as_a").alias("as_a")), "passage-documents")
+
+
 def unsettled(rest: DataFrame, verified: DataFrame) -> DataFrame:
     """Of (key, doc, place) the rows outside of all passages to be removed, of keys that several documents still have."""
     gone = verified.select("doc_id", "start_word", (F.col("start_word") + F.col("n_words")).alias("end_word")).distinct()
