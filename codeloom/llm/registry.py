@@ -8,6 +8,8 @@ from .nearest import op8_nearest_neighbours
 from .ngram_join import OP10_SQL, op10_ngram_jaccard_join
 from .packing import op1_best_fit_packing
 from .passages import op4_repeated_passages
+from .phrase_index import OP11_SQL, op11_benchmark_decontamination
+from .prefix_trie import OP12_SQL, op12_conversation_prefix_trie
 from .sentencepieces import op5_sentencepiece
 from .sharding import op3_balanced_sharding
 from .token_files import op6_token_files
@@ -24,5 +26,12 @@ QUERIES = {
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_document_fingerprints": op9_document_fingerprints,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op11_benchmark_decontamination": op11_benchmark_decontamination,
+    "op12_conversation_prefix_trie": op12_conversation_prefix_trie,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op7_warc_transactions": OP7_SQL,
+    "op10_ngram_jaccard_join": OP10_SQL,
+    "op11_benchmark_decontamination": OP11_SQL,
+    "op12_conversation_prefix_trie": OP12_SQL,
 }
-ORACLE_SQL: dict[str, str] = {"op7_warc_transactions": OP7_SQL, "op10_ngram_jaccard_join": OP10_SQL}
