@@ -20,17 +20,25 @@ from pyspark.sql import functions as F
 
 from .common import cut, require
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between words; in text that is not lower-cased yet, letters A-Z are of words too.
+BETWEEN, BETWEEN_CASED = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Terms up to which their table is sent to all tasks; some 64 bytes each.
 BROADCAST_TERMS = 500_000
 KEY = ("a", "b")
 POSTINGS = ("term", *KEY, "pos")
 
 
+def _split(text: Column, between: str) -> Column:
+    return F.coalesce(F.array_remove(F.split(text, between), ""), F.array().cast("array<string>"))
+
+
 def words(text: Column) -> Column:
     """The words of a text in order: letters A-Z lower-cased, split at all other ASCII but letters and digits; a null has none."""
-    found = F.regexp_extract_all(F.translate(text, string.ascii_uppercase, string.ascii_lowercase), F.lit(WORD), F.lit(0))
-    return F.coalesce(found, F.array().cast("array<string>"))
+    return _split(F.translate(text, string.ascii_uppercase, string.ascii_lowercase), BETWEEN)
+
+
+def word_count(text: Column) -> Column:
+    return F.size(_split(text, BETWEEN_CASED)).cast("bigint")
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -157,7 +165,7 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 10, doc_id: str
     matches = phrase_matches(rows, listed)
     named = matches.select("pid", *KEY).distinct().join(of_items.where("item_id is not null"), "pid").groupBy(*KEY).agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
     results = cut(words_covered(matches).join(named, list(KEY), "left"), "contamination")
-    out = rows.select("id", *KEY, F.size(words(F.col("text"))).cast("bigint").alias("n_words")).join(results, list(KEY), "left")
+    out = rows.select("id", *KEY, word_count(F.col("text")).alias("n_words")).join(results, list(KEY), "left")
     hit, found = F.coalesce("n_hit", F.lit(0)).cast("bigint"), F.coalesce("items", F.array().cast("array<string>"))
     return out.select(F.col("id").alias(doc_id), "n_words", hit.alias("n_hit"), F.size(found).cast("bigint").alias("n_items"), found.alias("items"), (hit > 0).alias("contaminated"))
 
