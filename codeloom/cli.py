@@ -75,7 +75,7 @@ def parser() -> argparse.ArgumentParser:
     index = commands.add_parser("index")
     index.add_argument("path")
     index.add_argument("--semantic", action="store_true")
-    index.add_argument("--semantic-backend", default="jedi")
+    index.add_argument("--semantic-backend", default="hierarchy")
     index.add_argument("--clear", action="store_true")
     for name, (arguments, _, _) in COMMANDS.items():
         one = commands.add_parser(name)

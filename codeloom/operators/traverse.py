@@ -1,13 +1,16 @@
-"""Variable-length paths: trails by recursive SQL, and distinct reachability by frontiers."""
+"""Variable-length paths: all trails by recursive SQL, the first ones level by level, and distinct reachability by frontiers."""
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 DEPENDENCIES = ("CALLS", "IMPORTS", "DEPENDS_ON")
 
 
@@ -36,20 +39,54 @@ def trails(edges: DataFrame, seeds: DataFrame | str, depth: int, types: Sequence
         SELECT seed, node, d, path FROM walk WHERE d > 0""")
 
 
+def first_trails(edges: DataFrame, seed: str, depth: int, limit: int, types: Sequence[str] | None = None, reverse: bool = False, made: list[int] | None = None) -> DataFrame:
+    """The first ``limit`` rows of ``trails`` from one seed by depth, then by path, without making the rest.
+
+    Trails are made level by level. A level that fills the limit is cut to what is wanted and is the
+    last; one that does not is smaller than the limit, so what is extended is always fewer rows than the
+    limit, and such a table is sent to the edges, which are not moved. Levels are written to the shared
+    folder. The number of rows that each level kept is appended to ``made``.
+    """
+    spark = edges.sparkSession
+    chosen = edges.where(F.col("rel_type").isin(*types)) if types else edges
+    ends = ("target_id", "source_id") if reverse else ("source_id", "target_id")
+    e = chosen.select(F.col(ends[0]).alias("node"), F.col(ends[1]).alias("next"), F.concat_ws(">", "rel_type", "source_id", "target_id").alias("edge"))
+    level = spark.createDataFrame([(seed, [seed], [])], "node string, path array<string>, used array<string>")
+    levels, room = [], limit
+    for d in range(1, depth + 1):
+        onward = e.join(F.broadcast(level), "node").where(~F.array_contains("used", F.col("edge")))
+        onward = onward.select(F.col("next").alias("node"), F.array_append("path", F.col("next")).alias("path"), F.array_append("used", F.col("edge")).alias("used")).distinct()
+        level = written(onward.orderBy("path", "used").limit(room), "trails")
+        n = level.count()
+        if made is not None:
+            made.append(n)
+        if not n:
+            break
+        levels.append(level.select(F.lit(seed).alias("seed"), "node", F.lit(d).alias("d"), "path"))
+        room -= n
+        if not room:
+            break
+    none = spark.createDataFrame([], "seed string, node string, d int, path array<string>")
+    return reduce(DataFrame.union, levels, none)
+
+
+def _found(edges: DataFrame, seed: str, depth: int, limit: int | None, types: Sequence[str], reverse: bool = False) -> DataFrame:
+    return trails(edges, seed, depth, types, reverse) if limit is None else first_trails(edges, seed, depth, limit, types, reverse)
+
+
 def get_dependencies(edges: DataFrame, seed: str, depth: int = 5, limit: int | None = 100) -> DataFrame:
     """End nodes of dependency trails, one row per trail; the limit takes the shortest, then the first by path."""
-    found = trails(edges, seed, depth, DEPENDENCIES)
-    return found.orderBy("d", "path").limit(limit) if limit is not None else found
+    return _found(edges, seed, depth, limit, DEPENDENCIES)
 
 
 def get_dependents(edges: DataFrame, seed: str, depth: int = 5, limit: int | None = 100) -> DataFrame:
-    found = trails(edges, seed, depth, DEPENDENCIES, reverse=True)
-    return found.orderBy("d", "path").limit(limit) if limit is not None else found
+    """The same against the direction of the edges."""
+    return _found(edges, seed, depth, limit, DEPENDENCIES, reverse=True)
 
 
-def trace_execution_flow(edges: DataFrame, seed: str, depth: int = 10, max_paths: int = 20) -> DataFrame:
+def trace_execution_flow(edges: DataFrame, seed: str, depth: int = 10, max_paths: int | None = 20) -> DataFrame:
     """Call paths from a symbol, of every length, shortest first."""
-    return trails(edges, seed, depth, ("CALLS",)).orderBy("d", "path").limit(max_paths)
+    return _found(edges, seed, depth, max_paths, ("CALLS",))
 
 
 def render_path(path) -> F.Column:
@@ -59,19 +96,17 @@ def render_path(path) -> F.Column:
 def reachable(edges: DataFrame, seeds: DataFrame, depth: int | None = None, types: Sequence[str] | None = None) -> DataFrame:
     """(id, d): every node reachable from the seeds, once, with its least distance; seeds have 0.
 
-    Each level joins only the nodes found last; lineage is cut by checkpoint where the
-    session has a checkpoint folder.
+    Each level joins only the nodes found last. The edges, like the nodes of each level, are written
+    to the shared folder once and read from there.
     """
     chosen = edges.where(F.col("rel_type").isin(*types)) if types else edges
-    e = chosen.select("source_id", "target_id").distinct()
-    seen = seeds.select(F.col(seeds.columns[0]).alias("id"), F.lit(0).alias("d")).distinct()
-    frontier, level = seen, 0
-    durable = seen.sparkSession.sparkContext.getCheckpointDir() is not None
+    e = written(chosen.select("source_id", "target_id").distinct(), "edges")
+    frontier = written(seeds.select(F.col(seeds.columns[0]).alias("id"), F.lit(0).alias("d")).distinct(), "reached")
+    seen, level = frontier, 0
     while depth is None or level < depth:
         level += 1
-        step = frontier.select(F.col("id").alias("source_id")).join(e, "source_id").select(F.col("target_id").alias("id")).distinct()
-        frontier = step.join(seen.select("id"), "id", "left_anti").select("id", F.lit(level).alias("d"))
-        frontier = frontier.checkpoint() if durable else frontier.persist()
+        step = e.join(frontier.select(F.col("id").alias("source_id")), "source_id", "left_semi").select(F.col("target_id").alias("id")).distinct()
+        frontier = written(step.join(seen.select("id"), "id", "left_anti").select("id", F.lit(level).alias("d")), "reached")
         if frontier.isEmpty():
             break
         seen = seen.union(frontier)

@@ -14,12 +14,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import content_hash, in_ignored_dir, is_ignored, language_of, tokenize, within_size
-from ..operators import memory, queries, retrieval, traverse
+from ..operators import hierarchy, memory, queries, retrieval, search_index, traverse
 from ..operators.incremental import classify
 from ..operators.merge import last_wins, upsert
 from ..operators.resolve import module_map, resolve_targets
 from ..schemas import EDGES, NODES
-from ..sources.parse.dispatch import parse
+from ..sources.shared import new_folder
 from .build import Graph, _fit, clear_repository, endpoint_stubs, remove_file_symbols
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -317,6 +317,34 @@ def dependencies_limit100(spark, d):
     return _rendered(traverse.get_dependencies(transitions(spark, d), "signup", 3, 100))
 
 
+def _first_trails_sql(seed: str, depth: int, limit: int, reverse: bool = False) -> str:
+    """Levels are made as long as those before have too few rows together."""
+    a, b = ("dst", "src") if reverse else ("src", "dst")
+    return f"""WITH RECURSIVE {_TRANSITIONS_SQL},
+p(node, path, used, d, total) AS (
+  SELECT '{seed}', ['{seed}'], CAST([] AS VARCHAR[]), 0, 0::BIGINT
+  UNION ALL
+  SELECT node, path, used, d, total + count(*) OVER () FROM (
+    SELECT t.{b} AS node, list_append(p.path, t.{b}) AS path, list_append(p.used, src || '>' || dst) AS used, p.d + 1 AS d, p.total
+    FROM p JOIN t ON t.{a} = p.node WHERE p.d < {depth} AND p.total < {limit} AND NOT list_contains(p.used, src || '>' || dst)))
+SELECT node, d::BIGINT AS d, array_to_string(path, ' -> ') AS path FROM p WHERE d > 0 ORDER BY p.d, p.path LIMIT {limit}"""
+
+
+@query(_first_trails_sql("signup", 10, 20))
+def trace_execution_flow_first20(spark, d):
+    return _rendered(traverse.trace_execution_flow(transitions(spark, d), "signup", 10, 20))
+
+
+@query(_first_trails_sql("signup", 5, 100))
+def get_dependencies_first100(spark, d):
+    return _rendered(traverse.get_dependencies(transitions(spark, d), "signup", 5, 100))
+
+
+@query(_first_trails_sql("purchase", 5, 100, True))
+def get_dependents_first100(spark, d):
+    return _rendered(traverse.get_dependents(transitions(spark, d), "purchase", 5, 100))
+
+
 @query(_trail_sql("signup", 4))
 def trace_paths_d4(spark, d):
     return _rendered(traverse.trails(transitions(spark, d), "signup", 4, ("CALLS",)))
@@ -356,6 +384,29 @@ def resolve_references(spark, d):
     return resolve_targets(_references(spark, d), known, known).select("source_id", "target_id", "confidence", "resolution_status")
 
 
+@query("""
+WITH RECURSIVE c AS (SELECT c_custkey AS k FROM customer),
+b AS (SELECT c.k, p.k AS base, 0 AS nth FROM c JOIN c p ON p.k = c.k // 2 WHERE p.k <> c.k UNION ALL SELECT c.k, p.k, 1 FROM c JOIN c p ON p.k = c.k // 3 WHERE p.k <> c.k AND p.k <> c.k // 2),
+w(class, above, path) AS (SELECT k, base, [nth] FROM b UNION ALL SELECT w.class, b.base, list_append(w.path, b.nth) FROM w JOIN b ON b.k = w.above),
+a AS (SELECT class, above, min(path) AS path FROM w GROUP BY ALL),
+m AS (SELECT DISTINCT o_custkey AS class, o_orderpriority AS name FROM orders WHERE o_totalprice > 450000),
+q AS (SELECT DISTINCT o_custkey AS class, o_orderpriority AS name, o_orderstatus <> 'F' AS own FROM orders),
+f AS (SELECT q.*, m.class AS place, [] AS path FROM q JOIN m USING (class, name) WHERE own UNION ALL SELECT q.*, a.above, a.path FROM q JOIN a USING (class) JOIN m ON m.class = a.above AND m.name = q.name)
+SELECT 'customer:' || class AS class, name, own, 'customer:' || arg_min(place, path) || '.' || name AS id FROM f
+WHERE NOT EXISTS (SELECT 1 FROM f g JOIN a ON a.class = g.place WHERE g.class = f.class AND g.name = f.name AND g.own = f.own AND a.above = f.place) GROUP BY class, name, own""")
+def inherited_methods(spark, d):
+    """Customers as classes, each with the customers of half and of a third of its number as bases; dear orders are methods, all orders calls."""
+    orders, key = table(spark, d, "orders"), F.col("c_custkey")
+    classes = table(spark, d, "customer").select("c_custkey", _id("customer", "c_custkey").alias("id"), F.lit("class").alias("type"))
+    bases = classes.select("id", F.posexplode(F.array(F.floor(key / 2), F.floor(key / 3))).alias("nth", "base"))
+    place = F.array(F.struct(F.lit(1).alias("start_line"), F.col("nth").alias("start_col")))
+    inherits = bases.select(F.col("id").alias("source_id"), _id("customer", "base").alias("target_id"), F.lit("INHERITS").alias("rel_type"), place.alias("evidence"))
+    owner, name = _id("customer", "o_custkey").alias("class"), F.col("o_orderpriority").alias("name")
+    methods = orders.where("o_totalprice > 450000").select(owner, name).distinct().withColumn("id", F.concat_ws(".", "class", "name"))
+    asked = orders.select(owner, name, (F.col("o_orderstatus") != "F").alias("own"))
+    return hierarchy.find_methods(asked, hierarchy.ancestors(hierarchy.direct_bases(inherits, classes)), methods)
+
+
 @query("SELECT lower(n_name) || '.' || c_mktsegment AS key, max(c_custkey) || ':' || c_mktsegment AS id FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name, c_mktsegment")
 def module_map_last_wins(spark, d):
     """Definitions with one qualified name in one module: the last of them stands for the name."""
@@ -470,6 +521,31 @@ def keyword_search_filtered(spark, d):
     return _searched(spark, d, {"lang": "de"})
 
 
+def _search_index(spark: SparkSession, d: str) -> search_index.SearchIndex:
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", F.create_map(F.lit("lang"), F.col("lang")).alias("metadata"), F.col("doc_id").alias("insert_ord"))
+    return search_index.write_index(docs, new_folder(spark, "search-index"))
+
+
+@query(_search_sql(""))
+def keyword_search_indexed(spark, d):
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return search_index.search_index(asked, _search_index(spark, d), 5).rows
+
+
+@query(_search_sql("WHERE lang = 'de'"))
+def keyword_search_indexed_filtered(spark, d):
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return search_index.search_index(asked, _search_index(spark, d), 5, {"lang": "de"}).rows
+
+
+@query("""
+WITH p AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z_][a-z0-9_]*')) AS token FROM documents)
+SELECT token, count(DISTINCT doc_id) AS df, max(tf)::BIGINT AS most FROM (SELECT doc_id, token, count(*) AS tf FROM p GROUP BY ALL) GROUP BY token""")
+def search_index_tokens(spark, d):
+    """What the stored index knows of each token."""
+    return _search_index(spark, d).maxima.groupBy("token").agg(F.sum("n").alias("df"), F.max("most").alias("most"))
+
+
 def _investigations(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     turns = table(spark, d, "conversations")
     key = F.col("conv_id").cast("string").alias("investigation_id")
@@ -492,24 +568,3 @@ def investigation_nested(spark, d):
 @query("SELECT DISTINCT conv_id::VARCHAR AS investigation_id, conv_id AS started_at FROM conversations ORDER BY conv_id DESC LIMIT 50")
 def investigations_recent(spark, d):
     return memory.recent(_investigations(spark, d)[0], 50)
-
-
-#: A small source file of each language.
-SAMPLES = {
-    "app/main.py": ("python", "from services.order import create\nimport os.path as p\n\nclass Base:\n    pass\n\nclass App(Base):\n    def run(self):\n        self.stop()\n        create(p.join('a'))\n    def stop(self):\n        pass\n"),
-    "deploy.yaml": ("yaml", "apiVersion: apps/v1\nkind: Deployment\nmetadata:\n  name: api\n---\napiVersion: x.io/v1\nkind: Composition\nmetadata:\n  name: c\nspec:\n  compositeTypeRef:\n    apiVersion: shop.org/v1\n    kind: XShop\n  pipeline:\n    - functionRef:\n        name: patch\n"),
-    "main.tf": ("hcl", 'variable "region" {}\nresource "aws_instance" "web" {\n  region = var.region\n  tags = { n = "${local.tag}" }\n}\nlocals {\n  tag = "x"\n}\n'),
-    "main.go": ("go", 'package main\n\nimport "fmt"\n\ntype S struct{}\n\nfunc (s *S) Start() { fmt.Println("x") }\n\nfunc main() { Start() }\n'),
-}
-
-
-def _parse_language(language: str):
-    def run(spark: SparkSession, d: str) -> DataFrame:
-        rows = [("repo", "main", "c", path, lang, text.encode()) for path, (lang, text) in SAMPLES.items() if lang == language]
-        parsed = parse(spark.createDataFrame(rows, "repo string, branch string, commit string, path string, language string, content binary"))
-        return parsed.select("path", "seq", "symbol.id", "symbol.type", "relationship.source_id", "relationship.rel_type", "relationship.target_id", "relationship.confidence", "error")
-
-    return run
-
-
-QUERIES |= {f"parse_{language}": _parse_language(language) for language in ("python", "yaml", "hcl", "go")}

@@ -88,7 +88,7 @@ def test_resolution_and_trace(graph):
 
 
 def test_semantic_resolver(spark, tree):
-    built, _ = index_files(scan(spark, str(tree), "shop", "main", "c1"), "jedi")
+    built, _ = index_files(scan(spark, str(tree), "shop", "main", "c1"), "names")
     hit = built.edges.where("resolver = 'names'").collect()
     assert [(r.target_id, r.confidence, len(r.evidence)) for r in hit] == [("shop:main:pkg/__init__.py:unique_name", 0.7, 2)]
     with pytest.raises(ValueError):
