@@ -391,7 +391,7 @@ w(class, above, path) AS (SELECT k, base, [nth] FROM b UNION ALL SELECT w.class,
 a AS (SELECT class, above, min(path) AS path FROM w GROUP BY ALL),
 m AS (SELECT DISTINCT o_custkey AS class, o_orderpriority AS name FROM orders WHERE o_totalprice > 450000),
 q AS (SELECT DISTINCT o_custkey AS class, o_orderpriority AS name, o_orderstatus <> 'F' AS own FROM orders),
-f AS (SELECT q.*, m.class AS place, [] AS path FROM q JOIN m USING (class, name) WHERE own UNION ALL SELECT q.*, a.above, a.path FROM q JOIN a USING (class) JOIN m ON m.class = a.above AND m.name = q.name)
+f AS (SELECT q.*, m.class AS place, CAST([] AS INTEGER[]) AS path FROM q JOIN m USING (class, name) WHERE own UNION ALL SELECT q.*, a.above, a.path FROM q JOIN a USING (class) JOIN m ON m.class = a.above AND m.name = q.name)
 SELECT 'customer:' || class AS class, name, own, 'customer:' || arg_min(place, path) || '.' || name AS id FROM f
 WHERE NOT EXISTS (SELECT 1 FROM f g JOIN a ON a.class = g.place WHERE g.class = f.class AND g.name = f.name AND g.own = f.own AND a.above = f.place) GROUP BY class, name, own""")
 def inherited_methods(spark, d):
