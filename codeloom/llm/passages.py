@@ -17,9 +17,10 @@ if a place is in none, the paragraphs that hold it decide, by exact Jaccard. Doc
 not joined at some place meet the least of these at this key, and after that the least of those
 that also have the next shingle beyond either end of what they share with it, and so on: each
 round a group shares one shingle more, and when it shares a paragraph's worth all are joined, so
-a group of any size costs a few pairs a document and none of its documents is passed over. (Two
-that share just what their leads share, and go on together only behind an edit at that very
-place, meet by a minimum over the shingles behind it: nearly always.)
+a group of any size costs a few pairs a document; five documents or fewer that are left with a key are
+all compared. (Of a larger group, two that share just what their leads share, and go on together only
+behind an edit at that very place, meet by a minimum over the shingles behind it: nearly always. Words are compared by
+hashes of 32 bits, so two different words pass for equal with a chance of one in 4 * 10^9.)
 
 Removal. Documents that share passages form clusters (connected components). A passage stays
 in the lesser document, and is removed from the other.
@@ -36,6 +37,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .common import components, cut, fresh, lean, partitions, require
 from .shingles import _stir, shingle_hashes, text_buffers, word_hashes
@@ -52,8 +54,8 @@ BROADCAST_ROWS = 500_000
 #: Shingles behind an edit of which the minimum is taken, and how far behind the run's end they start.
 BEYOND = 14
 EDIT = 6
-#: Where the documents that are not joined make at most so many pairs each, all are compared at once.
-EVEN = 2
+#: Documents of one key, not joined yet, up to which all are compared with each other.
+TOGETHER = 5
 PAIRS_AT_ONCE = 8_000_000
 #: The first pairs are verified in so many shares of the documents, one after the other, so that the words sent around at a time take that much less disk.
 SHARES = 4
@@ -72,7 +74,8 @@ def sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
 def band_keys(data: np.ndarray, offsets: np.ndarray, paragraph: int = PARAGRAPH, k: int = WORDS, stretch: int = STRETCH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(key, text, place): band keys of all paragraphs of the texts, once for each run of equal keys, in order of place.
 
-    ``place`` is the word at which the first minimum's shingle starts.
+    ``place`` is the word at which the first minimum's shingle starts. Keys depend on the shingles alone: the first
+    minimum is of 32 bits, above the place's 32, whatever the number of words, the second of 64.
     """
     words, bounds = word_hashes(data, offsets)
     none = (np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))
@@ -86,10 +89,10 @@ def band_keys(data: np.ndarray, offsets: np.ndarray, paragraph: int = PARAGRAPH,
         return none
     owner = text[: len(inside)]
     grams = shingle_hashes(words, k)
-    bits = np.uint64(max(24, len(words).bit_length()))
+    bits = np.uint64(32)
     places = np.arange(len(grams), dtype=np.uint64)
     first = sliding_minimum((_stir(grams + np.uint64(0xD6E8FEB86659FD93)) >> bits << bits) | places, stretch)
-    second = sliding_minimum(_stir(grams + np.uint64(0xA0761D6478BD642F)) >> bits, stretch)
+    second = sliding_minimum(_stir(grams + np.uint64(0xA0761D6478BD642F)), stretch)
     new = inside.copy()
     new[1:] &= (first[1:] != first[:-1]) | (second[1:] != second[:-1]) | ~inside[:-1] | (owner[1:] != owner[:-1])
     at = np.flatnonzero(new)
@@ -112,10 +115,11 @@ def _star(key: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[tuple[np
 
 
 def colliding_paragraphs(docs: DataFrame, blocks: int) -> DataFrame:
-    """(key, b, a, pb): each place of a document with a band key that another has, and the least document compared with.
+    """(key, b, a, pb): each place of a document with a band key that another has, and the least document with the key.
 
-    Documents of one slice are compared there, and only the least goes on to the key's
-    block, so no block gets more rows of a key than there are slices.
+    The least of a slice is found there, and it alone goes on to the key's block, so no block gets more
+    rows of a key than there are slices. Then the least of all takes the place of the slices' ones, by a join that
+    may split a key's rows: what is compared does not depend on how the documents are dealt out.
     """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,7 +171,10 @@ def colliding_paragraphs(docs: DataFrame, blocks: int) -> DataFrame:
             yield meet(held)
 
     dealt = docs.mapInArrow(lean(spread), "block bigint, w binary, x binary, y binary, z binary").repartition(partitions(docs.sparkSession), "block")
-    return dealt.sortWithinPartitions("block").mapInArrow(lean(gather), "key bigint, b bigint, a bigint, pb bigint")
+    met = dealt.sortWithinPartitions("block").mapInArrow(lean(gather), "key bigint, b bigint, a bigint, pb bigint")
+    met = cut(met.where("a <> b"), "met-in-slices")
+    least = met.groupBy("key").agg(F.min("a").alias("least"), F.max("a").alias("most")).where("least < most").select("key", "least")
+    return met.join(least, "key", "left").select("key", "b", F.coalesce("least", "a").alias("a"), "pb").where("a <> b")
 
 
 class Held:
@@ -486,19 +493,28 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """The removals: (doc_id, start_word, n_words, kept_doc_id, kept_start_word, kept_n_words, cluster_id), one row per passage.
 
     ``kept_doc_id`` is less than ``doc_id`` and has the passage, or one similar enough; it may
-    be removed there in favour of a still lesser document. After removal no two documents
-    have similar paragraphs of a common band, but where one of the two is cut. ``cluster_id``
+    be removed there in favour of a still lesser document. Of similar paragraphs with a common
+    band at most one stays whole, but for the rare case named above; the rows do not depend on how ``docs`` is partitioned. ``cluster_id``
     is the least document of all that share passages with either, directly or not. Passages of
     one document may overlap; a passage that one document holds twice is no repeat by itself.
     Null texts, texts of fewer than 50 words and null ids have no passages; rows with one id
-    are one document; other columns are not read; an empty table gives an empty table.
+    are one document; other columns are not read; an empty table gives an empty table. Ids may be of any
+    type that can be sorted; those that are no integers are numbered in their order, and named again in the result.
     """
     require(docs, id_col, text_col)
     spark = docs.sparkSession
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        ordered = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id")).distinct().repartitionByRange(partitions(spark), "id").sortWithinPartitions("id")
+        named = cut(ordered.withColumn("number", F.monotonically_increasing_id()), "numbered-ids")
+        numbered = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(named, "id").select(F.col("number").alias("doc_id"), "text")
+        found = repeated_passages(numbered)
+        for column in ("doc_id", "kept_doc_id", "cluster_id"):
+            found = found.join(named.select(F.col("number").alias(column), F.col("id").alias(f"{column}_name")), column).drop(column).withColumnRenamed(f"{column}_name", column)
+        return found.select(*_SHAPE[:6], "cluster_id")
     texts = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(8 * partitions(spark), math.ceil(size / 30 / BLOCK))  # about one key for 30 bytes
-    found = cut(colliding_paragraphs(texts, blocks).where("a <> b"), "colliding-paragraphs")
+    found = cut(colliding_paragraphs(texts, blocks), "colliding-paragraphs")
     ids = documents_of(found)
     few = ids.count() <= BROADCAST_ROWS
 
@@ -556,15 +572,16 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rest = cut(unsettled(failed.select("key", "doc", "place").distinct(), verified), "unsettled")
     first = True
     while not rest.isEmpty():
-        # each round what a key's documents share grows by a shingle, so it comes to an end
-        n = rest.groupBy("key").agg(F.countDistinct("doc").alias("n")).agg(F.sum("n").alias("rows"), F.sum(F.expr("n * (n - 1) div 2")).alias("pairs")).first()
-        last = n["pairs"] <= EVEN * n["rows"]
-        leads = rest.select("key", F.col("doc").alias("a")).distinct() if last else rest.groupBy("key").agg(F.min("doc").alias("a"))
+        # few documents of a key meet all at once; of many, each meets the least, and in each round what they share grows by a shingle, so it comes to an end
+        sizes = rest.groupBy("key").agg(F.min("doc").alias("least"), F.countDistinct("doc").alias("n"))
+        sizes = cut(sizes, "unsettled-keys")
+        many = sizes.where(F.col("n") > TOGETHER)
+        few_docs = rest.join(sizes.where(F.col("n") <= TOGETHER).select("key"), "key", "left_semi").select("key", F.col("doc").alias("a")).distinct()
+        leads = many.select("key", F.col("least").alias("a")).union(few_docs)
         led = cut(rest.join(leads, "key").where("doc > a").select("key", F.col("doc").alias("b"), "a", F.col("place").alias("pb")), "led")
         more, failed = verified_pairs(led, documents_of(led))
         verified = verified.union(more)
-        if last:
-            break
+        failed = failed.join(many.select("key"), "key", "left_semi")
         on = failed.select("doc", F.col("start").alias("place"), F.explode(F.array(*(_SHAPE[6:10] if first else _SHAPE[6:8]))).alias("key")).where("key is not null").select("key", "doc", "place")
         rest, first = cut(unsettled(on.distinct(), more), "unsettled"), False
     # of several documents that hold the same passage the least keeps it

@@ -173,3 +173,58 @@ def test_texts_of_repeated_words(spark):
     held = {d: sum(e == d for e, _ in spans) for d in range(8)}
     assert held[2] > 350 and 20 < held[3] <= 72 and held[5] == 50 and held[7] > 70  # what stays is less than a paragraph more
     assert not any(d in (0, 1, 4, 6) for d, _ in spans)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_rows_do_not_depend_on_partitions(spark, seed):
+    from codeloom.llm.passages import repeated_passages
+
+    rows = families(seed, 25)
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id bigint, text string")
+    found = [sorted(map(tuple, repeated_passages(table.repartition(n, "text") if n > 1 else table.coalesce(1)).collect())) for n in (1, 8, 64)]
+    assert found[0] and found[0] == found[1] == found[2]
+
+
+def test_followers_unlike_each_other_both_meet_the_least(spark):
+    """The least document alone in a slice, and in another two that are similar to it but not to each other."""
+    from codeloom.llm.passages import repeated_passages
+
+    rng, rows = random.Random(11), []
+    for i in range(0, 300, 10):
+        passage = words(rng, 54)
+        left, right = list(passage), list(passage)
+        left[2:4], right[50:52] = words(rng, 2), words(rng, 2)
+        rows += [(i, passage), (i + 1, left[:54]), (i + 2, right)]
+    parts = [spark.createDataFrame([(i, " ".join(w)) for i, w in rows if (i % 10 == 0) == first], "doc_id bigint, text string").coalesce(1) for first in (True, False)]
+    for table in (parts[0].union(parts[1]), parts[0].union(parts[1]).coalesce(1)):
+        found = {r.doc_id for r in repeated_passages(table).collect() if r.kept_doc_id % 10 == 0}
+        assert found == {i + j for i in range(0, 300, 10) for j in (1, 2)}
+
+
+def test_ids_of_text(spark):
+    from codeloom.llm.passages import remove_passages, repeated_passages
+
+    rng = random.Random(12)
+    passage = words(rng, 60)
+    rows = [("b", [*words(rng, 20), *passage]), ("a", [*passage, *words(rng, 9)]), ("c", words(rng, 80)), (None, passage), ("d", None)]
+    docs = spark.createDataFrame([(i, w and " ".join(w)) for i, w in rows], "doc_id string, text string")
+    found = repeated_passages(docs)
+    assert [tuple(r) for r in found.collect()] == [("b", 20, 60, "a", 0, 60, "a")]
+    kept = {r.doc_id: r.text for r in remove_passages(docs, found).collect()}
+    assert len(kept["b"].split()) == 20 and len(kept["a"].split()) == 69
+
+
+def test_keys_do_not_depend_on_the_length_of_the_text():
+    """A passage at the end of a text of 17 million words has the keys that it has alone."""
+    from codeloom.llm.passages import band_keys
+
+    passage = " ".join(words(random.Random(13), 80)).encode()
+    n = 17_000_000
+    filler = np.full((n, 4), 32, np.uint8)
+    for i, scale in enumerate((1, 26, 676)):
+        filler[:, i] = 97 + (np.arange(n, dtype=np.int64) * 2654435761 // 1024 // scale) % 26
+    data = np.concatenate((filler.ravel(), np.frombuffer(passage, np.uint8)))
+    long, _, place = band_keys(data, np.array([0, len(data)]))
+    short, _, alone = band_keys(np.frombuffer(passage, np.uint8), np.array([0, len(passage)]))
+    at = place >= n
+    assert set(zip(short.tolist(), (alone + n).tolist())) <= set(zip(long[at].tolist(), place[at].tolist()))
