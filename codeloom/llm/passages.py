@@ -174,6 +174,7 @@ def colliding_paragraphs(docs: DataFrame, blocks: int) -> DataFrame:
     met = dealt.sortWithinPartitions("block").mapInArrow(lean(gather), "key bigint, b bigint, a bigint, pb bigint")
     met = cut(met.where("a <> b"), "met-in-slices")
     least = met.groupBy("key").agg(F.min("a").alias("least"), F.max("a").alias("most")).where("least < most").select("key", "least")
+    least = cut(least, "least-documents")  # a table of its own, so that the join's hot keys can be split
     return met.join(least, "key", "left").select("key", "b", F.coalesce("least", "a").alias("a"), "pb").where("a <> b")
 
 
