@@ -4,15 +4,19 @@ from __future__ import annotations
 
 import hashlib
 import os
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import IGNORED_DIRS, module_path
-from ..operators.resolve import resolve_targets
+from ..functions.columns import IGNORED_DIRS
+from ..operators.merge import upsert
+from ..operators.repair import repair
+from ..operators.resolve import address_map, module_map, resolve_targets
 from ..plans.build import Graph, GraphStore, build, merge_graphs
 from ..schemas import file_id
 from ..sources.parse.dispatch import file_symbols, parse, relationships_of, symbols_of
+from ..sources.shared import written
 from ..sources.scan import MAX_FILE_BYTES, language_of_name
 
 
@@ -33,24 +37,32 @@ def stored_hashes(nodes: DataFrame) -> DataFrame:
 
 def stored_modules(nodes: DataFrame) -> DataFrame:
     """What stored nodes a module name may stand for, so that a file indexed alone finds other files' definitions."""
-    module = module_path(F.col("file_path"))
-    key = F.when(F.col("type") == "file", module).when(F.col("type").isin("function", "method", "class"), F.concat_ws(".", module, F.element_at(F.split("id", ":"), -1)))
-    return nodes.select(key.alias("key"), "id").where("key is not null").groupBy("key").agg(F.max("id").alias("id"))
+    return module_map(nodes)
 
 
-def refresh(graph: Graph, files: DataFrame, force: bool = False) -> tuple[Graph, DataFrame]:
+def refresh(graph: Graph, files: DataFrame, force: bool = False, removed: DataFrame | None = None) -> tuple[Graph, DataFrame]:
     """Index the files that changed and put them over the graph; also each file's status.
 
-    Symbols that a changed file no longer has go, with their own edges; edges of other
-    files that end there stay.
+    A graph that holds what was parsed is repaired: it becomes what a full build of all files now makes, also where
+    relationships of other files name what came, went or moved; ``removed`` (file_id) are files that are there no more. In a graph
+    without it symbols that a changed file no longer has go, with their own edges, and edges of other
+    files that end there stay as they are.
     """
     ids = F.concat_ws(":", "repo", "branch", "path")
     status = classify(files.withColumn("file_id", ids).select("file_id", "content_hash"), stored_hashes(graph.nodes), force)
     changed = files.withColumn("file_id", ids).join(status.where("status <> 'up_to_date'").select("file_id"), "file_id", "left_semi").drop("file_id")
-    parsed = parse(changed)
+    if graph.symbols is not None:
+        status = written(status, "status")
+        parsed = written(parse(changed), "parsed")
+        gone = status.where("status <> 'up_to_date'").select("file_id")
+        gone = gone if removed is None else gone.union(removed.select("file_id"))
+        repaired = repair(graph, gone, file_symbols(changed).unionByName(symbols_of(parsed)), relationships_of(parsed))
+        return _with_repositories(repaired, changed), status
+    if removed is not None:
+        raise ValueError("files can be removed only from a graph that holds what was parsed; see remove_files")
+    parsed = written(parse(changed), "parsed")
     symbols = file_symbols(changed).unionByName(symbols_of(parsed))
-    addresses = graph.nodes.select(F.get_json_object("metadata", "$.tf_address").alias("key"), "id").where("key is not null").groupBy("key").agg(F.max("id").alias("id"))
-    own = symbols.select(F.get_json_object("metadata", "$.tf_address").alias("key"), "id").where("key is not null").groupBy("key").agg(F.max("id").alias("id"))
+    addresses, own = address_map(graph.nodes), address_map(symbols)
     known = stored_modules(graph.nodes.unionByName(symbols, allowMissingColumns=True))
     resolved = resolve_targets(relationships_of(parsed), known, own.union(addresses.join(own, "key", "left_anti").select("key", "id")))
     repos = changed.groupBy(F.col("repo").alias("name"), "branch").agg(F.max("commit").alias("commit"), F.max("root_path").alias("root_path")).withColumn("indexed_at", F.current_timestamp())
@@ -62,6 +74,12 @@ def refresh(graph: Graph, files: DataFrame, force: bool = False) -> tuple[Graph,
     return merge_graphs(kept, build(symbols, resolved, repos)), status
 
 
+def _with_repositories(graph: Graph, changed: DataFrame) -> Graph:
+    """The repositories of changed files get their commit and the time of indexing."""
+    new = changed.groupBy(F.col("repo").alias("name"), "branch").agg(F.max("commit").alias("commit"), F.max("root_path").alias("root_path")).withColumn("indexed_at", F.current_timestamp())
+    return replace(graph, repositories=upsert(graph.repositories, new, ["name", "branch"]))
+
+
 def _error(code: str, path: str) -> dict:
     return {"status": "error", "error": code, "file_path": path}
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import provided
@@ -177,3 +177,62 @@ def explain_file(edges: DataFrame, nodes: DataFrame, repositories: DataFrame, pa
         out["python"] = {k: [r.asDict(recursive=True) for r in v.collect()] for k, v in python.items()}
     symbols.unpersist()
     return out
+
+
+#: What a file's explanation lists, besides its counts.
+SECTIONS = ("symbols", "xrds", "compositions", "functions", "callers", "callees", "inherits", "imports")
+
+
+def file_facts(edges: DataFrame, nodes: DataFrame, files: DataFrame) -> DataFrame:
+    """(id, section, item) for a table of files, ids distinct: all that ``explain_file`` says of one, a row for each thing.
+
+    An item is a struct: id and name of the other symbol, its type and kind, ``of`` the file's own symbol or kind
+    that it belongs to, and the edge's confidence. Callers, callees and bases are given for files with
+    classes or functions; definitions, compositions and functions of composite types for the kinds of the file's
+    resources, repeats kept. Nothing is gathered by file, so one file may hold a third of all symbols.
+    """
+    ids = files.select("id").distinct()
+    node = nodes.select("id", "name", "type", "kind")
+    inside = edges.where("rel_type = 'CONTAINS'").select(F.col("source_id").alias("file"), F.col("target_id").alias("id")).join(ids.withColumnRenamed("id", "file"), "file", "left_semi").distinct()
+    held = inside.join(node, "id")
+    none = F.lit(None)
+
+    def rows(df: DataFrame, section, id_="id", of=none, confidence=none) -> DataFrame:
+        item = F.struct(F.col(id_).alias("id"), "name", "type", "kind", of.cast("string").alias("of"), confidence.cast("double").alias("confidence"))
+        return df.select(F.col("file").alias("id"), (section if isinstance(section, Column) else F.lit(section)).alias("section"), item.alias("item"))
+
+    kinds = held.where("type = 'resource' and kind is not null").select("file", "kind").distinct()
+    chain = crossplane_chain(edges, nodes, kinds.select("kind").distinct()).withColumnRenamed("kind", "of").join(kinds.withColumnRenamed("kind", "of"), "of")
+    chain = chain.withColumn("type", none.cast("string")).withColumn("kind", none.cast("string"))
+    coded = held.where("type in ('class', 'function', 'method')").select("file").distinct()
+    own = inside.join(coded, "file", "left_semi").withColumnRenamed("id", "own")
+
+    def around(relation: str, mine: str, other: str) -> DataFrame:
+        met = edges.where(F.col("rel_type") == relation).select(F.col(mine).alias("own"), F.col(other).alias("id"), "confidence").join(own, "own")
+        return met.join(node, "id")
+
+    imports = edges.where("rel_type = 'IMPORTS'").select(F.col("source_id").alias("file"), F.col("target_id").alias("id"), "confidence").join(coded, "file", "left_semi").join(node, "id")
+    section = F.when(F.col("role") == "xrd", "xrds").when(F.col("role") == "composition", "compositions").otherwise("functions")
+    parts = [
+        rows(held, "symbols"),
+        rows(chain, section, of=F.col("of")),
+        rows(around("CALLS", "target_id", "source_id"), "callers", of=F.col("own"), confidence=F.col("confidence")),
+        rows(around("CALLS", "source_id", "target_id"), "callees", of=F.col("own"), confidence=F.col("confidence")),
+        rows(around("INHERITS", "source_id", "target_id"), "inherits", of=F.col("own"), confidence=F.col("confidence")),
+        rows(imports, "imports", of=F.col("file"), confidence=F.col("confidence")),
+    ]
+    return reduce(DataFrame.union, parts)
+
+
+def explain_files(edges: DataFrame, nodes: DataFrame, files: DataFrame) -> DataFrame:
+    """(id, resources, classes, functions_count, a sorted array of items for each section) for a table of files, one nested row each.
+
+    A row holds all of its file, as a document does; ``file_facts`` has the same, a row for each thing. Files without
+    symbols have empty arrays.
+    """
+    facts = file_facts(edges, nodes, files).groupBy("id", "section").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    by_section = facts.groupBy("id").pivot("section", list(SECTIONS)).agg(F.first("items"))
+    counts = type_counts(edges, nodes, files.select("id").distinct()).withColumnRenamed("functions", "functions_count")
+    met = counts.join(by_section, "id", "left")
+    empty = F.array().cast(facts.schema["items"].dataType)
+    return met.select("id", "resources", "classes", "functions_count", *[F.coalesce(F.col(f"`{s}`"), empty).alias(s) for s in SECTIONS])

@@ -12,17 +12,37 @@ from .merge import last_wins
 DEFINITIONS = ("function", "method", "class")
 
 
-def module_map(symbols: DataFrame) -> DataFrame:
-    """(key, id): a file's module path, and a definition's module path and qualified name; the last of a key wins."""
+def module_keys(symbols: DataFrame) -> DataFrame:
+    """(key, id, ord): a file under its module path, and a definition under its module path and qualified name."""
     module = module_path(F.col("file_path"))
     key = F.when(F.col("type") == "file", module).when(F.col("type").isin(*DEFINITIONS), F.concat_ws(".", module, qualified_name(F.col("id"))))
-    return last_wins(symbols.select(key.alias("key"), "id", "ord").where("key is not null"), ["key"], "ord").select("key", "id")
+    return symbols.select(key.alias("key"), "id", "ord").where("key is not null")
+
+
+def address_keys(symbols: DataFrame) -> DataFrame:
+    """(key, id, ord) of Terraform addresses, over all directories."""
+    return symbols.select(F.get_json_object("metadata", "$.tf_address").alias("key"), "id", "ord").where("key is not null")
+
+
+def owners(keys: DataFrame) -> DataFrame:
+    """(key, id): the last of a key by place wins; of places in several repositories that of the greatest id."""
+    return last_wins(keys.withColumn("ord", F.struct("ord", "id")), ["key"], "ord").select("key", "id")
+
+
+def module_map(symbols: DataFrame) -> DataFrame:
+    """(key, id): what a module's name, or a name in a module, stands for."""
+    return owners(module_keys(symbols))
 
 
 def address_map(symbols: DataFrame) -> DataFrame:
-    """(key, id) of Terraform addresses, over all directories; the last of a key wins."""
-    key = F.get_json_object("metadata", "$.tf_address")
-    return last_wins(symbols.select(key.alias("key"), "id", "ord").where("key is not null"), ["key"], "ord").select("key", "id")
+    """(key, id): what a Terraform address stands for."""
+    return owners(address_keys(symbols))
+
+
+def symbolic_key(target: Column) -> tuple[Column, Column]:
+    """Which map a symbolic target is looked up in, null for other targets, and its key there."""
+    is_module, is_address = target.startswith("module:"), target.startswith("tfaddr:")
+    return F.when(is_module, "module").when(is_address, "tfaddr"), F.when(is_module | is_address, F.substring(target, 8, 1 << 20))
 
 
 def resolve_targets(rels: DataFrame, modules: DataFrame, addresses: DataFrame) -> DataFrame:
@@ -32,11 +52,8 @@ def resolve_targets(rels: DataFrame, modules: DataFrame, addresses: DataFrame) -
     found 0.95, else it keeps its own. All others count as resolved, ``unresolved:``
     targets too: look at the prefix to tell them apart. The sides are planned by size.
     """
-    target = F.col("target_id")
-    is_module, is_address = target.startswith("module:"), target.startswith("tfaddr:")
-    key = F.when(is_module | is_address, F.substring(target, 8, 1 << 20))
+    which, key = symbolic_key(F.col("target_id"))
     maps = modules.select(F.lit("module").alias("_map"), "key", "id").union(addresses.select(F.lit("tfaddr"), "key", "id"))
-    which = F.when(is_module, "module").when(is_address, "tfaddr")
     met = rels.withColumn("_map", which).withColumn("key", key).join(maps, ["_map", "key"], "left")
     hit = F.col("id").isNotNull()
 

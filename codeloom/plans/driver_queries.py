@@ -9,6 +9,7 @@ types, parts are compositions of them and use suppliers as functions.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,10 +18,11 @@ from ..functions.columns import content_hash, in_ignored_dir, is_ignored, langua
 from ..operators import hierarchy, memory, queries, retrieval, search_index, traverse
 from ..operators.incremental import classify
 from ..operators.merge import last_wins, upsert
-from ..operators.resolve import module_map, resolve_targets
-from ..schemas import EDGES, NODES
+from ..operators.repair import repair
+from ..operators.resolve import address_map, module_map, resolve_targets
+from ..schemas import EDGES, NODES, RELATIONSHIPS, REPOSITORIES, SYMBOLS
 from ..sources.shared import new_folder
-from .build import Graph, _fit, clear_repository, endpoint_stubs, remove_file_symbols
+from .build import Graph, _fit, build, clear_repository, endpoint_stubs, remove_file_symbols, remove_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -373,6 +375,28 @@ def explain_summary(spark, d):
     return queries.type_counts(supply_edges(spark, d), nodes, nodes.where("type = 'file'"))
 
 
+@query(f"""
+WITH {_EDGES_SQL},
+c AS (SELECT 'nation:' || c_nationkey AS id, string_agg(c_name, ',' ORDER BY c_name) AS names, count(*) AS n FROM customer GROUP BY 1),
+s AS (SELECT 'nation:' || s_nationkey AS id, string_agg(s_name, ',' ORDER BY s_name) AS names, count(*) AS n FROM supplier GROUP BY 1),
+own AS (SELECT 'customer:' || c_custkey AS sym, 'nation:' || c_nationkey AS id FROM customer UNION ALL SELECT 'supplier:' || s_suppkey, 'nation:' || s_nationkey FROM supplier),
+o AS (SELECT id, string_agg(target_id, ',' ORDER BY target_id, source_id) AS ids FROM own JOIN e ON source_id = sym GROUP BY id),
+i AS (SELECT id, count(*) AS n, count(DISTINCT source_id) AS different, max(confidence) AS most FROM own JOIN e ON target_id = sym GROUP BY id)
+SELECT 'nation:' || n_nationkey AS id, coalesce(s.n, 0) AS resources, coalesce(c.n, 0) AS classes, concat_ws(',', c.names, s.names) AS symbols,
+  CASE WHEN c.n > 0 THEN coalesce(o.ids, '') ELSE '' END AS callees, CASE WHEN c.n > 0 THEN coalesce(i.n, 0) ELSE 0 END AS callers, CASE WHEN c.n > 0 THEN coalesce(i.different, 0) ELSE 0 END AS different_callers, CASE WHEN c.n > 0 THEN i.most END AS confidence
+FROM nation LEFT JOIN c ON c.id = 'nation:' || n_nationkey LEFT JOIN s ON s.id = 'nation:' || n_nationkey LEFT JOIN o ON o.id = 'nation:' || n_nationkey LEFT JOIN i ON i.id = 'nation:' || n_nationkey""")
+def explain_files(spark, d):
+    nodes = supply_nodes(spark, d)
+    found = queries.explain_files(supply_edges(spark, d), nodes, nodes.where("type = 'file'"))
+    ids = lambda c: F.array_join(F.transform(c, lambda x: x["id"]), ",")
+    names = F.array_join(F.array_sort(F.transform("symbols", lambda x: x["name"])), ",")
+    size = lambda c: F.size(c).cast("bigint")
+    return found.select(
+        "id", "resources", "classes", names.alias("symbols"), ids("callees").alias("callees"), size("callers").alias("callers"),
+        size(F.array_distinct(F.transform("callers", lambda x: x["id"]))).alias("different_callers"), F.array_max(F.transform("callers", lambda x: x["confidence"])).alias("confidence"),
+    )
+
+
 @query(f"""
 WITH {_REFERENCES_SQL}, k AS (SELECT substr(target_id, 8) AS key, * FROM r)
 SELECT source_id, CASE WHEN (target_id LIKE 'module:%' OR target_id LIKE 'tfaddr:%') AND c_custkey IS NOT NULL THEN 'customer:' || c_custkey ELSE target_id END AS target_id,
@@ -469,6 +493,56 @@ def remove_file_edges(spark, d):
     return remove_file_symbols(graph, file[0]).edges.select("source_id", "target_id")
 
 
+@query(f"WITH {_SOURCE_SQL}, gone AS (SELECT id || ':f' AS gone FROM f WHERE doc_id % 7 = 3) SELECT source_id, target_id FROM c WHERE source_id NOT IN (SELECT gone FROM gone) AND target_id NOT IN (SELECT gone FROM gone)")
+def remove_files_edges(spark, d):
+    gone = table(spark, d, "documents").where("doc_id % 7 = 3").select(F.concat("source", F.lit(":main:"), F.col("doc_id").cast("string")).alias("file_id"))
+    return remove_files(_source_graph(spark, d), gone).edges.select("source_id", "target_id")
+
+
+@query(f"WITH {_SOURCE_SQL} SELECT source_id, target_id FROM c WHERE da % 7 <> 3")
+def remove_files_outgoing_edges(spark, d):
+    gone = table(spark, d, "documents").where("doc_id % 7 = 3").select(F.concat("source", F.lit(":main:"), F.col("doc_id").cast("string")).alias("file_id"))
+    return remove_files(_source_graph(spark, d), gone, keep_incoming=True).edges.select("source_id", "target_id")
+
+
+def _customer_symbols(spark: SparkSession, d: str, kept: str) -> DataFrame:
+    """Nations as files, and those customers in them for which ``kept`` holds as classes."""
+    nation, customer = table(spark, d, "nation"), table(spark, d, "customer").where(kept)
+    path = F.concat(F.lower(F.replace("n_name", F.lit(" "), F.lit("_"))), F.lit(".py"))
+    file = F.concat(F.lit("shop:main:"), path)
+
+    def rows(df: DataFrame, id_, name, kind: str, seq) -> DataFrame:
+        return _fit(df.select(id_.alias("id"), F.lit("shop").alias("repo"), F.lit("main").alias("branch"), name.alias("name"), F.lit(kind).alias("type"), path.alias("file_path"), file.alias("file_id"), F.struct(path.alias("path"), seq.cast("int").alias("seq")).alias("ord")), SYMBOLS)
+
+    held = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    return rows(nation, file, path, "file", F.lit(-1)).union(rows(held, F.concat_ws(":", file, "c_name"), F.col("c_name"), "class", F.col("c_custkey")))
+
+
+def _order_references(spark: SparkSession, d: str) -> DataFrame:
+    """Orders, in files of their own, that call a customer by its module and name."""
+    nation, customer = table(spark, d, "nation"), table(spark, d, "customer")
+    places = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    named = F.concat(F.lit("module:"), F.lower(F.replace("n_name", F.lit(" "), F.lit("_"))), F.lit("."), F.col("c_name"))
+    calls = table(spark, d, "orders").join(places, F.col("o_custkey") == F.col("c_custkey"))
+    at = F.struct(F.concat(F.lit("orders/"), F.col("o_orderkey").cast("string")).alias("path"), F.lit(0).alias("seq"))
+    return _fit(calls.select(_id("order", "o_orderkey").alias("source_id"), named.alias("target_id"), F.lit("CALLS").alias("rel_type"), F.lit("shop").alias("repo"), F.lit("main").alias("branch"), F.lit(0.9).alias("confidence"), at.alias("ord")), RELATIONSHIPS)
+
+
+@query("""
+WITH c AS (SELECT c_custkey, c_name, lower(replace(n_name, ' ', '_')) AS module, CASE WHEN n_nationkey % 2 = 0 THEN c_custkey % 7 <> 0 ELSE c_custkey % 5 <> 0 END AS there FROM customer JOIN nation ON c_nationkey = n_nationkey)
+SELECT 'order:' || o_orderkey AS source_id, 'CALLS' AS rel_type, CASE WHEN there THEN 'shop:main:' || module || '.py:' || c_name ELSE 'module:' || module || '.' || c_name END AS target_id, CASE WHEN there THEN 0.95 ELSE 0.5 END::DOUBLE AS confidence
+FROM orders JOIN c ON c_custkey = o_custkey""")
+def repaired_references(spark, d):
+    """Half of the files change; calls in other files then find what came, and lose what went."""
+    before, none = _customer_symbols(spark, d, "c_custkey % 5 <> 0"), spark.createDataFrame([], REPOSITORIES)
+    references = _order_references(spark, d)
+    built = build(before, resolve_targets(references, module_map(before), address_map(before)), none)
+    files = table(spark, d, "nation").where("n_nationkey % 2 = 0").select(F.concat(F.lit("shop:main:"), F.lower(F.replace("n_name", F.lit(" "), F.lit("_"))), F.lit(".py")).alias("file_id"))
+    after = _customer_symbols(spark, d, "c_custkey % 7 <> 0").join(files, "file_id", "left_semi").select(*before.columns)
+    new = repair(replace(built, symbols=before, references=references), files, after, references.limit(0))
+    return new.edges.where("rel_type = 'CALLS'").select("source_id", "rel_type", "target_id", "confidence")
+
+
 @query(f"WITH {_SOURCE_SQL} SELECT source_id, target_id FROM c WHERE sa <> 'src1' AND sb <> 'src1'")
 def clear_repo_edges(spark, d):
     return clear_repository(_source_graph(spark, d), "src1", keep_shared=False).edges.select("source_id", "target_id")

@@ -123,6 +123,24 @@ def test_explain(graph, tree):
     assert [(c["role"], c["kind"]) for c in chain] == [("xrd", "Deployment")]
 
 
+def test_files_explained_together_are_as_explained_alone(graph):
+    files = graph.nodes.where("type = 'file'")
+    rows = {r.id: r for r in queries.explain_files(graph.edges, graph.nodes, files).collect()}
+    assert set(rows) == {r.id for r in files.collect()}
+    seen = set()
+    for id_, row in rows.items():
+        one = queries.explain_file(graph.edges, graph.nodes, graph.repositories, id_.split(":", 2)[2])
+        assert (row.resources, row.classes, row.functions_count) == tuple(one["counts"][k] for k in ("resources", "classes", "functions"))
+        assert sorted(x.id for x in row.symbols) == sorted(x["id"] for x in one["symbols"])
+        chain = [("xrd", x.id, x.of) for x in row.xrds] + [("composition", x.id, x.of) for x in row.compositions] + [("function", x.id, x.of) for x in row.functions]
+        assert sorted(chain) == sorted((x["role"], x["id"], x["kind"]) for x in one["crossplane"])
+        for section, other, of in (("callers", "source_id", "target_id"), ("callees", "target_id", "source_id"), ("inherits", "target_id", "source_id"), ("imports", "target_id", "source_id")):
+            mine = sorted((x.id, x.of, x.confidence) for x in row[section])
+            assert mine == sorted((x[other], x[of], x["confidence"]) for x in one.get("python", {}).get(section, []))
+            seen |= {section} if mine else set()
+    assert seen >= {"callers", "callees", "imports"}
+
+
 def test_remove_and_clear(graph):
     file = "shop:main:repositories/order.py"
     less = remove_file_symbols(graph, file)
