@@ -22,6 +22,7 @@ from ..operators.repair import repair
 from ..operators.resolve import address_map, module_map, resolve_targets
 from ..schemas import EDGES, NODES, RELATIONSHIPS, REPOSITORIES, SYMBOLS
 from ..sources.shared import new_folder
+from .lookup import Lookup, write_lookup
 from .build import Graph, _fit, build, clear_repository, endpoint_stubs, remove_file_symbols, remove_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -217,6 +218,22 @@ def get_callees(spark, d):
     return queries.get_callees(supply_edges(spark, d), supply_nodes(spark, d), "customer:1").select("target_id", "name", "type", "confidence")
 
 
+def _lookup(spark: SparkSession, d: str) -> Lookup:
+    none = spark.createDataFrame([], REPOSITORIES)
+    return write_lookup(Graph(supply_nodes(spark, d), supply_edges(spark, d), none), new_folder(spark, "lookup"), 16)
+
+
+@query(f"WITH {_EDGES_SQL}, {_NODES_SQL} SELECT id AS source_id, name, type, confidence FROM e JOIN n ON id = source_id WHERE target_id = 'part:1'")
+def lookup_callers(spark, d):
+    return _lookup(spark, d).callers("part:1").select("source_id", "name", "type", "confidence")
+
+
+@query(f"WITH {_EDGES_SQL}, {_NODES_SQL} SELECT source_id, id AS target_id, name, confidence FROM e JOIN n ON id = target_id WHERE source_id IN (SELECT 'customer:' || c_custkey FROM customer WHERE c_nationkey % 4 = 3)")
+def lookup_callees_of_set(spark, d):
+    ids = table(spark, d, "customer").where("c_nationkey % 4 = 3").select(_id("customer", "c_custkey").alias("id"))
+    return _lookup(spark, d).callees(ids).select("source_id", "target_id", "name", "confidence")
+
+
 def _import_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     edges = _edges(table(spark, d, "nation"), _id("nation", "n_nationkey"), _id("module", "n_regionkey"), "IMPORTS", F.lit(1.0))
     modules = table(spark, d, "region").select(_id("module", "r_regionkey").alias("id"), F.col("r_name").alias("name"), F.lit("module").alias("type"), F.array(F.lit("Symbol")).alias("labels"))
