@@ -92,13 +92,14 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     takes it from the first. Texts are range-partitioned once; each partition emits its
     first and last text aside, and these few meet across partitions afterwards. Null texts
     count as empty, null ids come last, rows with equal ids follow in an order fixed by
-    their texts, a single row follows itself. An empty table gives an empty table.
+    their texts, a single row follows itself. An empty table gives an empty table. Ids are integers, as
+    their order is part of the result; others are an error.
     """
     require(docs, id_col, text_col)
     spark = docs.sparkSession
     one = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
     prints = cut(fingerprint_documents(one).select("doc_id", "fingerprint"), "prints")
-    several = prints.groupBy("fingerprint").count().where("count > 1").select("fingerprint")
+    several = cut(prints.groupBy("fingerprint").count().where("count > 1").select("fingerprint"), "several")  # a table of its own: the join may send it around, or split a hot bucket's rows
     flagged = prints.join(several, "fingerprint", "left_semi").select("doc_id", F.lit(None).cast("string").alias("text")).distinct()
     flagged = cut(flagged, "flagged")  # ids whose bytes are to be compared; a flag sorts before its documents
 

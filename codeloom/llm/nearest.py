@@ -140,7 +140,7 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 20, id_col
     Scores are exact, in double precision; ties go to the smaller id. All candidates are
     returned if there are fewer than ``k``. Null ids, and vectors that are null, zero, hold
     a null or non-finite component or have another length than most, take no part. Rows
-    that repeat a query's id are not its neighbours; repeated rows are one neighbour. Other columns are not read.
+    that repeat a query's id are not its neighbours; repeated rows are one neighbour. Ids are integers; others are an error. Other columns are not read.
     """
     require(vectors, id_col, vector_col)
     spark = vectors.sparkSession

@@ -182,7 +182,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
     The manifest has (file, part, documents, tokens, start), ``start`` being the ids in all
     files before. Each document is its text's ids and ``end_id``; null and empty texts are
     the end id alone. Null ids come first; rows with equal ids follow each other in an
-    order fixed by their texts. Other columns are not read. An empty table gives no files.
+    order fixed by their texts. Ids are integers; others are an error. Other columns are not read. An
+    empty table gives no files.
     """
     require(docs, id_col, text_col)
     spark = docs.sparkSession

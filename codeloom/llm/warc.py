@@ -156,7 +156,8 @@ def plan_captures(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
 
     Null payloads are empty. Of equal payloads of at least ``least`` bytes the one with the
     smallest id is the response; among rows with that same id, numbered by ``ordinal``, the
-    first. Null ids never are another page's response while a page with an id exists.
+    first. Null ids never are another page's response while a page with an id exists. Ids are integers;
+    others are an error.
     """
     require(pages, id_col, url_col, html_col)
     html = F.coalesce(html_col, F.lit(""))
@@ -185,7 +186,9 @@ def op7_warc_transactions(spark, sf_dir: str) -> DataFrame:
     flat = captures.select("capture_id", F.when(page != "", page.cast("bigint")).alias("page_id"), F.col("warc_type").alias("record_type"), "response.refers_to", F.octet_length("response.payload").cast("bigint").alias("payload_bytes"), F.sha2("response.payload", 256).alias("payload_digest"))
     flat = cut(flat, "captures")
     originals = flat.where("record_type = 'response'").select(F.col("capture_id").alias("refers_to"), F.col("page_id").alias("of_page"), F.col("payload_bytes").alias("of_bytes"), F.col("payload_digest").alias("of_digest"))
-    joined = flat.join(originals, "refers_to", "left")
+    # responses refer to nothing, and stay out of the join
+    linked = flat.where("refers_to is not null").join(originals, "refers_to", "left")
+    joined = linked.unionByName(flat.where("refers_to is null"), allowMissingColumns=True)
     own = F.col("record_type") == "response"
     return joined.select("page_id", F.when(own, F.col("payload_bytes")).otherwise(F.col("of_bytes")).alias("payload_bytes"), F.when(own, F.col("payload_digest")).otherwise(F.col("of_digest")).alias("payload_digest"), "record_type", F.when(~own, F.col("of_page")).alias("refers_to"))
 
