@@ -22,6 +22,7 @@ from ..operators.repair import repair
 from ..operators.resolve import address_map, module_map, resolve_targets
 from ..schemas import EDGES, NODES, RELATIONSHIPS, REPOSITORIES, SYMBOLS
 from ..sources.shared import new_folder
+from ..streaming import changes
 from .lookup import Lookup, write_lookup
 from .build import Graph, _fit, build, clear_repository, endpoint_stubs, remove_file_symbols, remove_files
 
@@ -483,6 +484,23 @@ def change_classify(spark, d):
     return classify(files.select("file_id", "content_hash"), stored).select("file_id", "status")
 
 
+@query("""SELECT 'doc:' || doc_id AS file_id, run, CASE WHEN run = 2 AND doc_id % 5 <> 0 THEN CASE WHEN doc_id % 3 = 0 THEN 'refreshed' ELSE 'up_to_date' END ELSE 'created' END AS status, CASE WHEN run = 1 AND doc_id % 3 = 0 THEN 'stale' ELSE sha256(text) END AS content_hash
+FROM documents, (VALUES (1), (2)) t(run) WHERE run = 2 OR doc_id % 5 <> 0""")
+def change_classify_stream(spark, d):
+    """Two runs of a stream over a folder that grows: first most files, some with a stale hash, then all of them."""
+    at = new_folder(spark, "changes")
+    file_id, digest, number = _id("doc", "doc_id").alias("file_id"), content_hash(F.encode("text", "UTF-8")), F.col("doc_id")
+    docs = table(spark, d, "documents")
+    first = docs.where("doc_id % 5 <> 0").select(file_id, F.when(number % 3 == 0, "stale").otherwise(digest).alias("content_hash"), F.lit("1").alias("version"))
+    for rows in (first, docs.select(file_id, digest.alias("content_hash"), F.lit("2").alias("version"))):
+        rows.write.mode("append").parquet(f"{at}/landing")
+        arriving = spark.readStream.schema(rows.schema).parquet(f"{at}/landing")
+        with changes.keyed_state(spark):
+            started = changes.classify_stream(arriving).writeStream.option("checkpointLocation", f"{at}/checkpoint").option("path", f"{at}/statuses").trigger(availableNow=True).start()
+        started.awaitTermination()
+    return spark.read.schema(changes.STATUSES).parquet(f"{at}/statuses").select("file_id", F.col("version").cast("int").alias("run"), "status", "content_hash")
+
+
 def _source_graph(spark: SparkSession, d: str) -> Graph:
     """Documents as files of their sources: each has a symbol, which calls that of the next document."""
     docs = table(spark, d, "documents")
