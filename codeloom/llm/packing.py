@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, fresh, lean, rank_in_groups, require
-from .tokenization import encoder, slices, text_sizes, tokenizer_path
+from .tokenization import CACHE_PIECES, encoder, slices, text_sizes, tokenizer_path
 
 CAPACITY = 2048
 #: Rounds of multiplicative weights, and how strongly cover lowers a price.
@@ -29,13 +29,14 @@ ROUNDS = 300
 ETA = 30.0
 
 
-def tokenize_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def tokenize_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", cache_pieces: int = CACHE_PIECES, at_once: int = 8_000_000) -> DataFrame:
     """Tokenize whole texts, append ``end_id``, and cut documents longer than ``capacity``.
 
     Returns (doc_id, piece, start, length, token_ids binary of little-endian unsigned
     32-bit ids). Of a long document all pieces have ``capacity`` ids but the first, which
     has the rest. Null and empty texts are the end id alone; null ids stay null; repeated
-    rows are documents of their own; other columns of ``docs`` are not read.
+    rows are documents of their own; other columns of ``docs`` are not read. ``cache_pieces`` words
+    seen before and ``at_once`` bytes of text are what a worker holds; they change no result.
     """
     require(docs, id_col, text_col)
     path = tokenizer or tokenizer_path("byte_bpe_50k.json")
@@ -44,10 +45,10 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int
     end = int(end_id).to_bytes(4, "little")
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode
+        encode = encoder(path, cache_pieces).encode
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
-            for lo, hi in slices(text_sizes(texts), 8_000_000):
+            for lo, hi in slices(text_sizes(texts), at_once):
                 rows: tuple[list, list, list, list, list] = ([], [], [], [], [])
                 for k, got in enumerate(encode(texts.slice(lo, hi - lo))):
                     got += end

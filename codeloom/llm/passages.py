@@ -56,7 +56,7 @@ BEYOND = 14
 EDIT = 6
 #: Documents of one key, not joined yet, up to which all are compared with each other.
 TOGETHER = 5
-PAIRS_AT_ONCE = 8_000_000
+PAIRS_AT_ONCE = 4_000_000
 #: The first pairs are verified in so many shares of the documents, one after the other, so that the words sent around at a time take that much less disk.
 SHARES = 4
 

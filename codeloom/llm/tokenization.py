@@ -146,11 +146,11 @@ class PieceEncoder:
 _encoders: dict[str, PieceEncoder] = {}
 
 
-def encoder(path: str) -> PieceEncoder:
-    """The encoder of this worker; it outlives a task, as workers are used again."""
-    if path not in _encoders:
-        _encoders[path] = PieceEncoder(path)
-    return _encoders[path]
+def encoder(path: str, cache_pieces: int = CACHE_PIECES) -> PieceEncoder:
+    """The encoder of this worker, with a table of so many pieces; it outlives a task, as workers are used again."""
+    if (path, cache_pieces) not in _encoders:
+        _encoders[path, cache_pieces] = PieceEncoder(path, cache_pieces)
+    return _encoders[path, cache_pieces]
 
 
 def tokenizer_path(name: str) -> str:

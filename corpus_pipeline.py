@@ -58,7 +58,8 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null or empty text is the end id alone; null ids stay null; repeated rows are documents
     of their own; other columns are not read.
     """
-    pieces = tokenize_pieces(docs).select("doc_id", "piece", "start", "length", F.crc32("token_ids").alias("ids_crc32"))
+    # workers that other stages have used before hold less at a time
+    pieces = tokenize_pieces(docs, cache_pieces=250_000, at_once=2_000_000).select("doc_id", "piece", "start", "length", F.crc32("token_ids").alias("ids_crc32"))
     return best_fit_pack(pieces)
 
 
