@@ -20,6 +20,9 @@ def shared_folder(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+_written: list[str] = []
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no one else has."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
@@ -28,5 +31,14 @@ def new_folder(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """The table, written to the shared folder and read back: computed once, safe from lost executors."""
     path = new_folder(df.sparkSession, name)
+    _written.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard_written(spark: SparkSession) -> None:
+    """Delete the tables that ``written`` made in this session; results are read from them lazily, so do it once the last is stored."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)

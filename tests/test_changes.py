@@ -45,3 +45,15 @@ def test_files_are_forgotten(stream):
     assert stream([("a", "x", 1)], keep_ms=1000)[0][3] == "created"
     time.sleep(2)
     assert stream([("a", "x", 2)], keep_ms=1000)[0][3] == "created"
+
+
+def test_intermediate_tables_are_deleted_on_demand(spark):
+    from codeloom.sources import shared
+
+    table = shared.written(spark.range(3), "numbers")
+    path = shared._written[-1]
+    assert table.count() == 3
+    shared.discard_written(spark)
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    assert not fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs_path)
+    shared.discard_written(spark)
