@@ -10,8 +10,12 @@ The product is taken in blocks of n-grams and cut down by bounds that lose no li
    nodes meet in the rarest ones: in the first n - ceil(t n) + 1 of each.
 3. Pivots. The nodes that share such an n-gram are compared with one of them, so that a
    group of copies of any size gives as many pairs as it has nodes, and not all its pairs.
-4. Rest. Where nodes of one n-gram still lie in different components, their pairs across
-   components that pass the bounds on size and position are compared too.
+4. Rest. Nodes of one n-gram that still lie in different components: those of a few are
+   compared in pairs, as far as the bounds on size and position allow; those of a group of
+   hundreds by a blocked matrix product inside tasks, which gives out links only. A larger
+   group is ordered anew, by how many of *its* nodes share an n-gram, and its nodes meet again
+   in what is rare within the group, so that one frequent line does not make all pairs of
+   those that have it. A group that does not get smaller so is multiplied block by block.
 
 Every link is decided on the exact overlap of two whole sets.
 """
@@ -44,6 +48,15 @@ BROADCAST_ROWS = 500_000
 #: Pivots of a node compared in a round, and rounds; the rest is compared afterwards.
 PIVOTS = 3
 ROUNDS = 3
+#: The rest: a group of up to so many nodes is compared in pairs, up to so many by one product of so many n-grams,
+#: and a larger one is split by n-grams rare in it, so many times at most. No setting changes the result.
+FEW = 16
+GROUP = 512
+GROUP_GRAMS = 1_000_000
+DEPTH = 8
+#: N-grams of a range of the product, and of a dense block of it.
+RANGE = 200_000
+CHUNK = 4096
 
 
 def node_of(found: np.ndarray) -> int:
@@ -182,26 +195,33 @@ def _fits(n1: str, n2: str, threshold: tuple[int, int]) -> Column:
     return F.expr(f"{den} * least({n1}, {n2}) >= {num} * greatest({n1}, {n2})")
 
 
-def rare_prefixes(sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """(gram, node, n, place, alone): of each node its rarest n-grams, as many as a linked node may not all lack.
+def rare_prefixes(sets: DataFrame, threshold: tuple[int, int], by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, gram, node, n, place, alone, prev, short): of each node its rarest n-grams, as many as a linked node may not all lack.
 
-    N-grams of one node alone come first and meet nobody, so they are only counted.
+    N-grams of one node alone come first and meet nobody, so they are only counted. Those that
+    the same nodes have stand together; ``prev`` is the one before, null for the first. A pair
+    meets where the smaller set is ``short``. With ``by`` (bigint columns of ``sets``), all this
+    is counted in groups, and a node may be in several.
     """
     num, den = threshold
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi in slices(text_sizes(batch.column(2)), SLICE):
-                grams = [np.frombuffer(x, "<i8") for x in batch.column(2).slice(lo, hi - lo).to_pylist()]
-                at = np.repeat(np.arange(lo, hi), [len(g) for g in grams])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams)), batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at))], names=["gram", "node", "n"])
-
-    entries = sets.select("node", "n", "grams").mapInArrow(lean(explode), "gram bigint, node bigint, n bigint")
-    frequent = entries.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
-    own = Window.partitionBy("node")
-    live = entries.join(frequent, "gram").withColumn("alone", F.col("n") - F.count("*").over(own))
-    placed = live.withColumn("place", F.row_number().over(own.orderBy("df", "gram")) + F.col("alone"))
-    return placed.where(F.expr(f"place <= n - ({num} * n + {den - 1}) div {den} + 1")).select("gram", "node", "n", "place", "alone")
+            last = batch.num_columns - 1
+            for lo, hi in slices(text_sizes(batch.column(last)), SLICE):
+                grams = [np.frombuffer(x, "<i8") for x in batch.column(last).slice(lo, hi - lo).to_pylist()]
+                at = pa.array(np.repeat(np.arange(lo, hi), [len(g) for g in grams]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams)), *(batch.column(i).take(at) for i in range(last))], names=["gram", *by, "node", "n"])
+
+    keys = "".join(f"{k} bigint, " for k in by)
+    entries = sets.select(*by, "node", "n", "grams").mapInArrow(lean(explode), f"gram bigint, {keys}node bigint, n bigint")
+    frequent = entries.groupBy(*by, "gram").agg(F.count("*").alias("df"), F.bit_xor(F.xxhash64("node")).alias("who")).where("df > 1")
+    own = Window.partitionBy(*by, "node")
+    order = own.orderBy("df", "who", "gram")
+    live = entries.join(frequent, [*by, "gram"]).withColumn("alone", F.col("n") - F.count("*").over(own))
+    placed = live.withColumn("place", F.row_number().over(order) + F.col("alone")).withColumn("prev", F.lag("gram").over(order))
+    short = F.expr(f"place <= n - ({2 * num} * n + {num + den - 1}) div {num + den} + 1")
+    return placed.where(F.expr(f"place <= n - ({num} * n + {den - 1}) div {den} + 1")).select(*by, "gram", "node", "n", "place", "alone", "prev", short.alias("short"))
 
 
 def _with_component(prefixes: DataFrame, found: DataFrame | None) -> DataFrame:
@@ -229,16 +249,127 @@ def linked_components(sets: DataFrame, threshold: tuple[int, int] = THRESHOLD) -
         links = new if links is None else links.union(new)
         found = cut(components(links), "components")
     now = cut(_with_component(prefixes, found), "placed")
-    mixed = now.groupBy("gram").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("gram")
-    left = now.join(mixed, "gram", "left_semi")
-    a = left.select("gram", F.col("node").alias("a"), F.col("n").alias("an"), F.col("place").alias("ap"), F.col("c").alias("ac"))
-    b = left.select("gram", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("place").alias("bp"), F.col("c").alias("bc"))
+    for new in across_components(now, sets, threshold):
+        links = new if links is None else links.union(new)
+        found = None
+    if links is None:
+        return sets.select("node", F.col("node").alias("component")).limit(0)
+    return found if found is not None else components(links)
+
+
+def across_components(prefixes: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> list[DataFrame]:
+    """Tables of links (a, b) that join what is still apart; ``prefixes`` are those of all nodes, with their components ``c``.
+
+    No two nodes with a link stay in different components; of the links within a large group
+    only those are returned that are needed for that.
+    """
+    now, found = prefixes.select("gram", "node", "n", "place", "prev", "short", "c", F.col("gram").alias("grp"), F.lit(None).cast("bigint").alias("of")), []
+    for depth in range(DEPTH + 1):
+        groups = now.groupBy("grp").agg(
+            F.count("*").alias("m"), F.sum("n").alias("size"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("short").alias("meets"),
+            F.count("prev").alias("later"), F.min("prev").alias("p"), F.max("prev").alias("q"), F.max("of").alias("of"),
+        )
+        # where all of a group have the same n-gram before, they meet in that one
+        groups = groups.where("lo <> hi and meets and not (later = m and p = q)")
+        no_smaller = F.lit(depth == DEPTH) | F.coalesce(2 * F.col("m") > F.col("of"), F.lit(False))
+        kind = F.when(F.col("m") <= FEW, "pairs").when((F.col("m") <= GROUP) | no_smaller, "product").otherwise("split")
+        groups = cut(groups.select("grp", "m", "size", kind.alias("kind")), "groups")
+        kinds = {r["kind"] for r in groups.select("kind").distinct().collect()}  # three at most
+        members = now.drop("of").join(groups, "grp")
+        if "pairs" in kinds:
+            found.append(cut(verified(_pairs(members.where("kind = 'pairs'"), threshold), sets, threshold), "links"))
+        if "product" in kinds:
+            found.append(cut(product_links(members.where("kind = 'product'").select("grp", "m", "size", "node", "c"), sets, threshold), "links"))
+        if "split" not in kinds:
+            break
+        large = cut(members.where("kind = 'split'").select("grp", "m", "node", "c"), "members")
+        inner = rare_prefixes(large.select("grp", "node").join(sets, "node"), threshold, ("grp",))
+        now = inner.join(large.withColumnRenamed("m", "of"), ["grp", "node"]).withColumn("grp", F.xxhash64("grp", "gram"))
+        now = cut(now.select("gram", "node", "n", "place", "prev", "short", "c", "grp", "of"), "placed")
+    return [x for x in found if not x.isEmpty()]
+
+
+def _pairs(members: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Pairs (a, b) of a group's nodes in different components that pass the bounds on size and position."""
+    num, den = threshold
+    a = members.select("grp", F.col("node").alias("a"), F.col("n").alias("an"), F.col("place").alias("ap"), F.col("c").alias("ac"))
+    b = members.select("grp", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("place").alias("bp"), F.col("c").alias("bc"))
     enough = F.expr(f"{num + den} * (1 + least(an - ap, bn - bp)) >= {num} * (an + bn)")
-    rest = a.join(b, "gram").where("a < b and ac <> bc").where(_fits("an", "bn", threshold)).where(enough).select("a", "b").distinct()
-    new = cut(verified(rest, sets, threshold), "links")
-    if links is None or not new.isEmpty():
-        found = components(new if links is None else links.union(new))
-    return found
+    return a.join(b, "grp").where("a < b and ac <> bc").where(_fits("an", "bn", threshold)).where(enough).select("a", "b").distinct()
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many n-grams each set of one list shares with each of the other: their product, by ranges and dense blocks of n-grams."""
+    out = np.zeros((len(left), len(right)), np.int64)
+    ranges = 1 + sum(map(len, left)) // RANGE
+    limits = [np.uint64(i * (1 << 64) // ranges) for i in range(ranges)]
+
+    def part(sets: list[np.ndarray], i: int) -> tuple[np.ndarray, np.ndarray]:
+        cuts = [(np.searchsorted(s, limits[i]), np.searchsorted(s, limits[i + 1]) if i + 1 < ranges else len(s)) for s in sets]
+        return np.concatenate([s[x:y] for s, (x, y) in zip(sets, cuts)]), np.repeat(np.arange(len(sets)), [y - x for x, y in cuts])
+
+    for i in range(ranges):
+        (xs, x_of), (ys, y_of) = part(left, i), part(right, i)
+        both = np.intersect1d(xs, ys)
+        if left is right:
+            grams, counts = np.unique(xs, return_counts=True)
+            both = grams[counts > 1]
+        for lo in range(0, len(both), CHUNK):
+            block = both[lo : lo + CHUNK]
+            dense = []
+            for grams, of, rows in ((xs, x_of, len(left)), (ys, y_of, len(right))):
+                at = np.minimum(np.searchsorted(block, grams), len(block) - 1)
+                hit = block[at] == grams
+                table = np.zeros((rows, len(block)), np.float32)  # counts up to CHUNK are exact
+                table[of[hit], at[hit]] = 1
+                dense.append(table)
+            out += (dense[0] @ dense[1].T).astype(np.int64)
+    if left is right:
+        np.fill_diagonal(out, 0)
+    return out
+
+
+def product_links(members: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Links (a, b) that join nodes of one group, from (grp, m, size, node, c), by the product of their sets in tasks.
+
+    A group of more than ``GROUP`` nodes or ``GROUP_GRAMS`` n-grams is dealt over blocks by the
+    nodes' hashes, and each two blocks meet in a task of their own, so none holds a whole group.
+    """
+    num, den = threshold
+    blocks = F.greatest(F.ceil(F.col("m") / GROUP), F.ceil(F.col("size") / GROUP_GRAMS)).cast("int")
+    dealt = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    tiles = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tiles = tiles.select("grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "c")
+
+    def run(tile: pa.Table) -> pa.Table:
+        nodes, c, own = (tile.column(x).to_numpy() for x in ("node", "c", "own"))
+        grams = [np.frombuffer(x.as_buffer(), "<u8") for x in tile.column("grams")]
+        i, j = tile.column("i")[0].as_py(), tile.column("j")[0].as_py()
+        x, y = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        left = [grams[k] for k in x]
+        right = left if i == j else [grams[k] for k in y]
+        links: tuple[list, list] = ([], [])
+        if len(x) and len(y):
+            n = np.array([len(g) for g in grams])
+            linked = (num + den) * overlaps(left, right) >= num * (n[x][:, None] + n[y][None, :])
+            linked &= c[x][:, None] != c[y][None, :]
+            root: dict[int, int] = {}
+
+            def top(v: int) -> int:
+                while (up := root.get(v, v)) != v:
+                    root[v] = root.get(up, up)
+                    v = up
+                return v
+
+            for p, q in np.argwhere(linked).tolist():
+                one, two = top(int(c[x[p]])), top(int(c[y[q]]))
+                if one != two:
+                    root[max(one, two)] = min(one, two)
+                    links[0].append(int(nodes[x[p]]))
+                    links[1].append(int(nodes[y[q]]))
+        return pa.table([pa.array(links[0], pa.int64()), pa.array(links[1], pa.int64())], names=["a", "b"])
+
+    return tiles.join(sets.select("node", "grams"), "node").groupBy("grp", "i", "j").applyInArrow(run, "a bigint, b bigint")
 
 
 def jaccard_join(docs: DataFrame, k: int = WORDS, threshold: tuple[int, int] = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

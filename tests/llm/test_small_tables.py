@@ -370,6 +370,38 @@ def test_jaccard_join_on_chains_and_edits(spark, seed):
     assert got == brute_force_components(rows)
 
 
+@pytest.mark.parametrize("few,group,grams,depth", [(16, 512, 10**6, 8), (2, 12, 10**6, 8), (2, 12, 1500, 1), (0, 0, 900, 0)])
+def test_jaccard_join_on_common_lines(spark, monkeypatch, few, group, grams, depth):
+    """Texts of few lines out of many that all share: split groups, products and their blocks all give the same."""
+    from codeloom.llm import ngram_join
+
+    for name, value in (("FEW", few), ("GROUP", max(group, 1)), ("GROUP_GRAMS", grams), ("DEPTH", depth), ("ROUNDS", 1)):
+        monkeypatch.setattr(ngram_join, name, value)
+    rng = random.Random(few + depth)
+    lines = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.choice([20, 30]))) for _ in range(10)]
+    chosen = [rng.sample(lines, rng.choice([4, 5])) for _ in range(150)]
+    texts = ["\n".join(x) for x in chosen] + ["\n".join([*x, *rng.sample(lines, 1)]) for x in chosen[:30]] + [" ".join([*x[0].split(), *(f"o{i}-{j}" for j in range(8))]) for i, x in enumerate(chosen[:40])]
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_join(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == brute_force_components(rows)
+
+
+def test_overlaps_by_ranges_and_blocks(monkeypatch):
+    from codeloom.llm import ngram_join
+
+    rng = np.random.default_rng(1)
+    pool = rng.integers(0, 1 << 64, 400, np.uint64)
+    sets = [np.unique(rng.choice(pool, k)) for k in (0, 1, 40, 200, 399)]
+    want = [[len(np.intersect1d(x, y)) for y in sets] for x in sets]
+    for span, chunk in ((10**6, 4096), (50, 7)):
+        monkeypatch.setattr(ngram_join, "RANGE", span)
+        monkeypatch.setattr(ngram_join, "CHUNK", chunk)
+        assert ngram_join.overlaps(sets, sets[1:]).tolist() == [w[1:] for w in want]
+        own = ngram_join.overlaps(sets, sets)
+        assert own.tolist() == [[0 if i == j else w for j, w in enumerate(row)] for i, row in enumerate(want)]
+
+
 def test_components(spark):
     from codeloom.llm.common import components
 
