@@ -83,3 +83,24 @@ def test_a_table_of_ids_moves_and_the_edges_stay(spark, graph, lookup):
             spark.conf.set(k, v)
     assert len(re.findall(r"Exchange hashpartitioning", plan)) == 1, "of the ids only"
     assert rows(lookup.callees(ids)) == rows(queries.get_callees(graph.edges, graph.nodes, ids))
+
+
+def test_summaries_of_files_gather_no_callers(spark, sf_dir):
+    """The same as the nested explanation says, while no plan collects the callers of a file."""
+    from pyspark.sql import functions as F
+
+    from codeloom.operators import queries
+    from codeloom.plans import driver_queries
+
+    nodes, edges = driver_queries.supply_nodes(spark, sf_dir), driver_queries.supply_edges(spark, sf_dir)
+    files = nodes.where("type = 'file'")
+    nested = {r.id: r for r in queries.explain_files(edges, nodes, files).collect()}
+    short = queries.summarize_files(edges, nodes, files)
+    assert "confidence" not in "".join(line for line in short._jdf.queryExecution().optimizedPlan().toString().splitlines() if "collect_list" in line)
+    for r in short.collect():
+        n = nested[r.id]
+        assert r.symbols == ",".join(sorted(s.name for s in n.symbols)) and r.callees == ",".join(c.id for c in n.callees)
+        assert (r.callers, r.different_callers) == (len(n.callers), len({c.id for c in n.callers}))
+    runs = spark.range(10000).select((F.col("id") % 2).alias("k"), F.lpad(F.col("id").cast("string"), 5, "0").alias("v"))
+    got = {r.k: r.v for r in queries.joined_in_order(runs, "k", "v").collect()}
+    assert got == {k: ",".join(f"{i:05}" for i in range(k, 10000, 2)) for k in (0, 1)}
