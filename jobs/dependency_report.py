@@ -64,8 +64,8 @@ def read_call_sites(spark: SparkSession, tables: str, symbols: DataFrame, confid
 
 def merged_calls(sites: DataFrame) -> DataFrame:
     """One relationship for all call sites of a target in a symbol: the last one's figures, and how many there are."""
-    keys = ["source_id", "target_id", "rel_type"]
-    return last_wins(sites.withColumn("place", F.struct("place", "confidence")), keys, "place").drop("place").join(sites.groupBy(*keys).agg(F.count("*").alias("call_sites")), keys)
+    last = F.max_by(F.struct("confidence", "seen"), F.struct("place", "confidence")).alias("last")
+    return sites.groupBy("source_id", "target_id", "rel_type").agg(last, F.count("*").alias("call_sites")).select("source_id", "target_id", "rel_type", "last.confidence", "last.seen", "call_sites")
 
 
 def names_of(symbols: DataFrame) -> DataFrame:

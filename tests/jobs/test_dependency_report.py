@@ -59,3 +59,10 @@ def test_empty_tables(spark, tables, tmp_path):
 
 def test_query_matches_sql(against_sql):
     against_sql(QUERIES["job2_dependency_report"], ORACLE_SQL["job2_dependency_report"])
+
+
+def test_call_sites_are_gone_through_once(spark):
+    sites = spark.createDataFrame([("a", "m:x", "CALLS", 0.9, 1, 1), ("a", "m:x", "CALLS", 0.5, 3, 3), ("a", "m:y", "CALLS", 0.7, 2, 2)], "source_id string, target_id string, rel_type string, confidence double, seen int, place int")
+    merged = job.merged_calls(sites)
+    assert sorted(map(tuple, merged.collect())) == [("a", "m:x", "CALLS", 0.5, 3, 2), ("a", "m:y", "CALLS", 0.7, 2, 1)]
+    assert "Join" not in merged._jdf.queryExecution().optimizedPlan().toString()
