@@ -64,14 +64,17 @@ def open_lookup(spark: SparkSession, path: str, buckets: int) -> Lookup:
 def write_lookup(graph: Graph, path: str, buckets: int = 64) -> Lookup:
     """Write the graph's tables bucketed, and open them. ``path`` is a new folder.
 
-    A bucket is one file for each task that writes to it, so rows are dealt out by bucket first; an id with a third of all
-    edges fills one bucket, which readers split as any large file.
+    Rows are dealt out to a multiple of the buckets, at least as many tasks as the session's shuffles have; a task's ids all
+    belong to one bucket, which has a file for each of its tasks. The writer sorts them. Edges are made once: those by target are
+    read from those by source. An id with a third of all edges fills one file, which readers split as any large file.
     """
     spark = graph.nodes.sparkSession
+    tasks = buckets * -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // buckets)
+    rows = {"nodes": graph.nodes, "edges_by_source": graph.edges}
     for folder, (columns, by) in LAYOUT.items():
-        rows = graph.nodes if folder == "nodes" else graph.edges
+        table = rows[folder] if folder in rows else spark.read.schema(columns).parquet(f"{path}/edges_by_source")
         name = f"lookup_{folder}_{uuid.uuid4().hex}"
-        dealt = rows.repartition(buckets, by).sortWithinPartitions(by)
+        dealt = table.repartition(tasks, by)
         writer = dealt.write.option(f"parquet.bloom.filter.enabled#{by}", "true").bucketBy(buckets, by).sortBy(by)
         writer.option("path", f"{path}/{folder}").saveAsTable(name)
         spark.sql(f"DROP TABLE {name}")  # its files stay, as they lie at a path of their own

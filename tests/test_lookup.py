@@ -104,3 +104,24 @@ def test_summaries_of_files_gather_no_callers(spark, sf_dir):
     runs = spark.range(10000).select((F.col("id") % 2).alias("k"), F.lpad(F.col("id").cast("string"), 5, "0").alias("v"))
     got = {r.k: r.v for r in queries.joined_in_order(runs, "k", "v").collect()}
     assert got == {k: ",".join(f"{i:05}" for i in range(k, 10000, 2)) for k in (0, 1)}
+
+
+def test_edges_are_made_once_and_by_as_many_tasks_as_a_shuffle_has(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from codeloom.plans.build import _fit
+    from codeloom.schemas import EDGES, NODES
+
+    made = spark.sparkContext.accumulator(0)
+
+    def kind(number):
+        made.add(1)
+        return "CALLS"
+
+    edges = spark.range(100).select(F.col("id").cast("string").alias("source_id"), F.lit("t").alias("target_id"), F.udf(kind, "string")("id").alias("rel_type"))
+    nodes = spark.range(100).select(F.col("id").cast("string").alias("id"))
+    graph = Graph(_fit(nodes, NODES), _fit(edges, EDGES), spark.createDataFrame([], REPOSITORIES))
+    held = write_lookup(graph, str(tmp_path / "lookup"), 2)
+    assert made.value == 100
+    assert held.callers("t").count() == 100 and held.callees("7").count() == 0
+    assert len(list((tmp_path / "lookup" / "edges_by_source").glob("*.parquet"))) == 4  # the session's shuffles have 4 tasks
