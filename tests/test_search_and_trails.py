@@ -80,3 +80,25 @@ def test_no_trails(spark):
     assert traverse.first_trails(edges, "z", 3, 5).isEmpty()
     assert [r.path for r in traverse.first_trails(edges, "a", 9, 5, ("CALLS",)).collect() if r.node] == [["a", "b"]]
     assert traverse.first_trails(edges, "a", 9, 5, ("IMPORTS",)).isEmpty()
+
+
+def test_indexing_reads_each_text_once(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from codeloom.operators.search_index import read_index, write_index
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def read(text):
+        seen.add(1)
+        return text
+
+    docs = spark.createDataFrame([(i, f"a b{i} c{i % 3} a", {"k": "v"}, i) for i in range(40)], "id bigint, text string, metadata map<string, string>, insert_ord bigint")
+    met = docs.withColumn("text", F.udf(read, "string")("text"))
+    write_index(met, str(tmp_path / "whole"))
+    assert seen.value == 40
+    index = read_index(spark, str(tmp_path / "whole"))
+    assert index.postings.count() == 120 and index.maxima.where("token = 'a'").agg(F.sum("n"), F.max("most")).first() == (40, 2)
+    write_index(docs, str(tmp_path / "parts"), {"batch": 1})
+    again = write_index(docs.limit(0), str(tmp_path / "parts"), {"batch": 1})
+    assert again.postings.isEmpty() and all(t.isEmpty() for t in (read_index(spark, str(tmp_path / "parts")).docs, read_index(spark, str(tmp_path / "parts")).maxima))
