@@ -57,3 +57,14 @@ def test_intermediate_tables_are_deleted_on_demand(spark):
     fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     assert not fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs_path)
     shared.discard_written(spark)
+
+
+def test_files_share_a_state(spark, tmp_path):
+    for run in (1, 2):
+        spark.createDataFrame([(f"f{i}", "x" if i % 3 else f"x{run}", run) for i in range(40 * run)], SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "landing"))
+        with keyed_state(spark):
+            started = classify_stream(spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "landing")), groups=2).writeStream.option("checkpointLocation", str(tmp_path / "checkpoint")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start()
+        started.awaitTermination()
+        assert sum(op["numRowsTotal"] for op in started.lastProgress["stateOperators"]) == 2
+    got = {(r.file_id, r.version): r.status for r in spark.read.schema(STATUSES).parquet(str(tmp_path / "out")).collect()}
+    assert got == {(f"f{i}", str(run)): "created" if run == 1 or i >= 40 else "up_to_date" if i % 3 else "refreshed" for run in (1, 2) for i in range(40 * run)}
