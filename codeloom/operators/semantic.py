@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import qualified_name
-from .hierarchy import ancestors, direct_bases, find_methods, receivers
+from .hierarchy import direct_bases, look_up, receivers
 from .resolve import module_map
 
 
@@ -62,17 +62,16 @@ class HierarchyResolver:
     def resolve(self, relationships: DataFrame, symbols: DataFrame) -> DataFrame:
         """Retarget open calls of methods to what their receiver's class has or inherits.
 
-        First NameResolver gives open bases their class, where the name is unique; then the hierarchy is closed,
+        First NameResolver gives open bases their class, where the name is unique; then the hierarchy is gone through from the top,
         and each call of a method looked up in it. A found one has confidence 0.9, status
         ``hierarchy-resolved`` and one more piece of evidence; others stay as they are, but calls of plain names may
         be resolved by NameResolver. Of two relations that become equal both stay; building merges them.
         """
         python = symbols.where(F.col("file_path").endswith(".py"))
         bases = NameResolver().resolve(relationships.where("rel_type = 'INHERITS'"), symbols)
-        above = ancestors(direct_bases(bases, python))
         calls = receivers(relationships, python, module_map(python))
         methods = python.where("type = 'method' and parent_id is not null").select(F.col("parent_id").alias("class"), "name", "id")
-        found = find_methods(calls.select("class", "name", "own"), above, methods)
+        found = look_up(calls.select("class", "name", "own"), direct_bases(bases, python), methods)
         hits = calls.join(found, ["class", "name", "own"]).select("source_id", "target_id", F.col("id").alias("_id"))
         rest = relationships.where("rel_type <> 'INHERITS'").unionByName(bases)
         met = rest.join(hits.withColumn("rel_type", F.lit("CALLS")), ["source_id", "target_id", "rel_type"], "left")

@@ -2,9 +2,11 @@ import random
 
 import pytest
 
-from codeloom.operators.hierarchy import ancestors, direct_bases, find_methods
+from codeloom.operators import hierarchy
+from codeloom.operators.hierarchy import ancestors, direct_bases, find_methods, look_up
 from codeloom.operators.semantic import get_resolver
 from codeloom.plans.build import index_files
+from codeloom.plans.driver_queries import QUERIES
 from codeloom.sources.scan import scan
 
 SOURCES = {
@@ -112,3 +114,30 @@ def test_odd_bases(spark):
     )
     symbols = spark.createDataFrame([(x, "class") for x in "abcd"], "id string, type string")
     assert sorted((r["class"], r.base, r.nth) for r in direct_bases(rels, symbols).collect()) == [("a", "b", 0), ("a", "c", 2), ("a", "d", 1)]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_look_up_from_the_top_finds_what_all_ancestors_find(spark, seed):
+    """Also on and below cycles (odd seeds), for classes without bases or outside the table, and names without a definition."""
+    rng = random.Random(seed)
+    nodes = [f"c{i:02}" for i in range(16)]
+    bases = {c: rng.sample(nodes[i + 1 :], k=min(rng.randrange(4), len(nodes[i + 1 :]))) for i, c in enumerate(nodes)}
+    if seed % 2:
+        bases["c12"] = ["c09", "c13"]
+        bases["c09"] = ["c12", "c10"]
+    methods = spark.createDataFrame([(c, m, f"{c}.{m}{n}") for c in [*nodes, "lone"] for m in "pqr" for n in range(rng.choice([0, 0, 1, 2]))], "class string, name string, id string")
+    asked = spark.createDataFrame([(c, m, own) for c in [*nodes, "lone"] for m in "pqrs" for own in (True, False, True)], "class string, name string, own boolean")
+    held = direct_bases(*tables(spark, bases, nodes))
+    want = sorted(map(tuple, find_methods(asked, ancestors(held), methods).select("class", "name", "own", "id").collect()))
+    assert sorted(map(tuple, look_up(asked, held, methods).select("class", "name", "own", "id").collect())) == want and want
+
+
+def test_look_up_does_not_list_all_ancestors(spark, sf_dir, monkeypatch):
+    def never(*a):
+        raise AssertionError("every class met every class above it")
+
+    monkeypatch.setattr(hierarchy, "ancestors", never)
+    assert QUERIES["inherited_methods"](spark, sf_dir).count() > 0
+    nothing = direct_bases(*tables(spark, {}, []))
+    one = spark.createDataFrame([("a", "m", True), ("a", "m", False)], "class string, name string, own boolean")
+    assert [r.own for r in look_up(one, nothing, spark.createDataFrame([("a", "m", "a.m")], "class string, name string, id string")).collect()] == [True]
