@@ -12,7 +12,8 @@ The product is taken in blocks of n-grams and cut down by bounds that lose no li
    group of copies of any size gives as many pairs as it has nodes, and not all its pairs.
 4. Rest. Nodes of one n-gram that still lie in different components: those of a few are
    compared in pairs, as far as the bounds on size and position allow; those of a group of
-   hundreds by a blocked matrix product inside tasks, which gives out links only. A larger
+   hundreds by a blocked matrix product inside tasks, which gives out links only; first
+   of short marks of the sets, which rule most pairs out, and of whole sets only where they leave many. A larger
    group is ordered anew, by how many of *its* nodes share an n-gram, and its nodes meet again
    in what is rare within the group, so that one frequent line does not make all pairs of
    those that have it. A group that does not get smaller so is multiplied block by block.
@@ -43,6 +44,8 @@ LEAST_BLOCKS = 64
 SLICE = 1_000_000
 #: Pairs of sets that are unpacked at a time.
 ROWS = 256
+#: Bytes of a set's mark, by which most pairs of a product are told apart before the sets themselves are moved.
+MARK = 64
 #: Nodes whose ids may be broadcast to fetch their texts, 16 bytes each; beyond, a shuffled join.
 BROADCAST_ROWS = 500_000
 #: Pivots of a node compared in a round, and rounds; the rest is compared afterwards.
@@ -231,7 +234,7 @@ def _with_component(prefixes: DataFrame, found: DataFrame | None) -> DataFrame:
 
 
 def linked_components(sets: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
-    """(node, component) of all nodes with a link; ``sets`` has (node, n, grams binary of sorted hashes)."""
+    """(node, component) of all nodes with a link; ``sets`` has (node, n, grams binary of sorted hashes, mark)."""
     num, den = threshold
     prefixes = cut(rare_prefixes(sets, threshold), "prefixes")
     links, found = None, None
@@ -329,8 +332,61 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def mark_of(found: np.ndarray) -> bytes:
+    """A bit for each value modulo ``8 * MARK`` that a set's hashes have."""
+    bits = np.zeros(8 * MARK, np.uint8)
+    bits[(found & np.uint64(8 * MARK - 1)).astype(np.int64)] = 1
+    return np.packbits(bits).tobytes()
+
+
+def candidates(tiles: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """(grp, i, j, a, b): the pairs of each tile's nodes in different components that their marks allow a link.
+
+    Each bit that one mark alone has stands for an n-gram that the other set lacks, so no link is lost. ``tiles`` has
+    (grp, i, j, own, node, c, n, mark). Where the pairs left would move more n-grams than the tile
+    has, it gives one row instead, with a null pair, for a product of its whole sets.
+    """
+    num, den = threshold
+
+    def tile(i: int, j: int, own: np.ndarray, node: np.ndarray, c: np.ndarray, n: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        bits = np.unpackbits(mark.reshape(len(n), MARK), axis=1).astype(np.float32)
+        size = bits.sum(1)
+        x, y = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        both = bits[x] @ bits[y].T
+        most = np.minimum((n[x] - size[x])[:, None], (n[y] - size[y])[None, :]) + both
+        near = ((num + den) * most >= num * (n[x][:, None] + n[y][None, :])) & (c[x][:, None] != c[y][None, :])
+        p, q = np.nonzero(np.triu(near, 1) if i == j else near)
+        p, q = x[p], y[q]
+        return None if n[p].sum() + n[q].sum() > n.sum() else (np.minimum(node[p], node[q]), np.maximum(node[p], node[q]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def given(parts: list[tuple]) -> pa.RecordBatch:
+            keys, ends = [x[0] for x in parts], [x[1] for x in parts]
+            sizes = [1 if e is None else len(e[0]) for e in ends]
+            grp, i, j = (np.repeat(np.array([k[f] for k in keys], np.int64), sizes) for f in range(3))
+            none = np.repeat([e is None for e in ends], sizes)
+            a, b = (np.concatenate([np.zeros(1, np.int64) if e is None else e[f] for e in ends]) for f in range(2))
+            return pa.RecordBatch.from_arrays([pa.array(grp), pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(a, mask=none), pa.array(b, mask=none)], names=["grp", "i", "j", "a", "b"])
+
+        held: list[np.ndarray] | None = None
+        for batch in batches:
+            new = [batch.column(f).to_numpy() for f in range(7)]
+            new.append(np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint8).reshape(-1, MARK))
+            held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
+            grp, i, j = held[:3]
+            at = [0, *(np.flatnonzero((grp[1:] != grp[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1).tolist()]
+            if len(at) > 1:  # the last tile may go on in the next batch
+                yield given([((grp[lo], i[lo], j[lo]), tile(i[lo], j[lo], *(x[lo:hi] for x in held[3:]))) for lo, hi in zip(at, at[1:])])
+            held = [x[at[-1] :] for x in held]
+        if held is not None and len(held[0]):
+            yield given([((held[0][0], held[1][0], held[2][0]), tile(held[1][0], held[2][0], *held[3:]))])
+
+    dealt = tiles.select("grp", "i", "j", "own", "node", "c", "n", "mark").repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j")
+    return dealt.mapInArrow(lean(run), "grp bigint, i int, j int, a bigint, b bigint")
+
+
 def product_links(members: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """Links (a, b) that join nodes of one group, from (grp, m, size, node, c), by the product of their sets in tasks.
+    """Links (a, b) that join nodes of one group, from (grp, m, size, node, c), by the product of their marks, then of their sets, in tasks.
 
     A group of more than ``GROUP`` nodes or ``GROUP_GRAMS`` n-grams is dealt over blocks by the
     nodes' hashes, and each two blocks meet in a task of their own, so none holds a whole group.
@@ -369,7 +425,10 @@ def product_links(members: DataFrame, sets: DataFrame, threshold: tuple[int, int
                     links[1].append(int(nodes[y[q]]))
         return pa.table([pa.array(links[0], pa.int64()), pa.array(links[1], pa.int64())], names=["a", "b"])
 
-    return tiles.join(sets.select("node", "grams"), "node").groupBy("grp", "i", "j").applyInArrow(run, "a bigint, b bigint")
+    near = cut(candidates(tiles.join(sets.select("node", "n", "mark"), "node"), threshold), "candidates")
+    links = verified(near.where("a is not null").select("a", "b").distinct(), sets, threshold)
+    whole = tiles.join(near.where("a is null").select("grp", "i", "j"), ["grp", "i", "j"], "left_semi")
+    return links.union(whole.join(sets.select("node", "grams"), "node").groupBy("grp", "i", "j").applyInArrow(run, "a bigint, b bigint"))
 
 
 def jaccard_join(docs: DataFrame, k: int = WORDS, threshold: tuple[int, int] = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -405,9 +464,10 @@ def _joined_rows(docs: DataFrame, k: int, threshold: tuple[int, int], id_col: st
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, sets in _sets(batches, k):
             keep = [(n, s) for n, s in zip(part.column(0).to_pylist(), sets) if len(s) and node_of(s) == n]
-            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in keep], pa.int64()), pa.array([len(s) for _, s in keep], pa.int64()), pa.array([s.tobytes() for _, s in keep], pa.binary())], names=["node", "n", "grams"])
+            columns = [pa.array([n for n, _ in keep], pa.int64()), pa.array([len(s) for _, s in keep], pa.int64()), *(pa.array([f(s) for _, s in keep], pa.binary()) for f in (np.ndarray.tobytes, mark_of))]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "grams", "mark"])
 
-    sets = cut(chosen.mapInArrow(lean(build), "node bigint, n bigint, grams binary").dropDuplicates(["node"]), "linkable-sets")
+    sets = cut(chosen.mapInArrow(lean(build), "node bigint, n bigint, grams binary, mark binary").dropDuplicates(["node"]), "linkable-sets")
     found = linked_components(sets, threshold)
     least = found.join(nodes.select("node", "least"), "node").groupBy("component").agg(F.min("least").alias("group_least"))
     named = nodes.select("node", "least").join(found, "node", "left").join(least, "component", "left").select("node", F.coalesce("component", "node").alias("cluster"), F.coalesce("group_least", "least").alias("component_id"))

@@ -387,6 +387,32 @@ def test_jaccard_join_on_common_lines(spark, monkeypatch, few, group, grams, dep
     assert got == brute_force_components(rows)
 
 
+def test_products_move_marks_and_not_whole_sets_of_unlike_texts(spark, monkeypatch):
+    """A group of texts that share a line: no whole set of those that cannot be linked is moved; near ones are found, and groups of many near ones too."""
+    from codeloom.llm import ngram_join
+
+    rng = np.random.default_rng(4)
+    line = rng.integers(0, 1 << 63, 20).astype(np.uint64)
+    sets = [np.unique(np.concatenate([line, rng.integers(0, 1 << 63, 80).astype(np.uint64)])) for _ in range(60)]
+    sets.append(np.unique(np.concatenate([sets[0][5:], rng.integers(0, 1 << 63, 5).astype(np.uint64)])))
+    base = rng.integers(0, 1 << 63, 100).astype(np.uint64)
+    alike = [np.unique(np.concatenate([base[rng.permutation(100)[:97]], rng.integers(0, 1 << 63, 3).astype(np.uint64)])) for _ in range(40)]
+    rows = [(k, len(x), bytearray(x.tobytes()), bytearray(ngram_join.mark_of(x))) for k, x in enumerate([*sets, *alike])]
+    table = spark.createDataFrame(rows, "node bigint, n bigint, grams binary, mark binary")
+    members = table.select(F.when(F.col("node") < len(sets), 1).otherwise(2).cast("bigint").alias("grp"), F.lit(100).cast("bigint").alias("m"), F.lit(10_000).cast("bigint").alias("size"), "node", F.col("node").alias("c"))
+    seen, cut = {}, ngram_join.cut
+    monkeypatch.setattr(ngram_join, "cut", lambda df, name: seen.setdefault(name, cut(df, name)))
+    got = {(min(r), max(r)) for r in map(tuple, ngram_join.product_links(members, table, (75, 100)).collect())}
+    linked = {(i, j) for i in range(len(rows)) for j in range(i + 1, len(rows)) if (i < len(sets)) == (j < len(sets)) and 175 * len(np.intersect1d([*sets, *alike][i], [*sets, *alike][j])) >= 75 * (rows[i][1] + rows[j][1])}
+    assert got <= linked and (0, 60) in got and len(linked) > 100
+    assert {r.grp for r in seen["candidates"].where("a is null").collect()} == {2}
+    assert {(r.a, r.b) for r in seen["candidates"].where("a is not null").collect()} == {(0, 60)}
+    top = {k: k for k in range(len(rows))}
+    for a, b in sorted(got):
+        top = {k: top[a] if v == top[b] else v for k, v in top.items()}
+    assert len({top[k] for k in range(len(sets), len(rows))}) == 1
+
+
 def test_overlaps_by_ranges_and_blocks(monkeypatch):
     from codeloom.llm import ngram_join
 
