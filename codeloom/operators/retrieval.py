@@ -33,7 +33,15 @@ def search(queries: DataFrame, docs: DataFrame, top_k: int = 5, filters: dict[st
     """
     for key, value in (filters or {}).items():
         docs = docs.where(F.element_at("metadata", key).eqNullSafe(F.lit(value)))
-    scored = keyword_scores(queries, term_frequencies(docs)).join(docs.select("id", "insert_ord").distinct(), "id")
+    # texts are dealt out by id once: tokens, scores and the best of each task are found where a text lies, and only these are moved
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = docs.where("id is not null").select("id", "text", F.struct("insert_ord").alias("ord")).repartition(n, "id")
+    dealt = dealt.groupBy("id").agg(F.concat_ws(" ", F.collect_list("text")).alias("text"), F.collect_set("ord").alias("ords"))
+    whole = dealt.select("id", F.explode("ords.insert_ord").alias("insert_ord"), "text")
+    tokens = whole.select("id", "insert_ord", F.explode(tokenize(F.col("text"))).alias("token"))
+    tf = tokens.groupBy("id", "insert_ord", "token").agg(F.count("*").alias("tf"))
+    q = term_frequencies(queries.select(F.col("query_id").alias("id"), "text")).select(F.col("id").alias("query_id"), "token", F.col("tf").alias("qn"))
+    scored = tf.join(q, "token").groupBy("query_id", "id", "insert_ord").agg(F.sum(F.least("tf", "qn")).alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "insert_ord"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= top_k).select("query_id", "rank", "id", "score")
 

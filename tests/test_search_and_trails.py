@@ -1,8 +1,10 @@
 import random
+import re
 
 import pytest
 
 from codeloom.operators import retrieval, search_index, traverse
+from codeloom.plans.driver_queries import QUERIES
 from pyspark.sql import functions as F
 
 DOCS = "id bigint, text string, metadata map<string, string>, insert_ord bigint"
@@ -102,3 +104,13 @@ def test_indexing_reads_each_text_once(spark, tmp_path):
     write_index(docs, str(tmp_path / "parts"), {"batch": 1})
     again = write_index(docs.limit(0), str(tmp_path / "parts"), {"batch": 1})
     assert again.postings.isEmpty() and all(t.isEmpty() for t in (read_index(spark, str(tmp_path / "parts")).docs, read_index(spark, str(tmp_path / "parts")).maxima))
+
+
+def test_full_search_moves_texts_once(spark, sf_dir):
+    """Neither tokens nor scores are dealt out by id again; repeated ids, with and without an order, count as one text with each of their orders."""
+    docs = spark.createDataFrame([(1, "a b", {}, 3), (1, "a c", {}, None), (2, "a a b", {}, 1), (2, None, {}, 1), (None, "a b", {}, 0), (3, "z", {}, 2)], DOCS)
+    asked = spark.createDataFrame([(7, "a a b"), (8, "none")], "query_id bigint, text string")
+    found = retrieval.search(asked, docs, 3)
+    assert sorted(map(tuple, found.collect())) == [(7, 1, 1, 3), (7, 2, 2, 3), (7, 3, 1, 3)]
+    plan = QUERIES["keyword_search_topk"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\((query_id#\d+L?, id|id#\d+L?, insert_ord)", plan)
