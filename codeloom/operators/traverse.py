@@ -97,10 +97,10 @@ def reachable(edges: DataFrame, seeds: DataFrame, depth: int | None = None, type
     """(id, d): every node reachable from the seeds, once, with its least distance; seeds have 0.
 
     Each level joins only the nodes found last. The edges, like the nodes of each level, are written
-    to the shared folder once and read from there.
+    to the shared folder once and read from there; repeated edges stay, as each level's nodes are made distinct.
     """
     chosen = edges.where(F.col("rel_type").isin(*types)) if types else edges
-    e = written(chosen.select("source_id", "target_id").distinct(), "edges")
+    e = written(chosen.select("source_id", "target_id"), "edges")
     frontier = written(seeds.select(F.col(seeds.columns[0]).alias("id"), F.lit(0).alias("d")).distinct(), "reached")
     seen, level = frontier, 0
     while depth is None or level < depth:

@@ -114,3 +114,13 @@ def test_full_search_moves_texts_once(spark, sf_dir):
     assert sorted(map(tuple, found.collect())) == [(7, 1, 1, 3), (7, 2, 2, 3), (7, 3, 1, 3)]
     plan = QUERIES["keyword_search_topk"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"hashpartitioning\((query_id#\d+L?, id|id#\d+L?, insert_ord)", plan)
+
+
+def test_edges_of_reachability_are_not_made_distinct(spark, monkeypatch):
+    seen = {}
+    keep = traverse.written
+    monkeypatch.setattr(traverse, "written", lambda df, name: seen.setdefault(name, df) is None or keep(df, name))
+    edges = edges_of(spark, [("a", "b", "CALLS"), ("a", "b", "CALLS"), ("b", "a", "CALLS"), ("b", "c", "CALLS"), ("c", "d", "OTHER")])
+    got = traverse.reachable(edges, spark.createDataFrame([("a",)], "id string"), types=("CALLS",))
+    assert sorted(map(tuple, got.collect())) == [("a", 0), ("b", 1), ("c", 2)]
+    assert "Aggregate" not in seen["edges"]._jdf.queryExecution().optimizedPlan().toString()
