@@ -13,10 +13,11 @@ The product is taken in blocks of n-grams and cut down by bounds that lose no li
 4. Rest. Nodes of one n-gram that still lie in different components: those of a few are
    compared in pairs, as far as the bounds on size and position allow; those of a group of
    hundreds by a blocked matrix product inside tasks, which gives out links only; first
-   of short marks of the sets, which rule most pairs out, and of whole sets only where they leave many. A larger
+   of marks of the sets, as long as the sets are large, which rule most pairs out, and of whole sets only where they leave many. A larger
    group is ordered anew, by how many of *its* nodes share an n-gram, and its nodes meet again
    in what is rare within the group, so that one frequent line does not make all pairs of
-   those that have it. A group that does not get smaller so is multiplied block by block.
+   those that have it. Where the smaller groups have more pairs than the group they come from,
+   it is multiplied once, block by block, and they are left out.
 
 Every link is decided on the exact overlap of two whole sets.
 """
@@ -44,16 +45,19 @@ LEAST_BLOCKS = 64
 SLICE = 1_000_000
 #: Pairs of sets that are unpacked at a time.
 ROWS = 256
-#: Bytes of a set's mark, by which most pairs of a product are told apart before the sets themselves are moved.
-MARK = 64
+#: Bits of a set's mark for each n-gram, at least, and bytes at least; by marks most pairs of a product are told apart
+#: before the sets themselves are moved.
+MARK_BITS = 2
+LEAST_MARK = 16
 #: Nodes whose ids may be broadcast to fetch their texts, 16 bytes each; beyond, a shuffled join.
 BROADCAST_ROWS = 500_000
 #: Pivots of a node compared in a round, and rounds; the rest is compared afterwards.
 PIVOTS = 3
 ROUNDS = 3
-#: The rest: a group of up to so many nodes is compared in pairs, up to so many by one product of so many n-grams,
-#: and a larger one is split by n-grams rare in it, so many times at most. No setting changes the result.
+#: The rest: a group of up to so many nodes is compared in pairs, up to so many by a product in blocks of so many nodes
+#: and n-grams, and a larger one is split by n-grams rare in it, so many times at most. No setting changes the result.
 FEW = 16
+WHOLE = 4096
 GROUP = 512
 GROUP_GRAMS = 1_000_000
 DEPTH = 8
@@ -266,29 +270,38 @@ def across_components(prefixes: DataFrame, sets: DataFrame, threshold: tuple[int
     No two nodes with a link stay in different components; of the links within a large group
     only those are returned that are needed for that.
     """
-    now, found = prefixes.select("gram", "node", "n", "place", "prev", "short", "c", F.col("gram").alias("grp"), F.lit(None).cast("bigint").alias("of")), []
+    none = F.lit(None).cast("bigint")
+    now, found, large = prefixes.select("gram", "node", "n", "place", "prev", "short", "c", F.col("gram").alias("grp"), none.alias("of"), none.alias("parent")), [], None
     for depth in range(DEPTH + 1):
         groups = now.groupBy("grp").agg(
             F.count("*").alias("m"), F.sum("n").alias("size"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("short").alias("meets"),
-            F.count("prev").alias("later"), F.min("prev").alias("p"), F.max("prev").alias("q"), F.max("of").alias("of"),
+            F.count("prev").alias("later"), F.min("prev").alias("p"), F.max("prev").alias("q"), F.max("of").alias("of"), F.max("parent").alias("parent"),
         )
         # where all of a group have the same n-gram before, they meet in that one
         groups = groups.where("lo <> hi and meets and not (later = m and p = q)")
         no_smaller = F.lit(depth == DEPTH) | F.coalesce(2 * F.col("m") > F.col("of"), F.lit(False))
-        kind = F.when(F.col("m") <= FEW, "pairs").when((F.col("m") <= GROUP) | no_smaller, "product").otherwise("split")
-        groups = cut(groups.select("grp", "m", "size", kind.alias("kind")), "groups")
+        kind = F.when(F.col("m") <= FEW, "pairs").when((F.col("m") <= WHOLE) | no_smaller, "product").otherwise("split")
+        groups = cut(groups.select("grp", "m", "size", "of", "parent", kind.alias("kind")), "groups")
+        if large is not None:
+            # a group that this does not split: its own pairs are fewer than those of all it comes to
+            dense = groups.groupBy("parent").agg(F.sum(F.col("m").cast("double") * F.col("m")).alias("all"), F.max("of").alias("of")).where("all > double(of) * of")
+            dense = cut(dense.select(F.col("parent").alias("grp")), "dense")
+            if not dense.isEmpty():
+                found.append(cut(product_links(large.join(dense, "grp"), sets, threshold), "links"))
+                groups = cut(groups.join(dense.toDF("parent"), "parent", "left_anti"), "groups")
+        groups = groups.select("grp", "m", "size", "kind")
         kinds = {r["kind"] for r in groups.select("kind").distinct().collect()}  # three at most
-        members = now.drop("of").join(groups, "grp")
+        members = now.drop("of", "parent").join(groups, "grp")
         if "pairs" in kinds:
             found.append(cut(verified(_pairs(members.where("kind = 'pairs'"), threshold), sets, threshold), "links"))
         if "product" in kinds:
-            found.append(cut(product_links(members.where("kind = 'product'").select("grp", "m", "size", "node", "c"), sets, threshold), "links"))
+            found.append(cut(product_links(members.where("kind = 'product'").select("grp", "m", "size", "node", "c", "prev"), sets, threshold), "links"))
         if "split" not in kinds:
             break
-        large = cut(members.where("kind = 'split'").select("grp", "m", "node", "c"), "members")
+        large = cut(members.where("kind = 'split'").select("grp", "m", "size", "node", "c"), "members")
         inner = rare_prefixes(large.select("grp", "node").join(sets, "node"), threshold, ("grp",))
-        now = inner.join(large.withColumnRenamed("m", "of"), ["grp", "node"]).withColumn("grp", F.xxhash64("grp", "gram"))
-        now = cut(now.select("gram", "node", "n", "place", "prev", "short", "c", "grp", "of"), "placed")
+        now = inner.join(large.select("grp", "node", "c", F.col("m").alias("of")), ["grp", "node"]).withColumn("parent", F.col("grp")).withColumn("grp", F.xxhash64("grp", "gram"))
+        now = cut(now.select("gram", "node", "n", "place", "prev", "short", "c", "grp", "of", "parent"), "placed")
     return [x for x in found if not x.isEmpty()]
 
 
@@ -333,31 +346,60 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 
 
 def mark_of(found: np.ndarray) -> bytes:
-    """A bit for each value modulo ``8 * MARK`` that a set's hashes have."""
-    bits = np.zeros(8 * MARK, np.uint8)
-    bits[(found & np.uint64(8 * MARK - 1)).astype(np.int64)] = 1
+    """A bit for each value that a set's hashes have modulo a power of two, which is as large as the set asks for."""
+    bits = np.zeros(max(8 * LEAST_MARK, 1 << (MARK_BITS * len(found) - 1).bit_length()), np.uint8)
+    bits[(found & np.uint64(len(bits) - 1)).astype(np.int64)] = 1
     return np.packbits(bits).tobytes()
 
 
+def folded(marks: list[bytes], width: int) -> np.ndarray:
+    """Marks of at least so many bytes as the marks of the same sets that have just so many, a row each."""
+    out = np.zeros((len(marks), width), np.uint8)
+    sizes = np.array([len(m) for m in marks])
+    for size in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == size)
+        same = np.frombuffer(b"".join([marks[k] for k in at.tolist()]), np.uint8)
+        out[at] = np.bitwise_or.reduce(same.reshape(len(at), size // width, width), axis=1)
+    return out
+
+
 def candidates(tiles: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """(grp, i, j, a, b): the pairs of each tile's nodes in different components that their marks allow a link.
+    """(grp, i, j, a, b, share): the pairs of each tile's nodes in different components that their marks allow a link.
 
-    Each bit that one mark alone has stands for an n-gram that the other set lacks, so no link is lost. ``tiles`` has
-    (grp, i, j, own, node, c, n, mark). Where the pairs left would move more n-grams than the tile
-    has, it gives one row instead, with a null pair, for a product of its whole sets.
+    Each bit that one mark alone has stands for an n-gram that the other set lacks, so no link is lost; of marks of
+    two lengths the longer is folded. ``tiles`` has (grp, i, j, own, node, c, prev, n, mark); nodes with the same n-gram
+    before meet in that one. ``share`` is the n-grams that a pair would move, of those of the tile. A tile of more pairs
+    than a sixteenth of its n-grams gives one row instead, with a null pair, for a product of its whole sets.
     """
     num, den = threshold
 
-    def tile(i: int, j: int, own: np.ndarray, node: np.ndarray, c: np.ndarray, n: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
-        bits = np.unpackbits(mark.reshape(len(n), MARK), axis=1).astype(np.float32)
-        size = bits.sum(1)
-        x, y = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        both = bits[x] @ bits[y].T
-        most = np.minimum((n[x] - size[x])[:, None], (n[y] - size[y])[None, :]) + both
-        near = ((num + den) * most >= num * (n[x][:, None] + n[y][None, :])) & (c[x][:, None] != c[y][None, :])
-        p, q = np.nonzero(np.triu(near, 1) if i == j else near)
-        p, q = x[p], y[q]
-        return None if n[p].sum() + n[q].sum() > n.sum() else (np.minimum(node[p], node[q]), np.maximum(node[p], node[q]))
+    def near(n: np.ndarray, mark: list[bytes], width: np.ndarray, x: np.ndarray, y: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Nodes of x and y by the shorter mark of two, and which of them may be linked."""
+        for w in np.unique(width).tolist():
+            fits = (width >= w) & (num * n <= den * n[width == w].max())
+            p, q = x[fits[x]], y[fits[y]]
+            if not len(p) or not len(q):
+                continue
+            one, two = folded([mark[k] for k in p.tolist()], w), folded([mark[k] for k in q.tolist()], w)
+            both, size_p, size_q = np.zeros((len(p), len(q))), np.zeros(len(p)), np.zeros(len(q))
+            for lo in range(0, w, CHUNK // 8):
+                a, b = (np.unpackbits(m[:, lo : lo + CHUNK // 8], axis=1).astype(np.float32) for m in (one, two))
+                both += a @ b.T
+                size_p += a.sum(1)
+                size_q += b.sum(1)
+            most = np.minimum((n[p] - size_p)[:, None], (n[q] - size_q)[None, :]) + both
+            yield p, q, ((num + den) * most >= num * (n[p][:, None] + n[q][None, :])) & (np.minimum(width[p][:, None], width[q][None, :]) == w)
+
+    def tile(i: int, j: int, own: np.ndarray, node: np.ndarray, c: np.ndarray, prev: np.ndarray, first: np.ndarray, n: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        width = np.array([len(m) for m in mark])
+        ends = [np.zeros((0, 2), np.int64)]
+        for x, y, close in near(n, mark, width, np.flatnonzero(own == i), np.flatnonzero(own == j)):
+            close &= c[x][:, None] != c[y][None, :]
+            close &= (prev[x][:, None] != prev[y][None, :]) | first[x][:, None]
+            at = np.argwhere(np.triu(close, 1) if i == j else close)
+            ends.append(np.stack((x[at[:, 0]], y[at[:, 1]]), axis=1))
+        p, q = np.concatenate(ends).T
+        return None if 16 * len(p) > n.sum() else (np.minimum(node[p], node[q]), np.maximum(node[p], node[q]), (n[p] + n[q]) / n.sum())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def given(parts: list[tuple]) -> pa.RecordBatch:
@@ -365,13 +407,14 @@ def candidates(tiles: DataFrame, threshold: tuple[int, int]) -> DataFrame:
             sizes = [1 if e is None else len(e[0]) for e in ends]
             grp, i, j = (np.repeat(np.array([k[f] for k in keys], np.int64), sizes) for f in range(3))
             none = np.repeat([e is None for e in ends], sizes)
-            a, b = (np.concatenate([np.zeros(1, np.int64) if e is None else e[f] for e in ends]) for f in range(2))
-            return pa.RecordBatch.from_arrays([pa.array(grp), pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(a, mask=none), pa.array(b, mask=none)], names=["grp", "i", "j", "a", "b"])
+            a, b, share = (np.concatenate([np.zeros(1, kind) if e is None else e[f] for e in ends]) for f, kind in enumerate((np.int64, np.int64, np.float64)))
+            return pa.RecordBatch.from_arrays([pa.array(grp), pa.array(i, pa.int32()), pa.array(j, pa.int32()), *(pa.array(x, mask=none) for x in (a, b, share))], names=["grp", "i", "j", "a", "b", "share"])
 
         held: list[np.ndarray] | None = None
         for batch in batches:
-            new = [batch.column(f).to_numpy() for f in range(7)]
-            new.append(np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint8).reshape(-1, MARK))
+            prev = batch.column(6)
+            new = [batch.column(f).to_numpy() for f in range(6)] + [prev.fill_null(0).to_numpy(), prev.is_null().to_numpy(zero_copy_only=False), batch.column(7).to_numpy()]
+            new.append(np.array([*batch.column(8).to_pylist(), None], object)[:-1])
             held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
             grp, i, j = held[:3]
             at = [0, *(np.flatnonzero((grp[1:] != grp[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1).tolist()]
@@ -381,21 +424,25 @@ def candidates(tiles: DataFrame, threshold: tuple[int, int]) -> DataFrame:
         if held is not None and len(held[0]):
             yield given([((held[0][0], held[1][0], held[2][0]), tile(held[1][0], held[2][0], *held[3:]))])
 
-    dealt = tiles.select("grp", "i", "j", "own", "node", "c", "n", "mark").repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j")
-    return dealt.mapInArrow(lean(run), "grp bigint, i int, j int, a bigint, b bigint")
+    dealt = tiles.select("grp", "i", "j", "own", "node", "c", "prev", "n", "mark").repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j")
+    return dealt.mapInArrow(lean(run), "grp bigint, i int, j int, a bigint, b bigint, share double")
 
 
 def product_links(members: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     """Links (a, b) that join nodes of one group, from (grp, m, size, node, c), by the product of their marks, then of their sets, in tasks.
 
+    Two nodes with the same non-null ``prev``, if ``members`` has that too, meet in another group. A pair that meets in
+    several tiles belongs to one; a tile whose pairs would move more n-grams than it has is multiplied whole.
     A group of more than ``GROUP`` nodes or ``GROUP_GRAMS`` n-grams is dealt over blocks by the
     nodes' hashes, and each two blocks meet in a task of their own, so none holds a whole group.
     """
     num, den = threshold
+    if "prev" not in members.columns:
+        members = members.withColumn("prev", F.lit(None).cast("bigint"))
     blocks = F.greatest(F.ceil(F.col("m") / GROUP), F.ceil(F.col("size") / GROUP_GRAMS)).cast("int")
     dealt = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     tiles = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiles = tiles.select("grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "c")
+    tiles = tiles.select("grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "c", "prev")
 
     def run(tile: pa.Table) -> pa.Table:
         nodes, c, own = (tile.column(x).to_numpy() for x in ("node", "c", "own"))
@@ -426,8 +473,11 @@ def product_links(members: DataFrame, sets: DataFrame, threshold: tuple[int, int
         return pa.table([pa.array(links[0], pa.int64()), pa.array(links[1], pa.int64())], names=["a", "b"])
 
     near = cut(candidates(tiles.join(sets.select("node", "n", "mark"), "node"), threshold), "candidates")
-    links = verified(near.where("a is not null").select("a", "b").distinct(), sets, threshold)
-    whole = tiles.join(near.where("a is null").select("grp", "i", "j"), ["grp", "i", "j"], "left_semi")
+    pairs = cut(near.where("a is not null").groupBy("a", "b").agg(F.min(F.struct("grp", "i", "j", "share")).alias("t")).select("a", "b", "t.*"), "pairs")
+    full = pairs.groupBy("grp", "i", "j").agg(F.sum("share").alias("share")).where("share > 1").select("grp", "i", "j")
+    full = cut(full.union(near.where("a is null").select("grp", "i", "j")), "full")
+    links = verified(pairs.join(full, ["grp", "i", "j"], "left_anti").select("a", "b"), sets, threshold)
+    whole = tiles.join(full, ["grp", "i", "j"], "left_semi")
     return links.union(whole.join(sets.select("node", "grams"), "node").groupBy("grp", "i", "j").applyInArrow(run, "a bigint, b bigint"))
 
 

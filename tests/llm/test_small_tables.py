@@ -413,6 +413,51 @@ def test_products_move_marks_and_not_whole_sets_of_unlike_texts(spark, monkeypat
     assert len({top[k] for k in range(len(sets), len(rows))}) == 1
 
 
+@pytest.mark.parametrize("few,whole,depth", [(2, 12, 8), (2, 12, 1)])
+def test_jaccard_join_where_groups_are_split_or_are_too_dense_for_it(spark, monkeypatch, few, whole, depth):
+    """Families that share many n-grams and hardly any link: split groups and those multiplied once give the same."""
+    from codeloom.llm import ngram_join
+
+    for name, value in (("FEW", few), ("WHOLE", whole), ("GROUP", 16), ("DEPTH", depth), ("ROUNDS", 1)):
+        monkeypatch.setattr(ngram_join, name, value)
+    rng, word = random.Random(whole), lambda: f"w{rng.randrange(10**6)}"
+    lines = [" ".join(word() for _ in range(rng.choice([20, 30]))) for _ in range(10)]
+    texts = ["\n".join(rng.sample(lines, rng.choice([4, 5]))) for _ in range(60)]
+    for _ in range(2):
+        base = [word() for _ in range(100)]
+        for k in range(50):
+            texts.append(" ".join(w if rng.random() < 0.95 or k < 3 else word() for w in base))
+    texts += [" ".join([*x.split()[3:], *(word() for _ in range(rng.randint(1, 9)))]) for x in texts[:20] + texts[60:90]]
+    rows, dense = list(enumerate(texts)), []
+    cut = ngram_join.cut
+    monkeypatch.setattr(ngram_join, "cut", lambda df, name: (out := cut(df, name), dense.append(out.count()) if name == "dense" else None)[0])
+    rng.shuffle(rows)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_join(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == brute_force_components(rows)
+    assert sum(dense) > 0
+
+
+def test_marks_grow_with_the_sets_and_pairs_that_meet_in_many_groups_are_compared_once(spark, monkeypatch):
+    """Large sets of a line alike: marks tell them apart, other lengths too; a pair of many groups is one pair."""
+    from codeloom.llm import ngram_join
+
+    rng = np.random.default_rng(5)
+    some = lambda n: rng.integers(0, 1 << 63, n).astype(np.uint64)
+    line = some(20)
+    sets = [np.unique(np.concatenate([line, some(n)])) for n in [1500] * 30 + [1000, 1030] * 15]
+    near = [np.unique(np.concatenate([sets[k][: len(sets[k]) - cut], some(more)])) for k, cut, more in ((0, 60, 0), (30, 0, 60), (31, 200, 0))]
+    rows = [(k, len(x), bytearray(x.tobytes()), bytearray(ngram_join.mark_of(x))) for k, x in enumerate([*sets, *near])]
+    table = spark.createDataFrame(rows, "node bigint, n bigint, grams binary, mark binary")
+    members = table.select(F.explode(F.expr("sequence(1L, 40L)")).alias("grp"), F.lit(len(rows)).alias("m"), F.lit(80_000).cast("bigint").alias("size"), "node", F.col("node").alias("c"))
+    members = members.withColumn("prev", F.when(F.col("grp") > 20, F.col("grp") - 1))
+    seen, cut = {}, ngram_join.cut
+    monkeypatch.setattr(ngram_join, "cut", lambda df, name: seen.setdefault(name, cut(df, name)))
+    got = sorted((min(r), max(r)) for r in map(tuple, ngram_join.product_links(members, table, (75, 100)).collect()))
+    assert got == [(0, 60), (30, 61), (31, 62)]
+    assert {(r.a, r.b) for r in seen["candidates"].collect()} == set(got)
+    assert seen["candidates"].where("grp > 20").count() == 0 and seen["candidates"].count() == 60
+
+
 def test_overlaps_by_ranges_and_blocks(monkeypatch):
     from codeloom.llm import ngram_join
 
