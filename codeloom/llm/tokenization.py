@@ -28,6 +28,8 @@ JOINED = 4096
 
 _run_then_space = re.compile(r"\s ")
 _separators = re.compile(r"[\x1c-\x1f]")
+#: letters of one code point that no normalization form C composes further
+_latin = re.compile(r"[\t\n\r -~\xa1-\u024f]*")
 _careful = re.compile(r"\s*\S+|\s+")
 
 
@@ -49,6 +51,8 @@ class PieceEncoder:
         self.stands_for = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
         for token, i in self.tokenizer.get_vocab().items():
             self.stands_for[i] = len(token.removesuffix("</w>"))
+        #: whether a token's characters are bytes, so that this holds beyond ASCII
+        self.of_bytes = '"ByteLevel"' in json.dumps(json.loads(self.tokenizer.to_str())["pre_tokenizer"])
         self.drops_space = int(self.stands_for[self.tokenizer.encode(" a", add_special_tokens=False).ids].sum()) == 1
         #: parts that follow a space (or, marked, the start of a text); whole pieces of doubtful texts
         self.known: tuple[dict[str, bytes], dict[str, bytes]] = ({"\0": b""}, {})
@@ -67,19 +71,26 @@ class PieceEncoder:
     def fresh(self, pieces: list[str]) -> Iterable[bytes]:
         """The ids of pieces not seen before.
 
-        ASCII pieces that follow a space go through the library joined, and the ids are
-        dealt out by the bytes that each stands for; should these not come out even, and
-        for all other pieces, each goes alone.
+        ASCII pieces that follow a space go through the library joined, those of Latin letters
+        too where tokens are of bytes, and the ids are dealt out by the bytes that each stands
+        for; should these not come out even, and for all other pieces, each goes alone.
         """
         out: list[bytes | None] = [None] * len(pieces)
-        joined = [i for i, p in enumerate(pieces) if p.isascii() and p[:1] == " " and not p[-1].isspace()]
-        for at in range(0, len(joined), JOINED):
-            part = joined[at : at + JOINED]
+        joined: tuple[list[int], list[int]] = ([], [])
+        for i, p in enumerate(pieces):
+            if p[:1] == " " and not p[-1].isspace():
+                if p.isascii():
+                    joined[0].append(i)
+                elif self.of_bytes and _latin.fullmatch(p):
+                    joined[1].append(i)
+        for part in (x[at : at + JOINED] for x in joined for at in range(0, len(x), JOINED)):
             texts = [pieces[i] for i in part]
             ids = np.array(self.tokenizer.encode_batch_fast(["".join(texts)], add_special_tokens=False)[0].ids, "<u4")
             reach = np.cumsum(self.stands_for[ids])
-            sizes = [len("".join(t.split())) for t in texts] if self.drops_space else [len(t) for t in texts]
-            wanted = np.cumsum(sizes)
+            plain = ["".join(t.split()) for t in texts] if self.drops_space else texts
+            if not plain[0].isascii():
+                plain = [(t.lower() if self.lowers else t).encode() for t in plain]
+            wanted = np.cumsum([len(t) for t in plain])
             stops = np.searchsorted(reach, wanted)
             if len(reach) and reach[-1] == wanted[-1] and (reach[stops] == wanted).all():
                 data, bounds = ids.tobytes(), ((stops + 1) * 4).tolist()

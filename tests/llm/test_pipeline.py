@@ -155,3 +155,25 @@ def test_token_ids_match_the_library(spark):
         want = [array("I", e.ids).tobytes() for e in library.encode_batch(texts, add_special_tokens=False)]
         encoder = PieceEncoder(tokenizer_path(name), 5000)
         assert encoder.encode(texts) == want and encoder.encode(texts) == want
+
+
+def test_pieces_of_latin_letters_go_through_the_library_joined():
+    """Only pieces of other letters or with white space at their end go alone; all ids are the library's."""
+    from array import array
+
+    from tokenizers import Tokenizer
+
+    from codeloom.llm.tokenization import PieceEncoder, tokenizer_path
+
+    rng = np.random.default_rng(7)
+    letters = list("abÈéßñçŉǰůĿŐƏɏ'.\nÉ$1sS")
+    texts = [" ".join("".join(rng.choice(letters, rng.integers(1, 9))) + "é" for _ in range(rng.integers(1, 40))) for _ in range(300)]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        library = Tokenizer.from_file(tokenizer_path(name))
+        for more in ([], ["x İé Σé é́  é 中é ΑΣ Σ. ﬁé"]):
+            encoder, alone = PieceEncoder(tokenizer_path(name), 50_000), []
+            one = encoder._alone
+            encoder._alone = lambda pieces: one(alone.extend(pieces) or pieces)
+            want = [array("I", e.ids).tobytes() for e in library.encode_batch(texts + more, add_special_tokens=False)]
+            assert encoder.encode(texts + more) == want
+            assert more or not [p for p in alone if p[:1] == " "]
