@@ -11,9 +11,10 @@ The product is taken in blocks of n-grams and cut down by bounds that lose no li
 3. Pivots. The nodes that share such an n-gram are compared with one of them, so that a
    group of copies of any size gives as many pairs as it has nodes, and not all its pairs.
 4. Rest. Nodes of one n-gram that still lie in different components: those of a few are
-   compared in pairs, as far as the bounds on size and position allow; those of a group of
-   hundreds by a blocked matrix product inside tasks, which gives out links only; first
-   of marks of the sets, as long as the sets are large, which rule most pairs out, and of whole sets only where they leave many. A larger
+   compared in pairs; those of a group of hundreds by a blocked matrix product inside tasks, which gives out links only; first
+   of marks of the sets, as long as the sets are large, which rule most pairs out, and of whole sets only where they leave many.
+   Either leaves out what the bounds on size and position forbid: at the first n-gram that two linked
+   nodes share, both have enough n-grams left, so near copies that are no links meet nobody. A larger
    group is ordered anew, by how many of *its* nodes share an n-gram, and its nodes meet again
    in what is rare within the group, so that one frequent line does not make all pairs of
    those that have it. Where the smaller groups have more pairs than the group they come from,
@@ -270,41 +271,51 @@ def across_components(prefixes: DataFrame, sets: DataFrame, threshold: tuple[int
     No two nodes with a link stay in different components; of the links within a large group
     only those are returned that are needed for that.
     """
+    num, den = threshold
     none = F.lit(None).cast("bigint")
+    # of two linked nodes the smaller one is short where they meet first, so a node that is too far on for the least such one meets nobody there
+    meets = F.expr(f"{num + den} * (1 + n - place) >= {num} * (n + least)")
     now, found, large = prefixes.select("gram", "node", "n", "place", "prev", "short", "c", F.col("gram").alias("grp"), none.alias("of"), none.alias("parent")), [], None
     for depth in range(DEPTH + 1):
         groups = now.groupBy("grp").agg(
-            F.count("*").alias("m"), F.sum("n").alias("size"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("short").alias("meets"),
+            F.count("*").alias("m"), F.sum("n").alias("size"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(F.when(F.col("short"), F.col("n"))).alias("least"),
             F.count("prev").alias("later"), F.min("prev").alias("p"), F.max("prev").alias("q"), F.max("of").alias("of"), F.max("parent").alias("parent"),
         )
         # where all of a group have the same n-gram before, they meet in that one
-        groups = groups.where("lo <> hi and meets and not (later = m and p = q)")
+        groups = groups.where("lo <> hi and least is not null and not (later = m and p = q)")
         no_smaller = F.lit(depth == DEPTH) | F.coalesce(2 * F.col("m") > F.col("of"), F.lit(False))
         kind = F.when(F.col("m") <= FEW, "pairs").when((F.col("m") <= WHOLE) | no_smaller, "product").otherwise("split")
-        groups = cut(groups.select("grp", "m", "size", "of", "parent", kind.alias("kind")), "groups")
+        groups = cut(groups.select("grp", "m", "size", "least", "of", "parent", kind.alias("kind")), "groups")
         if large is not None:
             # a group that this does not split: its own pairs are fewer than those of all it comes to
             dense = groups.groupBy("parent").agg(F.sum(F.col("m").cast("double") * F.col("m")).alias("all"), F.max("of").alias("of")).where("all > double(of) * of")
             dense = cut(dense.select(F.col("parent").alias("grp")), "dense")
             if not dense.isEmpty():
-                found.append(cut(product_links(large.join(dense, "grp"), sets, threshold), "links"))
+                found.append(cut(product_links(_counted(large.join(dense, "grp").where(meets)), sets, threshold), "links"))
                 groups = cut(groups.join(dense.toDF("parent"), "parent", "left_anti"), "groups")
-        groups = groups.select("grp", "m", "size", "kind")
+        groups = groups.select("grp", "m", "size", "least", "kind")
         kinds = {r["kind"] for r in groups.select("kind").distinct().collect()}  # three at most
         members = now.drop("of", "parent").join(groups, "grp")
         if "pairs" in kinds:
-            found.append(cut(verified(_pairs(members.where("kind = 'pairs'"), threshold), sets, threshold), "links"))
+            found.append(cut(verified(_pairs(members.where("kind = 'pairs'").where(meets), threshold), sets, threshold), "links"))
         if "product" in kinds:
-            found.append(cut(product_links(members.where("kind = 'product'").select("grp", "m", "size", "node", "c", "prev"), sets, threshold), "links"))
+            found.append(cut(product_links(_counted(members.where("kind = 'product'").where(meets)), sets, threshold), "links"))
         if "split" not in kinds:
             break
-        large = cut(members.where("kind = 'split'").select("grp", "m", "size", "node", "c"), "members")
+        large = cut(members.where("kind = 'split'").select("grp", "m", "least", "node", "n", "c", "prev", "place"), "members")
         inner = rare_prefixes(large.select("grp", "node").join(sets, "node"), threshold, ("grp",))
         now = inner.join(large.select("grp", "node", "c", F.col("m").alias("of")), ["grp", "node"]).withColumn("parent", F.col("grp")).withColumn("grp", F.xxhash64("grp", "gram"))
         now = cut(now.select("gram", "node", "n", "place", "prev", "short", "c", "grp", "of", "parent"), "placed")
     return [x for x in found if not x.isEmpty()]
 
 
+def _counted(members: DataFrame) -> DataFrame:
+    """(grp, m, size, node, c, prev, place): members with the number of their group's nodes and of those nodes' n-grams."""
+    members = cut(members.select("grp", "node", "n", "c", "prev", "place"), "met")
+    counts = members.groupBy("grp").agg(F.count("*").alias("m"), F.sum("n").alias("size"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("grp", "m", "size")
+    return members.drop("n").join(counts, "grp")
+
+
 def _pairs(members: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     """Pairs (a, b) of a group's nodes in different components that pass the bounds on size and position."""
     num, den = threshold
@@ -367,17 +378,20 @@ def candidates(tiles: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     """(grp, i, j, a, b, share): the pairs of each tile's nodes in different components that their marks allow a link.
 
     Each bit that one mark alone has stands for an n-gram that the other set lacks, so no link is lost; of marks of
-    two lengths the longer is folded. ``tiles`` has (grp, i, j, own, node, c, prev, n, mark); nodes with the same n-gram
-    before meet in that one. ``share`` is the n-grams that a pair would move, of those of the tile. A tile of more pairs
-    than a sixteenth of its n-grams gives one row instead, with a null pair, for a product of its whole sets.
+    two lengths the longer is folded. ``tiles`` has (grp, i, j, own, node, c, prev, place, n, mark); nodes with the same n-gram
+    before meet in that one, and so do those whose places leave too few n-grams for a link. ``share`` is the n-grams that a pair would move, of those of the tile. A tile of more pairs
+    than nodes gives one row instead, with a null pair, for a product of its whole sets, so no tile gives more rows than it gets.
     """
     num, den = threshold
 
-    def near(n: np.ndarray, mark: list[bytes], width: np.ndarray, x: np.ndarray, y: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Nodes of x and y by the shorter mark of two, and which of them may be linked."""
+    def near(n: np.ndarray, mark: np.ndarray, width: np.ndarray, x: np.ndarray, y: np.ndarray, open_: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Nodes of x and y by the shorter mark of two, and which of the open pairs may be linked."""
         for w in np.unique(width).tolist():
             fits = (width >= w) & (num * n <= den * n[width == w].max())
-            p, q = x[fits[x]], y[fits[y]]
+            fit_x, fit_y = np.flatnonzero(fits[x]), np.flatnonzero(fits[y])
+            left = open_[np.ix_(fit_x, fit_y)]
+            some_x, some_y = left.any(1), left.any(0)
+            left, p, q = left[np.ix_(some_x, some_y)], x[fit_x[some_x]], y[fit_y[some_y]]
             if not len(p) or not len(q):
                 continue
             one, two = folded([mark[k] for k in p.tolist()], w), folded([mark[k] for k in q.tolist()], w)
@@ -388,18 +402,20 @@ def candidates(tiles: DataFrame, threshold: tuple[int, int]) -> DataFrame:
                 size_p += a.sum(1)
                 size_q += b.sum(1)
             most = np.minimum((n[p] - size_p)[:, None], (n[q] - size_q)[None, :]) + both
-            yield p, q, ((num + den) * most >= num * (n[p][:, None] + n[q][None, :])) & (np.minimum(width[p][:, None], width[q][None, :]) == w)
+            yield p, q, left & ((num + den) * most >= num * (n[p][:, None] + n[q][None, :])) & (np.minimum(width[p][:, None], width[q][None, :]) == w)
 
-    def tile(i: int, j: int, own: np.ndarray, node: np.ndarray, c: np.ndarray, prev: np.ndarray, first: np.ndarray, n: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    def tile(i: int, j: int, own: np.ndarray, node: np.ndarray, c: np.ndarray, prev: np.ndarray, first: np.ndarray, place: np.ndarray, n: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
         width = np.array([len(m) for m in mark])
         ends = [np.zeros((0, 2), np.int64)]
-        for x, y, close in near(n, mark, width, np.flatnonzero(own == i), np.flatnonzero(own == j)):
-            close &= c[x][:, None] != c[y][None, :]
-            close &= (prev[x][:, None] != prev[y][None, :]) | first[x][:, None]
-            at = np.argwhere(np.triu(close, 1) if i == j else close)
-            ends.append(np.stack((x[at[:, 0]], y[at[:, 1]]), axis=1))
+        x, y = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        open_ = (num + den) * (1 + np.minimum((n - place)[x][:, None], (n - place)[y][None, :])) >= num * (n[x][:, None] + n[y][None, :])
+        open_ &= c[x][:, None] != c[y][None, :]
+        open_ &= (prev[x][:, None] != prev[y][None, :]) | first[x][:, None]
+        for p, q, close in near(n, mark, width, x, y, np.triu(open_, 1) if i == j else open_):
+            at = np.argwhere(close)
+            ends.append(np.stack((p[at[:, 0]], q[at[:, 1]]), axis=1))
         p, q = np.concatenate(ends).T
-        return None if 16 * len(p) > n.sum() else (np.minimum(node[p], node[q]), np.maximum(node[p], node[q]), (n[p] + n[q]) / n.sum())
+        return None if len(p) > len(node) else (np.minimum(node[p], node[q]), np.maximum(node[p], node[q]), (n[p] + n[q]) / n.sum())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def given(parts: list[tuple]) -> pa.RecordBatch:
@@ -413,8 +429,8 @@ def candidates(tiles: DataFrame, threshold: tuple[int, int]) -> DataFrame:
         held: list[np.ndarray] | None = None
         for batch in batches:
             prev = batch.column(6)
-            new = [batch.column(f).to_numpy() for f in range(6)] + [prev.fill_null(0).to_numpy(), prev.is_null().to_numpy(zero_copy_only=False), batch.column(7).to_numpy()]
-            new.append(np.array([*batch.column(8).to_pylist(), None], object)[:-1])
+            new = [batch.column(f).to_numpy() for f in range(6)] + [prev.fill_null(0).to_numpy(), prev.is_null().to_numpy(zero_copy_only=False), batch.column(7).to_numpy(), batch.column(8).to_numpy()]
+            new.append(np.array([*batch.column(9).to_pylist(), None], object)[:-1])
             held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
             grp, i, j = held[:3]
             at = [0, *(np.flatnonzero((grp[1:] != grp[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1).tolist()]
@@ -424,25 +440,27 @@ def candidates(tiles: DataFrame, threshold: tuple[int, int]) -> DataFrame:
         if held is not None and len(held[0]):
             yield given([((held[0][0], held[1][0], held[2][0]), tile(held[1][0], held[2][0], *held[3:]))])
 
-    dealt = tiles.select("grp", "i", "j", "own", "node", "c", "prev", "n", "mark").repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j")
+    dealt = tiles.select("grp", "i", "j", "own", "node", "c", "prev", "place", "n", "mark").repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j")
     return dealt.mapInArrow(lean(run), "grp bigint, i int, j int, a bigint, b bigint, share double")
 
 
 def product_links(members: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     """Links (a, b) that join nodes of one group, from (grp, m, size, node, c), by the product of their marks, then of their sets, in tasks.
 
-    Two nodes with the same non-null ``prev``, if ``members`` has that too, meet in another group. A pair that meets in
+    Two nodes with the same non-null ``prev``, if ``members`` has that too, meet in another group; so do two that ``place``,
+    if it has that, puts too far on for a link. A pair that meets in
     several tiles belongs to one; a tile whose pairs would move more n-grams than it has is multiplied whole.
     A group of more than ``GROUP`` nodes or ``GROUP_GRAMS`` n-grams is dealt over blocks by the
     nodes' hashes, and each two blocks meet in a task of their own, so none holds a whole group.
     """
     num, den = threshold
-    if "prev" not in members.columns:
-        members = members.withColumn("prev", F.lit(None).cast("bigint"))
+    for name, value in (("prev", None), ("place", 1)):
+        if name not in members.columns:
+            members = members.withColumn(name, F.lit(value).cast("bigint"))
     blocks = F.greatest(F.ceil(F.col("m") / GROUP), F.ceil(F.col("size") / GROUP_GRAMS)).cast("int")
     dealt = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     tiles = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiles = tiles.select("grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "c", "prev")
+    tiles = tiles.select("grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "c", "prev", F.col("place").cast("bigint").alias("place"))
 
     def run(tile: pa.Table) -> pa.Table:
         nodes, c, own = (tile.column(x).to_numpy() for x in ("node", "c", "own"))

@@ -458,6 +458,26 @@ def test_marks_grow_with_the_sets_and_pairs_that_meet_in_many_groups_are_compare
     assert seen["candidates"].where("grp > 20").count() == 0 and seen["candidates"].count() == 60
 
 
+def test_near_copies_without_links_make_no_pairs(spark, monkeypatch):
+    """Many edits of one text, too far from each other for a link, longer ones too: few pairs are compared, and no link is lost."""
+    from codeloom.llm import ngram_join
+
+    rng = random.Random(7)
+    base, texts = [f"b{k}" for k in range(150)], []
+    for k in range(240):
+        words = [*base, *(f"l{j}" for j in range(rng.choice([0, 0, 0, 2, 25])))]
+        for at in rng.sample(range(2, 148), 4):
+            words[at] = f"e{k}-{at}"
+        texts.append(" ".join(words))
+    rows = [*enumerate([*texts, *(" ".join(["o", *x.split()[3:]]) for x in texts[::40])])]
+    seen, cut = [], ngram_join.cut
+    monkeypatch.setattr(ngram_join, "cut", lambda df, name: (out := cut(df, name), seen.append(out.where("a is not null").count()) if name == "candidates" else None)[0])
+    monkeypatch.setattr(ngram_join, "ROUNDS", 1)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_join(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == brute_force_components(rows)
+    assert sum(seen) <= len(rows)
+
+
 def test_overlaps_by_ranges_and_blocks(monkeypatch):
     from codeloom.llm import ngram_join
 
