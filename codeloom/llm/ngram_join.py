@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut, fresh, lean, partitions, require
+from .common import components, cut, cut_whole, fresh, lean, partitions, require
 from .shingles import shingle_sets
 from .tokenization import slices, text_sizes
 
@@ -255,7 +255,8 @@ def linked_components(sets: DataFrame, threshold: tuple[int, int] = THRESHOLD) -
         if new.isEmpty():
             break
         links = new if links is None else links.union(new)
-        found = cut(components(links), "components")
+        joined = links
+        found = cut_whole(sets.sparkSession, lambda: components(joined), "components")
     now = cut(_with_component(prefixes, found), "placed")
     for new in across_components(now, sets, threshold):
         links = new if links is None else links.union(new)
@@ -552,7 +553,7 @@ def drop_near_duplicates(docs: DataFrame, k: int = WORDS, threshold: tuple[int,
     with a null id, a null text or no words are in no group and all stay. Columns may have any
     names; an empty table gives an empty table.
     """
-    rows = cut(_joined_rows(docs, k, threshold, id_col, text_col).where("cluster is not null and doc_id is not null"), "joined-rows")
+    rows = cut_whole(docs.sparkSession, lambda: _joined_rows(docs, k, threshold, id_col, text_col).where("cluster is not null and doc_id is not null"), "joined-rows")
     same = rows.where("doc_id = component_id").groupBy("cluster", "doc_id").agg(F.min("text_hash").alias("first"), F.max("text_hash").alias("last"))
     more = rows.join(same.where("first <> last"), ["cluster", "doc_id"]).where("text_hash <> first")
     gone = cut(rows.where("doc_id > component_id").select("doc_id", "text_hash").union(more.select("doc_id", "text_hash")).distinct(), "near-duplicates")

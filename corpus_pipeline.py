@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import cut
+from codeloom.llm.common import cut, cut_whole
 from codeloom.llm.language import identify_languages, learn_languages
 from codeloom.llm.ngram_join import drop_near_duplicates
 from codeloom.llm.packing import best_fit_pack, tokenize_pieces
@@ -49,7 +49,8 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null texts, texts of fewer than 50 words and rows with a null id stay as they are; a text
     that is a repeated passage as a whole becomes empty; rows with one id are cut alike.
     """
-    return remove_passages(docs, repeated_passages(docs), count_col="n_chars" if "n_chars" in docs.columns else None)
+    found = cut_whole(spark, lambda: repeated_passages(docs), "repeated-passages")
+    return remove_passages(docs, found, count_col="n_chars" if "n_chars" in docs.columns else None)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

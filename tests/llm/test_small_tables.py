@@ -349,6 +349,22 @@ def test_jaccard_join(spark, docs, wide):
         jaccard_join(docs, threshold=(0, 100))
 
 
+def test_tables_on_the_way_are_deleted_before_the_next_stage(spark, wide):
+    from pathlib import Path
+
+    import corpus_pipeline
+    from codeloom.llm import common
+
+    for stage, kept in ((corpus_pipeline.near_duplicates, {"joined-rows", "near-duplicates", "repeated-rows"}), (corpus_pipeline.passages, {"repeated-passages"})):
+        made = set(common._made)
+        out = stage(spark, wide, "")
+        new = {p.rsplit("/", 1)[1] for p in set(common._made) - made}
+        assert new and {p.rsplit("-", 1)[0] for p in new} <= kept
+        there = {p.name for p in Path(common.shared_dir(spark).removeprefix("file://")).iterdir()} - {p.rsplit("/", 1)[1] for p in made}
+        assert new <= there and not {p for p in there if p.rsplit("-", 1)[0] in ("sets", "nodes", "linkable-sets", "passage-words", "met-in-slices")} - {p.rsplit("/", 1)[1] for p in made}
+        assert out.count() > 0
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_jaccard_join_on_chains_and_edits(spark, seed):
     """Groups whose members are linked only through others, and edits near the threshold."""
