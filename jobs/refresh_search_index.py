@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from codeloom.functions.columns import content_hash, within_size
 from codeloom.operators.incremental import classify
 from codeloom.operators.merge import last_wins
-from codeloom.operators.search_index import SearchIndex, write_index
+from codeloom.operators.search_index import SearchIndex, count_tokens, write_index
+from codeloom.sources.shared import freed, passing
 from jobs.common import command_line, load_config, read_or_empty
 
 log = logging.getLogger("refresh_search_index")
@@ -46,18 +47,16 @@ def versions(rows: DataFrame, config: dict[str, Any]) -> DataFrame:
     A null id makes no file and is left out, as is a row whose repository is null; a null text has no hash.
     """
     repo, text = F.col(config["repo"]).cast("string"), F.col(config["text"])
-    keys = [x for name in config["metadata"] for x in (F.lit(name), F.col(name).cast("string"))]
-    metadata = F.map_filter(F.create_map(F.lit("repo"), repo, *keys), lambda k, v: v.isNotNull())
     known = rows.where(F.col(config["id"]).isNotNull() & F.col(config["repo"]).isNotNull())
-    shaped = known.select(
-        F.concat_ws(":", repo, F.lit(config["branch"]), F.col(config["id"]).cast("string")).alias("file_id"),
-        repo.alias("repo"),
-        text.alias("text"),
-        metadata.alias("metadata"),
-        content_hash(F.encode(text, "UTF-8")).alias("content_hash"),
-        F.struct("_metadata.file_modification_time", "_metadata.file_path", F.coalesce(text, F.lit(""))).alias("ord"),
-    )
-    return last_wins(shaped, ["file_id"], "ord").drop("ord")
+    named = F.array(*[F.col(name).cast("string") for name in config["metadata"]]).cast("array<string>")
+    # a text is moved once, in the order by which the last version is found
+    version = F.struct("_metadata.file_modification_time", "_metadata.file_path", F.coalesce(text, F.lit("")).alias("text"), text.isNotNull().alias("there"), repo.alias("repo"), named.alias("named"))
+    file_id = F.concat_ws(":", repo, F.lit(config["branch"]), F.col(config["id"]).cast("string"))
+    last = known.select(file_id.alias("file_id"), version.alias("last")).groupBy("file_id").agg(F.max("last").alias("last"))
+    keys = [x for i, name in enumerate(config["metadata"]) for x in (F.lit(name), F.get("last.named", F.lit(i)))]
+    metadata = F.map_filter(F.create_map(F.lit("repo"), F.col("last.repo"), *keys), lambda k, v: v.isNotNull())
+    shaped = last.select("file_id", "last.repo", F.when(F.col("last.there"), F.col("last.text")).alias("text"), metadata.alias("metadata"))
+    return shaped.withColumn("content_hash", content_hash(F.encode("text", "UTF-8")))
 
 
 def last_versions(files: DataFrame) -> DataFrame:
@@ -91,17 +90,16 @@ def run(spark: SparkSession, documents: str, output: str, checkpoint: str, confi
     def take(rows: DataFrame, batch: int) -> None:
         session = rows.sparkSession
         files = read_or_empty(session, f"{output}/files", FILES).where(F.col("batch") < batch)
-        taken = with_status(versions(rows, config), files, config["max_bytes"]).persist()
-        try:
-            changed = taken.where("status <> 'up_to_date'")
-            texts = changed.where(F.col("status").isin(*INDEXED)).select(F.col("file_id").alias("id"), "text", "metadata", F.struct(F.lit(batch).cast("bigint").alias("batch"), "file_id").alias("insert_ord"))
-            segment = write_index(texts, output, {"batch": batch})
-            done = changed.select("file_id", "repo", "content_hash", "status", F.lit(batch).cast("bigint").alias("batch"))
+        taken = with_status(versions(rows, config), files, config["max_bytes"])
+        own = F.struct(F.lit(batch).cast("bigint").alias("batch"), "file_id").alias("insert_ord")
+        texts = taken.select("file_id", "repo", "content_hash", "status", "metadata", own, F.when(F.col("status").isin(*INDEXED), F.col("text")).alias("text"))
+        # texts go no further than this: what is stored on the way has their tokens, and is deleted with the batch
+        with freed(session), passing(count_tokens(texts), "taken-files") as counted:
+            segment = write_index(counted.where(F.col("status").isin(*INDEXED)).drop("repo", "content_hash", "status").withColumnRenamed("file_id", "id"), output, {"batch": batch})
+            done = counted.where("status <> 'up_to_date'").select("file_id", "repo", "content_hash", "status", F.lit(batch).cast("bigint").alias("batch"))
             done.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{output}/files")
-            found = {r["status"]: r["n"] for r in taken.groupBy("status").agg(F.count("*").alias("n")).collect()}
+            found = {r["status"]: r["n"] for r in counted.groupBy("status").agg(F.count("*").alias("n")).collect()}
             found |= {"read": rows.count(), "postings": segment.postings.count(), "batches": 1}
-        finally:
-            taken.unpersist()
         for name, n in found.items():
             counts[name] += n
         log.info("batch %d of %s: %s", batch, documents, ", ".join(f"{n} {name}" for name, n in found.items()))

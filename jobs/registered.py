@@ -19,10 +19,11 @@ def job1_refresh_search_index(spark: SparkSession, sf_dir: str) -> DataFrame:
         refresh_search_index.run(spark, documents, f"{at}/index", f"{at}/checkpoint")
     files = refresh_search_index.current_files(spark, f"{at}/index")
     index = refresh_search_index.current_index(spark, f"{at}/index")
-    docs = index.docs.select(F.col("id").alias("file_id"), "block", "n_tokens", F.element_at("metadata", "lang").alias("lang"))
-    postings = index.postings.select(F.col("id").alias("file_id"), "block", "token", "tf")
-    held = docs.join(postings, ["file_id", "block"], "left").drop("block")
-    return files.drop("batch").join(held, "file_id", "left")
+    docs = index.docs.select(F.col("id").alias("file_id"), "batch", "n_tokens", F.element_at("metadata", "lang").alias("lang"))
+    postings = index.postings.select(F.col("id").alias("file_id"), "batch", "token", "tf")
+    # postings are far more than files: they are moved once, and neither stored in order nor gathered
+    held = files.drop("batch").join(docs, "file_id", "left").hint("SHUFFLE_HASH")
+    return held.join(postings, ["file_id", "batch"], "left").drop("batch")
 
 
 JOB1_SQL = """

@@ -1,8 +1,10 @@
 import json
+from pathlib import Path
 
 import pytest
 
 from codeloom.operators import retrieval, search_index
+from codeloom.sources.shared import shared_folder
 from jobs import common, refresh_search_index as job
 from jobs.registered import ORACLE_SQL, QUERIES
 from pyspark.sql import functions as F
@@ -141,3 +143,38 @@ def test_config(spark, tmp_path):
 
 def test_query_matches_sql(against_sql):
     against_sql(QUERIES["job1_refresh_search_index"], ORACLE_SQL["job1_refresh_search_index"])
+
+
+def test_the_way_into_the_index_takes_little_disk(spark, paths, sf_dir, monkeypatch):
+    """Texts are shuffled once and postings not at all; what a batch stores besides the index is gone when it ends, also when it fails."""
+    documents = Path(sf_dir) / "documents.parquet"
+
+    def moved():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        executors = spark.sparkContext._jsc.sc().statusStore().executorList(True)
+        return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+    shared = Path(shared_folder(spark).removeprefix("file://"))
+    left, began = set(shared.iterdir()), moved()
+    job.run(spark, f"{sf_dir}/documents.parque[t]", paths["output"], paths["checkpoint"])
+    assert moved() - began < 4.5 * documents.stat().st_size
+    assert set(shared.iterdir()) == left and not spark.sparkContext._jsc.getPersistentRDDs()
+    monkeypatch.setattr(job, "write_index", lambda docs, *rest: docs.count() and 1 / 0)
+    with pytest.raises(Exception):
+        job.run(spark, f"{sf_dir}/documents.parque[t]", paths["output"] + "-lost", paths["checkpoint"] + "-lost")
+    assert set(shared.iterdir()) == left
+
+
+def test_tokens_are_counted_row_by_row(spark):
+    texts = [None, "", "  !", "a", "b A b_1 b", "x" * 300 + " x1 1x", "Ünï \u212aelvin \u0130s 漢a", "same " * 50, "z y z y x"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")
+    counted = search_index.count_tokens(docs)
+    assert "Exchange" not in counted._jdf.queryExecution().executedPlan().toString()
+    tf = {}
+    for i, token, n in retrieval.term_frequencies(docs).collect():
+        tf.setdefault(i, {})[token] = n
+    for r in counted.collect():
+        held = tf.get(r.id, {})
+        assert dict(zip(r.tokens.split(), r.tfs, strict=True)) == held and r.tokens.split() == sorted(held)
+        assert (r.n_tokens, r.n_distinct) == (sum(held.values()), len(held))
+        assert r.kind == max(held, key=lambda t: (held[t], t), default=None)
