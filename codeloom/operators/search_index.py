@@ -11,13 +11,17 @@ reach the threshold. The rows are those of a search over all postings.
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
+from collections import Counter
 from contextlib import ExitStack
 from dataclasses import dataclass
+from itertools import pairwise
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import tokenize
 from ..sources.shared import freed, passing, read_in_parts, written
 from .retrieval import term_frequencies
 
@@ -25,6 +29,8 @@ from .retrieval import term_frequencies
 BLOCK_BITS = 4
 #: Bits of a block's number below that of its segment.
 SEGMENT_BIT = 42
+#: Bytes of a token of ``tokenize``, others as spaces.
+_SPACED = bytes(c if re.fullmatch(r"[a-z0-9_]", chr(c)) else 32 for c in range(256))
 #: Bytes of stored documents whose postings are sorted by one task.
 PART = 4 << 20
 
@@ -41,19 +47,39 @@ class SearchIndex:
 TABLES = ("docs", "postings", "maxima")
 
 
+def _counted(lowered: pa.Array) -> pa.Array:
+    """Of texts in lower case, as bytes: tokens are ASCII, and a byte of another character is none of theirs."""
+    tokens, starts, tfs, sizes, kinds = [], [0], [], [], []
+    for text in lowered:
+        found = Counter((text.as_py() or b"").translate(_SPACED).split())
+        ordered = sorted(found)
+        if ordered and ordered[0] < b":":  # a token starts behind the digits of its word
+            for word in ordered[: bisect_left(ordered, b":")]:
+                found[word.lstrip(b"0123456789")] += found.pop(word)
+            found.pop(b"", None)
+            ordered = sorted(found)
+        counts = list(map(found.__getitem__, ordered))
+        tokens.append(b" ".join(ordered))
+        tfs += counts
+        starts.append(len(tfs))
+        sizes.append(sum(counts))
+        kinds.append(ordered[-1 - counts[::-1].index(max(counts))] if counts else None)
+    lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(tfs, pa.int32()))
+    columns = {
+        "tokens": pa.array(tokens, pa.binary()).cast(pa.string()), "tfs": lists, "n_tokens": pa.array(sizes, pa.int64()),
+        "n_distinct": pa.array([b - a for a, b in pairwise(starts)], pa.int64()), "kind": pa.array(kinds, pa.binary()).cast(pa.string()),
+    }
+    return pa.StructArray.from_arrays(list(columns.values()), list(columns))
+
+
 def count_tokens(docs: DataFrame) -> DataFrame:
     """``docs`` with what the index needs of the text in its place, each row by itself, so nothing is shuffled.
 
     ``tokens`` has the distinct tokens in order, joined by spaces, which no token holds, and ``tfs`` their frequencies: about the size of the
-    text, where a row for each token would be many times that. Then come n_tokens, n_distinct and ``kind``, the most frequent token. A null text has no tokens.
+    text, where a row for each token would be many times that. Then come n_tokens, n_distinct and ``kind``, the most frequent token (of several, the last). A null text has no tokens.
     """
-    at = docs.withColumn("_all", F.sort_array(F.coalesce(tokenize(F.col("text")), F.array().cast("array<string>")))).drop("text")
-    at = at.withColumn("_starts", F.filter(F.transform("_all", lambda x, i: i), lambda i: (i == 0) | (F.get("_all", i) != F.get("_all", i - 1))))
-    at = at.withColumn("tfs", F.transform("_starts", lambda i, j: F.coalesce(F.get("_starts", j + 1), F.size("_all")) - i))
-    at = at.withColumn("_tokens", F.transform("_starts", lambda i: F.get("_all", i)))
-    kind = F.array_max(F.transform("tfs", lambda n, j: F.struct(n.alias("tf"), F.get("_tokens", j).alias("token")))).getField("token")
-    sizes = {"n_tokens": F.size("_all").cast("bigint"), "n_distinct": F.size("tfs").cast("bigint")}
-    return at.withColumns({"tokens": F.concat_ws(" ", "_tokens"), "kind": kind, **sizes}).drop("_all", "_starts", "_tokens")
+    counted = F.arrow_udf(_counted, "tokens string, tfs array<int>, n_tokens bigint, n_distinct bigint, kind string")
+    return docs.withColumn("_counted", counted(F.lower("text").cast("binary"))).drop("text").select("*", "_counted.*").drop("_counted")
 
 
 def write_index(docs: DataFrame, path: str, partition: dict[str, int] | None = None) -> SearchIndex:
@@ -82,10 +108,11 @@ def write_index(docs: DataFrame, path: str, partition: dict[str, int] | None = N
         ordered = counted.repartitionByRange(n, "kind", "n_distinct", "id").sortWithinPartitions("kind", "n_distinct", "id")
         placed = held.enter_context(passing(ordered.select("id", "insert_ord", "metadata", block.alias("block"), "n_tokens", "tokens", "tfs"), "placed-documents", PART))
         listed = put(placed.select("id", "insert_ord", "metadata", "block", "n_tokens"), "docs")
-        each = placed.where("n_tokens > 0").select("id", "block", F.inline(F.arrays_zip(F.split("tokens", " ").alias("token"), F.col("tfs").alias("tf"))))
+        each = placed.where("n_tokens > 0").select("id", "block", "tfs", F.posexplode(F.split("tokens", " ")).alias("at", "token"))
+        each = each.select("token", "block", "id", F.get("tfs", "at").cast("bigint").alias("tf"))
         # documents lie by their size, so tasks get equal bytes of them; they lie in order of blocks, which a sort by token keeps
         with read_in_parts(spark, PART):
-            postings = put(each.select("token", "block", "id", F.col("tf").cast("bigint").alias("tf")).sortWithinPartitions("token"), "postings")
+            postings = put(each.sortWithinPartitions("token"), "postings")
         maxima = put(postings.groupBy("token", "block").agg(F.count("*").alias("n"), F.max("tf").alias("most")), "maxima")
     return SearchIndex(listed, postings, maxima)
 
